@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import bpe, sharding, token_counts
+from sitegauge.llm import bpe, secret_scan, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op2_url_verdicts": url_filter.op2_url_verdicts,
+    "op3_secret_spans": secret_scan.op3_secret_spans,
     "op5_shuffled_shards": sharding.op5_shuffled_shards,
     "op6_section_tokens": token_counts.op6_section_tokens,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_verdicts": url_filter.ORACLE,
+}
