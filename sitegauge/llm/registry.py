@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import bpe, secret_scan, sharding, token_counts, url_filter
+from sitegauge.llm import bpe, decontaminate, secret_scan, sharding, token_counts, url_filter
 
 QUERIES = {
     "op2_url_verdicts": url_filter.op2_url_verdicts,
     "op3_secret_spans": secret_scan.op3_secret_spans,
+    "op4_benchmark_passages": decontaminate.op4_benchmark_passages,
     "op5_shuffled_shards": sharding.op5_shuffled_shards,
     "op6_section_tokens": token_counts.op6_section_tokens,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
@@ -14,4 +15,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_verdicts": url_filter.ORACLE,
+    "op4_benchmark_passages": decontaminate.ORACLE,
 }
