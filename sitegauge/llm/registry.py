@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import bpe, decontaminate, secret_scan, sharding, token_counts, url_filter
+from sitegauge.llm import bpe, decontaminate, secret_scan, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_url_verdicts": url_filter.op2_url_verdicts,
     "op3_secret_spans": secret_scan.op3_secret_spans,
     "op4_benchmark_passages": decontaminate.op4_benchmark_passages,
