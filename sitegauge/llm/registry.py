@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import bpe, decontaminate, secret_scan, sharding, token_counts, toxicity, url_filter
+from sitegauge.llm import bpe, decontaminate, quality, secret_scan, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_benchmark_passages": decontaminate.op4_benchmark_passages,
     "op5_shuffled_shards": sharding.op5_shuffled_shards,
     "op6_section_tokens": token_counts.op6_section_tokens,
+    "op7_quality": quality.op7_quality,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
 }
 
