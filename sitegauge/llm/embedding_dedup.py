@@ -139,9 +139,8 @@ def near_blocks(blocks: DataFrame, k: int, eps: float) -> DataFrame:
         return apart * apart
 
     for level in reversed(levels[:-1]):
-        parts = F.array(*[F.lit(x) for x in range(FAN)])
-        split = pairs.select((F.col("i") * FAN).alias("i"), (F.col("j") * FAN).alias("j"))
-        split = split.select((F.col("i") + F.explode(parts)).alias("i"), "j").select("i", (F.col("j") + F.explode(parts)).alias("j")).where("i <= j")
+        parts = {c: F.explode(F.array(*[F.col(c) * FAN + x for x in range(FAN)])).alias(c) for c in ("i", "j")}
+        split = pairs.select(parts["i"], "j").select("i", parts["j"]).where("i <= j")
         tried = split.join(side(level, "i"), "i").join(side(level, "j"), "j")
         pairs = write_out(tried.where(sum(gap(d) for d in range(k)) <= eps * eps * (1 + 1e-9)).select("i", "j"))
     return pairs
