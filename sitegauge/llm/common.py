@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -74,3 +75,23 @@ def drop_out(df: DataFrame) -> None:
 def texts(column: pa.Array) -> Iterable[str]:
     """The strings of an Arrow column, null as the empty string."""
     return [x or "" for x in column.to_pylist()]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, convert: Callable[[pa.Table], tuple]) -> Iterator[tuple]:
+    """Slices of ``convert``'s sequences, one set for each run of equal ``key`` in a sorted task's batches.
+
+    Groups may span batches; what is held is one batch and one group.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        keys = held.column(key).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if len(cuts):
+            made = convert(held)
+            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                yield tuple(x[a:b] for x in made)
+            held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield tuple(convert(held))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import bpe, decontaminate, embedding_dedup, quality, secret_scan, sharding, token_counts, toxicity, url_filter
+from sitegauge.llm import bpe, decontaminate, embedding_dedup, minhash_dedup, quality, secret_scan, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_section_tokens": token_counts.op6_section_tokens,
     "op7_quality": quality.op7_quality,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op9_near_duplicates": minhash_dedup.op9_near_duplicates,
     "op10_embedding_links": embedding_dedup.op10_embedding_links,
 }
 
