@@ -41,8 +41,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hooks = write_out(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("__m")).select("node", F.least("node", "__m").alias("root")))
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("__up"))
-            jumped = hooks.join(up, "root").select("node", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("moved"))
-            jumped = write_out(jumped)
+            higher = up.select(F.col("root").alias("__up"), F.col("__up").alias("__top"))
+            jumped = hooks.join(up, "root").join(higher, "__up")
+            jumped = write_out(jumped.select("node", F.col("__top").alias("root"), (F.col("__top") != F.col("__up")).alias("moved")))
             hooks = jumped.drop("moved")
             if not jumped.where("moved").limit(1).count():
                 break

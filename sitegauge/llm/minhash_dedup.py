@@ -21,8 +21,8 @@ VALUES, TREES, CHILDREN = 128, 6, 2
 NODE, LEVELS = 128, 5
 #: Share of equal minwise values from which sets are held for candidates: five standard deviations below 0.8.
 CANDIDATE = 0.62
-#: Sets of a bundle that one task compares; pivots of a round and sets of a block in larger bundles.
-BUNDLE, PIVOTS, BLOCK = 512, 256, 256
+#: Bytes of the sets of a bundle that one task compares; of the pivots of a round and of a block in larger bundles.
+BUNDLE_BYTES, PIVOT_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20, 2 << 20
 #: Document ids that may be broadcast to fetch the texts of candidates; beyond, the join is shuffled.
 BROADCAST_IDS = 4_000_000
 
@@ -171,28 +171,22 @@ def chosen_paths(classes: DataFrame) -> DataFrame:
     return out
 
 
-def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of a sorted set with other sets."""
-    flat = np.concatenate(others)
-    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-    starts = np.concatenate([[0], np.cumsum([len(o) for o in others])[:-1]])
-    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
-
-
-def linked_with(one: np.ndarray, sets: list[np.ndarray], among: list[int], threshold: int, held: int = 2_000_000) -> list[int]:
-    """Those of the sets ``among`` whose similarity with ``one`` is ``threshold`` per cent or more, on full sets."""
-    n = len(one)
-    fit = [u for u in among if 100 * min(n, len(sets[u])) >= threshold * max(n, len(sets[u]))]
-    out, run, size = [], [], 0
-    for k, u in enumerate(fit):
-        run.append(u)
-        size += len(sets[u])
-        if size > held or k == len(fit) - 1:
-            both = overlaps(one, [sets[v] for v in run])
-            union = n + np.array([len(sets[v]) for v in run]) - both
-            out += [v for v, ok in zip(run, (100 * both >= threshold * union).tolist()) if ok]
-            run, size = [], 0
-    return out
+class SetTable:
+    """Sets of one task over the elements that occur in them, for intersections with one set at a time."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: int):
+        self.sizes = np.array([len(x) for x in sets])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat, self.mark, self.threshold = flat, np.zeros(len(universe), dtype=np.uint8), threshold
+
+    def linked(self, one: int) -> np.ndarray:
+        """Which sets have a similarity with set ``one`` of ``threshold`` per cent or more."""
+        own = self.flat[self.starts[one] : self.starts[one] + self.sizes[one]]
+        self.mark[own] = 1
+        both = np.add.reduceat(self.mark[self.flat], self.starts, dtype=np.int64)
+        self.mark[own] = 0
+        return 100 * both >= self.threshold * (self.sizes + self.sizes[one] - both)
 
 
 def set_columns(table: pa.Table) -> tuple:
@@ -203,15 +197,18 @@ def bundle_links(batches, threshold: int):
     """(class, root) of small bundles: from the smallest class, every set reached is compared with all that are not."""
     a, b = [], []
     for classes, sets in sorted_groups(batches, "bundle", set_columns):
-        order = np.argsort(classes).tolist()
-        while order:
-            root, *order = order
+        table, order = SetTable(sets, threshold), np.argsort(classes)
+        new = np.ones(len(classes), dtype=bool)
+        for root in order.tolist():
+            if not new[root]:
+                continue
+            new[root] = False
             frontier = [root]
-            while frontier and order:
-                near = set(linked_with(sets[frontier.pop()], sets, order, threshold))
-                frontier += near
-                order = [u for u in order if u not in near]
-                a.append(classes[list(near)])
+            while frontier and new.any():
+                near = np.flatnonzero(table.linked(frontier.pop()) & new)
+                new[near] = False
+                frontier += near.tolist()
+                a.append(classes[near])
                 b.append(np.full(len(near), classes[root]))
         if len(a) > 10_000:
             yield two_columns(a, b)
@@ -223,17 +220,17 @@ def pivot_links(batches, threshold: int):
     """Links of a block of a large bundle with the round's pivots."""
 
     def convert(table):
-        return *set_columns(table), table.column("pivot").to_pylist()
+        return *set_columns(table), table.column("pivot").to_numpy(zero_copy_only=False)
 
     a, b = [], []
     for classes, sets, pivot in sorted_groups(batches, "key", convert):
-        rows = [i for i, p in enumerate(pivot) if not p]
-        x, y = [], []
-        for p in (i for i, is_pivot in enumerate(pivot) if is_pivot):
-            near = linked_with(sets[p], sets, rows, threshold)
-            x += near
-            y += [p] * len(near)
-        root = classes[forest(len(classes), np.array(x, dtype=np.int64), np.array(y, dtype=np.int64))]
+        table, label = SetTable(sets, threshold), np.arange(len(sets))
+        for p in np.flatnonzero(pivot).tolist():
+            near = np.flatnonzero(table.linked(p) & (label != label[p]))
+            if len(near):
+                merged = np.isin(label, label[near])
+                label[merged] = label[p]
+        root = classes[label]
         apart = classes != root
         a.append(classes[apart])
         b.append(root[apart])
@@ -243,29 +240,31 @@ def pivot_links(batches, threshold: int):
 def large_bundle_links(members: DataFrame, threshold: int) -> DataFrame:
     """Links that connect the true components of bundles too large for a task.
 
-    In rounds, up to about PIVOTS sets of each bundle are compared with all sets of the bundle, which lie
-    in blocks of about BLOCK sets. Sets that are linked get one label. A pair with unequal labels has a
+    In rounds, pivots of about PIVOT_BYTES of each bundle are compared with all sets of the bundle, which lie
+    in blocks of about BLOCK_BYTES. Sets that are linked get one label. A pair with unequal labels has a
     member outside the bundle's largest label, so once all of these have been pivots no link is missing.
     A dense bundle is done after a few rounds, as nearly all its sets then have one label.
     """
     links = members.sparkSession.createDataFrame([], "a long, b long")
-    state = write_out(members.select("class", "bundle", F.col("class").alias("label"), F.lit(False).alias("done")))
-    blocks = members.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    size = F.octet_length("shingles")
+    state = write_out(members.select("class", "bundle", size.alias("bytes"), F.col("class").alias("label"), F.lit(False).alias("done")))
+    blocks = state.groupBy("bundle").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
     turn = 0
     while True:
         counts = state.groupBy("bundle", "label").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bundle").agg(F.max(F.struct("n", F.col("label").alias("main")))["main"].alias("main"))
-        open_ = state.join(largest, "bundle").where((F.col("label") != F.col("main")) & ~F.col("done"))
-        pending = open_.groupBy("bundle").agg(F.count("*").alias("pending"))
-        drawn = F.pmod(F.xxhash64(F.lit(turn), "class"), F.col("pending")) < PIVOTS
+        open_ = write_out(state.join(largest, "bundle").where((F.col("label") != F.col("main")) & ~F.col("done")).select("class", "bundle", "bytes"))
+        if open_.isEmpty():
+            return links
+        pending = open_.groupBy("bundle").agg(F.sum("bytes").alias("pending"))
+        drawn = F.pmod(F.xxhash64(F.lit(turn), "class"), F.ceil(F.col("pending") / PIVOT_BYTES)) == 0
         pivots = write_out(open_.join(pending, "bundle").where(drawn).select("class", "bundle"))
+        turn += 1
         if pivots.isEmpty():
-            if open_.isEmpty():
-                return links
-            turn += 1
             continue
         spread = members.join(pivots.select("class"), "class").join(blocks, "bundle")
-        copies = spread.select("bundle", "class", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("pivot"))
+        places = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+        copies = spread.select("bundle", "class", "shingles", places, F.lit(True).alias("pivot"))
         own = members.join(pivots.select("bundle").distinct(), "bundle", "left_semi").join(blocks, "bundle")
         own = own.select("bundle", "class", "shingles", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), F.lit(False).alias("pivot"))
         keyed = own.unionByName(copies).select(F.xxhash64("bundle", "block").alias("key"), "class", "shingles", "pivot")
@@ -275,9 +274,10 @@ def large_bundle_links(members: DataFrame, threshold: int) -> DataFrame:
         done = pivots.select("class", F.lit(True).alias("now"))
         state = state.drop("label").join(labels, "class", "left").join(done, "class", "left")
         state = write_out(
-            state.select("class", "bundle", F.coalesce("root", "class").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+            state.select(
+                "class", "bundle", "bytes", F.coalesce("root", "class").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")
+            )
         )
-        turn += 1
 
 
 def near_duplicates(
@@ -293,11 +293,13 @@ def near_duplicates(
     """
     own = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     features = write_out(append_columns(own, ["text"], "n_shingles long, sign binary, sketch binary", partial(start_features, words), ["doc_id"]))
-    grouped = features.where("sign is not null and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("first"), F.max("sketch").alias("sketch"))
+    grouped = features.where("sign is not null and doc_id is not null").groupBy("sign").agg(
+        F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")
+    )
     classes = write_out(grouped.withColumn("class", F.monotonically_increasing_id()))
     bundles = connected_components(chosen_paths(classes)).withColumnRenamed("node", "class").withColumnRenamed("root", "bundle")
-    sizes = bundles.groupBy("bundle").agg(F.count("*").alias("size"))
-    wanted = write_out(bundles.join(sizes, "bundle").join(classes.select("class", "sign", "first"), "class"))
+    wanted = write_out(bundles.join(classes.select("class", "sign", "first", "n"), "class"))
+    sizes = wanted.groupBy("bundle").agg((8 * F.sum("n")).alias("size"))
     ids = wanted.select(F.col("first").alias("doc_id")).distinct()
     some = own.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
@@ -309,10 +311,10 @@ def near_duplicates(
         return work
 
     sets = append_columns(some, ["text"], "sign binary, shingles binary", shingles, []).dropDuplicates(["sign"])
-    members = write_out(wanted.join(sets, "sign").select("class", "bundle", "size", "shingles"))
-    small = members.where(F.col("size") <= BUNDLE).repartition("bundle").sortWithinPartitions("bundle").select("bundle", "class", "shingles")
+    members = write_out(wanted.join(sets, "sign").join(sizes, "bundle").select("class", "bundle", "size", "shingles"))
+    small = members.where(F.col("size") <= BUNDLE_BYTES).repartition("bundle").sortWithinPartitions("bundle").select("bundle", "class", "shingles")
     links = small.mapInArrow(partial(bundle_links, threshold=threshold), "a long, b long")
-    large = members.where(F.col("size") > BUNDLE)
+    large = members.where(F.col("size") > BUNDLE_BYTES)
     if not large.isEmpty():
         links = links.unionByName(large_bundle_links(large.drop("size"), threshold))
     roots = connected_components(links).withColumnRenamed("node", "class")
