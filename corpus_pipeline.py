@@ -1,15 +1,75 @@
-"""A filtering pipeline over documents, stage by stage."""
+"""A filtering pipeline over documents: quality, near duplicates, benchmark passages, secrets, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``, what the stage before it kept. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitegauge.llm import bpe, decontaminate, minhash_dedup, quality, secret_scan
+from sitegauge.llm.common import write_out
+from sitegauge.sources.tables import read_table
+
+
+def with_lengths(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` in the given columns, n_chars counted anew where the column is there."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    return docs.select(*columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject, the operator's threshold deciding."""
+    scored = quality.score_quality(docs, read_table(spark, sf_dir, "labels"))
+    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates, that of the smallest id; of rows with one id, one.
+
+    Rows without an id are kept.
+    """
+    groups = minhash_dedup.near_duplicates(docs)
+    first = groups.where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that benchmark windows cover."""
+    return with_lengths(decontaminate.remove_passages(docs, read_table(spark, sf_dir, "benchmark")), docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the kinds of secrets in their places."""
+    return with_lengths(secret_scan.redact_secrets(docs), docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with n_tokens and digests of the ids and of the decoded text."""
+    return bpe.with_digests(docs, bpe.default_vocabulary())
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_first_of_near_duplicates),
+    ("benchmark_passages", cut_benchmark_passages),
+    ("secrets", redact_secrets),
+    ("tokens", encode_tokens),
+]
 
-STAGES: list = []
+#: Learnt scores, an FM-index and byte-pair merges have no SQL form: tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each stage's rows written to the shared folder before the next reads them."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = write_out(docs)
     return docs
