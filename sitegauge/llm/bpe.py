@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.llm.bpe_merge import Encoder
-from sitegauge.llm.common import append_columns, texts
+from sitegauge.llm.common import append_columns, texts, unused
 from sitegauge.sources.tables import read_table
 
 
@@ -55,12 +55,13 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "
 def with_digests(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encodes, decodes and adds n_tokens, ids_sha256 and decoded_sha256, keeping the ``keep`` columns."""
     keep = df.columns if keep is None else keep
-    coded = encode(df, vocabulary, text, "__ids", keep)
-    back = decode(coded, vocabulary, "__ids", "__back", [*keep, "__ids"])
+    ids, decoded = unused(keep, "__ids"), unused(keep, "__decoded")
+    coded = encode(df, vocabulary, text, ids, keep)
+    back = decode(coded, vocabulary, ids, decoded, [*keep, ids])
     new = {
-        "n_tokens": (F.octet_length("__ids") / 4).cast("long"),
-        "ids_sha256": F.sha2("__ids", 256),
-        "decoded_sha256": F.sha2(F.encode("__back", "utf-8"), 256),
+        "n_tokens": (F.octet_length(ids) / 4).cast("long"),
+        "ids_sha256": F.sha2(ids, 256),
+        "decoded_sha256": F.sha2(F.encode(decoded, "utf-8"), 256),
     }
     return back.select(*[c for c in keep if c not in new], *[v.alias(k) for k, v in new.items()])
 

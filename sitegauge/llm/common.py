@@ -47,6 +47,14 @@ def append_columns(
     return source.mapInArrow(run, schema)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 

@@ -1,0 +1,99 @@
+"""Classifiers by held-out accuracy on made-up documents, and the pipeline's stages."""
+
+import random
+
+import numpy as np
+import pytest
+
+from sitegauge.llm import quality, toxicity
+
+WORDS = [a + b + c for a in ("th", "er", "in", "on") for b in ("at", "ed", "is", "or") for c in ("a", "e", "ly", "ing")]
+
+
+def corpus(n=900):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(n):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(20, 120))]
+        toxic, good = rng.random() < 0.2, rng.random() < 0.7
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(["idiot", "zorblax", "m0r0n", "zorblaxes"]))
+        text = " ".join(words)
+        if not good:
+            text = text.upper().replace(" ", "!! ") if rng.random() < 0.5 else " ".join([w + "%%%" for w in words])
+        docs.append((i, text, "en", "s", len(text)))
+        labels.append((i, int(good), int(toxic)))
+    return docs, labels
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    docs, labels = corpus()
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    )
+
+
+def accuracy(scored, labels, label, threshold):
+    rows = scored.join(labels, "doc_id").where("crc32(encode(cast(doc_id as string), 'utf-8')) % 4 = 2").collect()
+    assert len(rows) > 150
+    return np.mean([(r.score >= threshold) == bool(r[label]) for r in rows])
+
+
+def test_toxicity(spark, tables):
+    docs, labels = tables
+    scored = toxicity.score_toxicity(docs, labels, keep=["doc_id"]).withColumnRenamed("toxic_score", "score")
+    assert accuracy(scored, labels, "toxic", toxicity.THRESHOLD) > 0.95
+
+
+def test_quality(spark, tables):
+    docs, labels = tables
+    scored = quality.score_quality(docs, labels, keep=["doc_id"]).withColumnRenamed("quality_score", "score")
+    assert accuracy(scored, labels, "quality", quality.THRESHOLD) > 0.95
+
+
+def test_random_indexing_equals_plain_sums(spark):
+    places, signs = quality.index_vectors()
+    ids = np.array([5, 70, 71, 70, 99, 5])
+    total, want = np.zeros(quality.BUCKETS * quality.DIM), np.zeros((quality.BUCKETS, quality.DIM))
+    quality.add_contexts(total, ids, places, signs)
+    for i, here in enumerate(ids):
+        for j in range(max(0, i - quality.SIDE), min(len(ids), i + quality.SIDE + 1)):
+            if i != j:
+                for e in range(quality.ENTRIES):
+                    want[here, places[ids[j], e]] += signs[ids[j], e]
+    assert (total.reshape(want.shape) == want).all()
+
+
+def test_scores_of_odd_tables(spark, tables):
+    docs, labels = tables
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (3, "idiot " * 30_000), (3, "idiot " * 30_000)], "doc_id long, text string")
+    odd = odd.withColumn("prediction", toxicity.F.lit("x"))
+    for known in (labels.limit(0), labels.withColumn("toxic", toxicity.F.lit(None).cast("int")).withColumn("quality", toxicity.F.lit(None).cast("int"))):
+        for score, name in ((toxicity.score_toxicity, "toxic_score"), (quality.score_quality, "quality_score")):
+            rows = score(odd, known).collect()
+            assert len(rows) == 5 and all(0 <= r[name] <= 1 for r in rows)
+            assert score(odd.limit(0), known).count() == 0
+    long_ = [(None, " ".join(WORDS) + " idiot zorblax idiot zorblaxes"), (None, " ".join(WORDS))]
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame(long_, "doc_id long, text string"))
+    rows = toxicity.score_toxicity(some, labels).where("doc_id is null").orderBy(toxicity.F.length("text")).collect()
+    assert rows[0].toxic_score < 0.3 < rows[1].toxic_score
+
+
+def test_pipeline(spark, tables, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = tables
+    docs.unionByName(docs.limit(50).withColumn("doc_id", docs.doc_id + 10_000)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    passage = docs.first().text
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    ids = [r.doc_id for r in out]
+    assert len(ids) == len(set(ids)) and max(ids) < 10_000
+    assert len(set(ids) & good) > 0.97 * len(good) and len(set(ids) - good) < 0.05 * len(ids)
+    assert all(r.n_chars == len(r.text) and r.n_tokens >= 0 for r in out)
+    assert len(corpus_pipeline.STAGES) == 5
