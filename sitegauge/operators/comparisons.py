@@ -94,13 +94,14 @@ def map_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     b = before.select("query", F.col("position").alias("b"), F.col("reviews").alias("br"))
     joined = now.join(b, "query")
     p, q = F.col("position"), F.col("b")
+    row = lambda level, change: F.struct(F.lit(level).alias("level"), F.lit(change).alias("change"))
     moved = (
-        F.when(q.isNull() & p.isNotNull(), F.struct(F.lit("good").alias("level"), F.lit("appeared").alias("change")))
-        .when(q.isNotNull() & p.isNull(), F.struct(F.lit("alert"), F.lit("dropped_out")))
-        .when(p < q, F.struct(F.lit("good"), F.lit("up")))
-        .when(p > q, F.struct(F.lit("warn"), F.lit("down")))
+        F.when(q.isNull() & p.isNotNull(), row("good", "appeared"))
+        .when(q.isNotNull() & p.isNull(), row("alert", "dropped_out"))
+        .when(p < q, row("good", "up"))
+        .when(p > q, row("warn", "down"))
     )
-    reviewed = F.when(F.col("reviews") != F.col("br"), F.struct(F.lit("good").alias("level"), F.lit("reviews").alias("change")))
+    reviewed = F.when(F.col("reviews") != F.col("br"), row("good", "reviews"))
     return joined.select("query", F.explode(F.array_compact(F.array(moved, reviewed))).alias("c")).select("query", "c.*")
 
 

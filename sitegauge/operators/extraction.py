@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sitegauge.functions.html_facts import page_facts
 
-FACTS = T._parse_datatype_string("""
+FACTS = """
 title string, metas map<string,string>, canonical string, headings array<struct<level:int,text:string>>,
 links array<struct<href:string,resolved:string,rel:string,target:string,title:string,internal:boolean,is_anchor:boolean,protocol_relative:boolean,has_image:boolean,text:string>>,
 images array<struct<src:string,alt:string,width:string,height:string,loading:string,priority:string,srcset:string,style_dims:boolean,in_picture:boolean>>,
@@ -22,13 +22,14 @@ stylesheets array<struct<href:string,media:string,blocking:boolean>>, inline_sty
 tags map<string,int>, node_count int, max_depth int, microdata int, duplicate_ids array<struct<id:string,count:int>>,
 text string, visible_text string, has_doctype boolean, charset string, lang string, has_favicon boolean, favicon string,
 hreflang array<struct<lang:string,href:string>>, comments array<string>, hidden array<struct<reason:string,tag:string,text:string>>, html_bytes bigint
-""")
+"""
 
 
 def extract_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """page_id, url, html and the facts of every page, by one Arrow map without a shuffle."""
-    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), *FACTS])
-    arrow = to_arrow_schema(FACTS)
+    facts = T._parse_datatype_string(FACTS.strip())
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), *facts])
+    arrow = to_arrow_schema(facts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions import text as tx
 from sitegauge.operators import comparisons, limits, page_checks, risk, robots, scoring, site_issues
 from sitegauge.operators.extraction import extract_pages, word_count
+from sitegauge.plans.audit_oracles import ORACLES  # noqa: F401
 from sitegauge.sources.tables import read_table
 
 TODAY = date(2024, 1, 30)
@@ -180,7 +181,7 @@ def active_changes(spark, sf_dir):
 
 def score_moves(spark, sf_dir):
     rows = read_table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value")).cast("long").alias("avg_score"))
-    return comparisons.score_moves(rows, "event_type", "day")
+    return comparisons.score_moves(rows, "event_type", "day").withColumn("day", F.col("day").cast("string"))
 
 
 def latest_events(spark, sf_dir):
@@ -210,4 +211,4 @@ QUERIES = {
         search_performance, rank_changes, active_changes, score_moves, latest_events, local_results, rate_limits,
     )
 } | {"page_checks": all_checks}
-ORACLES: dict[str, str] = {}
+
