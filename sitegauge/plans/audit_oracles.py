@@ -58,6 +58,19 @@ ORACLES: dict[str, str] = {
       SELECT page_id, overall, CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 50 THEN 'Needs Attention' ELSE 'Critical' END AS grade FROM o""",
     "core_recommendations": f"""WITH {CHECKS} SELECT page_id, module, check_id, severity, w AS impact,
       row_number() OVER (PARTITION BY page_id ORDER BY w DESC, check_id, module) AS rank FROM weighted WHERE status = 'fail'""",
+    "core_findings": f"""WITH {CHECKS},
+      rules(check_id, finding, impact, effort, area, n) AS (VALUES ('title.present', 'meta.title_missing', 'high', 'small', 'meta', 1), ('title.length', 'meta.title_length', 'low', 'small', 'meta', 2),
+        ('h1.present', 'meta.h1', 'low', 'small', 'meta', 3), ('headings.h1', 'meta.h1', 'low', 'small', 'meta', 3), ('canonical.present', 'meta.canonical', 'low', 'small', 'meta', 4),
+        ('eeat.thin_content', 'content.thin', 'medium', 'large', 'content', 5), ('viewport.present', 'engine.viewport.present', 'high', 'small', 'meta', 6),
+        ('eeat.https', 'engine.eeat.https', 'high', 'small', 'access', 6), ('links.internal', 'engine.links.internal', 'low', 'medium', 'content', 6),
+        ('dom.text_html_ratio', 'engine.dom.text_html_ratio', 'low', 'medium', 'other', 6), ('dom.word_count', 'engine.dom.word_count', 'low', 'medium', 'other', 6)),
+      found AS (SELECT DISTINCT page_id, finding, impact, effort, area, n FROM checks JOIN rules USING (check_id)
+        WHERE status = 'fail' AND (n < 6 OR severity IN ('critical', 'warning')))
+      SELECT page_id, finding, impact, effort, area, row_number() OVER (PARTITION BY page_id ORDER BY
+        CASE impact WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, list_position(['access', 'render', 'facts', 'schema', 'llms', 'meta', 'content', 'other'], area), n, finding) AS rank
+      FROM found""",
+    "core_snippets": f"""WITH {CHECKS} SELECT DISTINCT page_id, CASE check_id WHEN 'canonical.present' THEN 'canonical' ELSE 'title' END AS snippet FROM checks
+      WHERE status = 'fail' AND check_id IN ('title.present', 'title.length', 'canonical.present')""",
     "duplicate_titles": f"WITH {FACTS} SELECT site, lower(trim(title)) AS value, count(*) AS pages FROM f GROUP BY ALL HAVING value <> '' AND pages > 1",
     "thin_pages": f"WITH {FACTS} SELECT site, url, words FROM f WHERE words < 150",
     "gap_report": f"""WITH {CHECKS},

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitegauge.functions import text as tx
-from sitegauge.operators import comparisons, limits, page_checks, risk, robots, scoring, site_issues
+from sitegauge.operators import advice, comparisons, limits, page_checks, risk, robots, scoring, site_issues
 from sitegauge.operators.extraction import extract_pages, word_count
 from sitegauge.plans.audit_oracles import ORACLES  # noqa: F401
 from sitegauge.sources.tables import read_table
@@ -203,12 +203,25 @@ def rate_limits(spark, sf_dir):
     return limits.rate_limited(rows, "user_id", "at", 2, 86_400)
 
 
+def findings(spark, sf_dir):
+    return advice.findings(all_checks(spark, sf_dir))
+
+
+def core_findings(spark, sf_dir):
+    return advice.findings(core_checks(spark, sf_dir))
+
+
+def core_snippets(spark, sf_dir):
+    return advice.fix_snippets(core_checks(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         page_facts, core_checks, module_scores, overall_scores, core_scores, core_counts, recommendations, core_recommendations, duplicate_titles, thin_pages,
         gap_report, page_flags, top_terms, keyword_stuffing, ai_addresses, turn_similarity, text_summaries, robots_rules, crawler_access, urls_allowed,
         search_performance, rank_changes, active_changes, score_moves, latest_events, local_results, rate_limits,
+        findings, core_findings, core_snippets,
     )
 } | {"page_checks": all_checks}
 

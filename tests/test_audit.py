@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import text as tx
 from sitegauge.functions.html_facts import page_facts
-from sitegauge.operators import comparisons, limits, page_checks, risk, robots, scoring, site_issues
+from sitegauge.operators import advice, comparisons, limits, page_checks, risk, robots, scoring, site_checks, site_issues
 from sitegauge.operators.extraction import extract_pages
 from sitegauge.plans import audit_queries
 from sitegauge.streaming.snapshots import watch
@@ -176,3 +176,46 @@ def test_watching_a_stream(spark, tmp_path):
         watch(stream, str(tmp_path / "store"), str(tmp_path / "cp"), comparisons.rank_changes, str(tmp_path / "changes")).awaitTermination()
     got = {(r.key, r.change) for r in spark.read.parquet(str(tmp_path / "changes/batch=1")).collect()}
     assert got == {("a", "down"), ("b", "new")}
+
+
+def test_server_checks(spark):
+    rows = [(1, 200, 100, {"content-encoding": "br", "strict-transport-security": "max-age=63072000"}), (2, 301, 900, {}), (3, 0, 5000, {"x-robots-tag": "noindex, noai"})]
+    got = {(r.page_id, r.check_id): (r.status, r.severity) for r in site_checks.server_checks(spark.createDataFrame(rows, "page_id long, status int, ttfb_ms int, headers map<string,string>")).collect()}
+    assert got[1, "server.hsts"] == ("pass", "info") and got[1, "server.compression"] == ("pass", "info") and got[1, "server.status"] == ("pass", "info")
+    assert got[2, "server.status"] == ("fail", "warning") and got[2, "server.ttfb"] == ("fail", "warning") and got[2, "server.hsts"] == ("fail", "warning")
+    assert got[3, "server.status"] == ("fail", "critical") and got[3, "server.ttfb"] == ("fail", "critical") and got[3, "server.x_robots_tag"] == ("fail", "critical")
+
+
+def test_geo_checks(spark):
+    pages = spark.createDataFrame([(1, "https://a.example/", "<body><ul><li>faq</li></ul>"), (2, "https://b.example/", "<title>Just a moment...</title>")], "page_id long, url string, html string")
+    facts = extract_pages(pages).withColumn("headers", F.create_map().cast("map<string,string>"))
+    file = "struct<status:int,content_type:string,text:string>"
+    more = spark.createDataFrame(
+        [(1, (200, "text/plain", "# Name\n> about\n- [a](b)"), None, True, 1, 1, 0, 1, 200), (2, (200, "text/html", "<html>"), None, False, 0, 0, 4, 0, 403)],
+        f"page_id long, llms {file}, llms_full {file}, robots_ok boolean, robots_groups int, sitemaps int, blocked_search int, blocked_training int, probe_status int",
+    )
+    got = {(r.page_id, r.check_id): r.status for r in site_checks.geo_checks(facts.join(more, "page_id")).collect()}
+    good = {k for (p, k), s in got.items() if p == 1 and s == "fail"}
+    assert good == {"llms_full.present"}
+    assert got[2, "llms_txt.present"] == got[2, "geo.bot_wall"] == got[2, "geo.ai_probe"] == got[2, "robots.ai_search_bots"] == "fail" and got[2, "llms_txt.h1"] == "skip"
+
+
+def test_render_checks(spark):
+    schema = "page_id long, url string, html string"
+    raw = extract_pages(spark.createDataFrame([(1, "https://a.example/", "<div id=root></div>"), (2, "https://a.example/b", "<p>x")], schema))
+    full = "<title>T</title><h1>H</h1><p>" + "word " * 200 + "".join(f'<a href="/{i}">l</a>' for i in range(8))
+    rendered = extract_pages(spark.createDataFrame([(1, "https://a.example/", "<body>" + full)], schema))
+    rendered = rendered.withColumn("console_errors", F.array(F.lit("e"))).withColumn("redirects", F.array(F.lit("a"), F.lit("a"), F.lit("b")))
+    got = {(r.page_id, r.check_id): (r.status, r.severity) for r in site_checks.render_checks(raw, rendered).collect()}
+    assert got[1, "diff.spa_shell"] == got[1, "diff.content"] == got[1, "diff.critical_tags"] == got[1, "diff.links"] == ("fail", "critical")
+    assert got[1, "diff.js_errors"] == ("fail", "warning") and got[1, "diff.redirect_chain"] == ("pass", "info") and (1, "diff.available") not in got
+    assert {k for p, k in got if p == 2} == {"diff.available"}
+
+
+def test_findings(spark):
+    rows = [(1, c, "fail", s) for c, s in (("title.present", "critical"), ("title.length", "critical"), ("h1.present", "warning"), ("headings.h1", "warning"), ("eeat.https", "critical"), ("dom.main", "warning"), ("dom.depth", "notice"))]
+    checks = spark.createDataFrame(rows, "page_id long, check_id string, status string, severity string")
+    got = [(r.finding, r.impact, r.area) for r in advice.findings(checks).orderBy("rank").collect()]
+    assert got == [("engine.eeat.https", "high", "access"), ("meta.title_missing", "high", "meta"), ("meta.h1", "low", "meta"), ("engine.dom.main", "low", "other")]
+    assert advice.impact_counts(advice.findings(checks)).first().high == 2
+    assert [r.snippet for r in advice.fix_snippets(checks).collect()] == ["title"]
