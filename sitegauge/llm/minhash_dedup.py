@@ -15,10 +15,12 @@ from sitegauge.llm.components import connected_components, forest
 from sitegauge.sources.tables import read_table
 
 SHINGLE_WORDS, THRESHOLD = 5, 80  # words, per cent of the union
-#: Minwise values of a sketch, independent trees, and values that every node branches on.
-VALUES, TREES, CHILDREN = 128, 6, 2
+#: Minwise values of a sketch, independent trees, and values that a root and a later node branch on.
+VALUES, TREES, ROOT_CHILDREN, CHILDREN = 128, 6, 2, 1
 #: Nodes of at most so many sets are compared exhaustively; larger ones branch again, up to so many levels.
 NODE, LEVELS = 128, 5
+#: A large node that keeps this share of its parent's sets is dense: they agree on most values.
+DENSE = 0.8
 #: Share of equal minwise values from which sets are held for candidates: five standard deviations below 0.8.
 CANDIDATE = 0.62
 #: Bytes of the sets of a bundle that one task compares; of the pivots of a round and of a block in larger bundles.
@@ -88,26 +90,30 @@ def start_features(words: int):
 
 
 def branch(batches, roots: bool):
-    """Children of each row's path: the path grows by CHILDREN of the set's minwise values.
+    """Children of each row's path: the path grows by some of the set's minwise values.
 
     Which values a node branches on follows from the path alone, so that all sets of a node agree on it.
+    A child keeps its parent's number of sets (of a root's: 0).
     """
+    children = ROOT_CHILDREN if roots else CHILDREN
     for batch in batches:
         values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
         ids = batch.column("class").to_numpy()
         if roots:
             paths = mixed(np.arange(1, TREES + 1, dtype=np.uint64))
             at, path = np.repeat(np.arange(len(ids)), TREES), np.tile(paths, len(ids))
+            parents = np.zeros(len(at), dtype=np.int64)
         else:
-            at, path = np.arange(len(ids)), batch.column("path").to_numpy().view(np.uint64)
+            at, path, parents = np.arange(len(ids)), batch.column("path").to_numpy().view(np.uint64), batch.column("n").to_numpy()
         out = []
         with np.errstate(over="ignore"):
-            for c in range(CHILDREN):
+            for c in range(children):
                 drawn = mixed(path + np.uint64(c + 1) * PRIME)
-                which = (drawn % np.uint64(VALUES // CHILDREN)).astype(np.int64) * CHILDREN + c  # distinct among children
-                out.append(mixed(path * PRIME + mixed(values[at, which].astype(np.uint64) + (which.astype(np.uint64) << SHIFTS[2] << np.uint64(2)))))
-        made = pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids[at], CHILDREN))
-        yield pa.RecordBatch.from_arrays(list(made), names=["path", "class"])
+                which = (drawn % np.uint64(VALUES // children)).astype(np.int64) * children + c  # distinct among children
+                token = values[at, which].astype(np.uint64) + (which.astype(np.uint64) << np.uint64(33))
+                out.append(mixed(path * PRIME + mixed(token)))
+        made = pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids[at], children)), pa.array(np.tile(parents, children))
+        yield pa.RecordBatch.from_arrays(list(made), names=["path", "class", "parent"])
 
 
 def node_candidates(batches):
@@ -142,29 +148,31 @@ def chosen_paths(classes: DataFrame) -> DataFrame:
 
     In each of TREES independent trees a set is branched by minwise values; a node is what shares a path.
     Nodes of one set end. Small nodes are compared; nodes of the same sets are compared once. Larger nodes
-    branch again. What is still large after LEVELS levels is linked with the node's first set, unseen: the
-    check of full sets decides.
+    branch again, unless they are dense. Dense nodes, and what is still large after LEVELS levels, are
+    linked with the node's first set, unseen: the check of full sets decides.
     """
-    rows = write_out(classes.select("class", "sketch").mapInArrow(partial(branch, roots=True), "path long, class long"))
+    kind = "path long, class long, parent long"
+    rows = write_out(classes.select("class", "sketch").mapInArrow(partial(branch, roots=True), kind))
     links: list[DataFrame] = []
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("path").agg(
-            F.count("*").alias("n"), F.min("class").alias("least"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y")
-        )
+            F.count("*").alias("n"), F.max("parent").alias("parent"), F.min("class").alias("least"),
+            F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"),
+        )
         sizes = write_out(sizes.where("n > 1"))
         small = sizes.where(F.col("n") <= NODE).groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path")
         leaves = rows.join(small, "path").join(classes.select("class", "sketch"), "class").select("path", "class", "sketch")
         compared = leaves.repartition("path").sortWithinPartitions("path").mapInArrow(node_candidates, "a long, b long")
         links.append(write_out(compared.distinct()))
-        large = sizes.where(F.col("n") > NODE).select("path", "least")
+        large = sizes.where(F.col("n") > NODE).select("path", "n", "least", ((F.col("n") >= DENSE * F.col("parent")) & (F.col("parent") > 0)).alias("dense"))
         if large.isEmpty():
             break
-        rest = rows.join(large, "path")
+        ends = F.lit(True) if level == LEVELS else F.col("dense")
+        links.append(rows.join(large.where(ends), "path").select(F.col("class").alias("a"), F.col("least").alias("b")).where("a <> b"))
         if level == LEVELS:
-            links.append(rest.select(F.col("class").alias("a"), F.col("least").alias("b")).where("a <> b"))
             break
-        grown = rest.select("path", "class").join(classes.select("class", "sketch"), "class")
-        rows = write_out(grown.mapInArrow(partial(branch, roots=False), "path long, class long"))
+        grown = rows.join(large.where(~F.col("dense")), "path").select("path", "class", "n").join(classes.select("class", "sketch"), "class")
+        rows = write_out(grown.mapInArrow(partial(branch, roots=False), kind))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
