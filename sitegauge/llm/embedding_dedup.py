@@ -139,9 +139,10 @@ def near_blocks(blocks: DataFrame, k: int, eps: float) -> DataFrame:
         return apart * apart
 
     for level in reversed(levels[:-1]):
-        parts = {c: F.explode(F.array(*[F.col(c) * FAN + x for x in range(FAN)])).alias(c) for c in ("i", "j")}
-        split = pairs.select(parts["i"], "j").select("i", parts["j"]).where("i <= j")
-        tried = split.join(side(level, "i"), "i").join(side(level, "j"), "j")
+        left = pairs.select(F.explode(F.array(*[F.col("i") * FAN + x for x in range(FAN)])).alias("i"), "j")
+        left = left.join(side(level, "i"), "i")  # intervals that exist, before the others are split
+        tried = left.withColumnRenamed("j", "__j").select("*", F.explode(F.array(*[F.col("__j") * FAN + x for x in range(FAN)])).alias("j"))
+        tried = tried.where("i <= j").join(side(level, "j"), "j")
         pairs = write_out(tried.where(sum(gap(d) for d in range(k)) <= eps * eps * (1 + 1e-9)).select("i", "j"))
     return pairs
 
