@@ -14,7 +14,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Longer words are merged one by one with a heap, as scanning for the minimum is quadratic.
 SHORT = 64
 #: Entries that a task's cache of encoded words may hold before it is emptied.
-CACHE = 400_000
+CACHE = 250_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -213,7 +213,7 @@ class Encoder:
             for parts in cuts
         ]
 
-    def encode_bounded(self, batch: list[str], chars: int = 2_000_000) -> list[bytes]:
+    def encode_bounded(self, batch: list[str], chars: int = 1_000_000) -> list[bytes]:
         """``encode`` in runs of about ``chars`` characters, so that a batch of long texts needs no more memory."""
         out: list[bytes] = []
         run: list[str] = []

@@ -17,9 +17,13 @@ def append_columns(
     outputs: str | T.StructType,
     start: Callable[[], Callable[..., list]],
     keep: list[str] | None = None,
+    rows: int | None = 1000,
 ) -> DataFrame:
     """``df`` with columns computed batch by batch in tasks, without a shuffle.
 
+    At most ``rows`` rows of an Arrow batch are worked on at a time (all of it for None), so that what is made of
+    them need not fit into memory as a whole.
+
     ``start()`` is called once per task and returns a function that maps the Arrow columns
     ``inputs`` of a batch to the Arrow arrays (or lists) of ``outputs``. ``keep`` names the columns
     of ``df`` that pass through (all by default). An input column that has the name of an output
@@ -38,11 +42,13 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
-            work = work or start()
-            made = work(*batch.columns[n:])
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds)]
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:n]) + arrays, names=titles)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows or whole.num_rows):
+                batch = whole.slice(at, rows)
+                work = work or start()
+                made = work(*batch.columns[n:])
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays(list(batch.columns[:n]) + arrays, names=titles)
 
     return source.mapInArrow(run, schema)
 
@@ -72,14 +78,6 @@ def write_out(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_out(df: DataFrame) -> None:
-    """Delete the files of a table made by ``write_out`` once nothing will read it again."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def texts(column: pa.Array) -> Iterable[str]:
     """The strings of an Arrow column, null as the empty string."""
     return [x or "" for x in column.to_pylist()]

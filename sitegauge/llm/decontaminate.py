@@ -179,7 +179,7 @@ def find_passages(
             return work
 
         inputs = [text] if k == 0 else [text, "hit_spans", "hit_items"]
-        out = append_columns(out, inputs, own, start, kept if last or text in kept else [*kept, text])
+        out = append_columns(out, inputs, own, start, kept if last or text in kept else [*kept, text], rows=None)
     return out
 
 

@@ -22,7 +22,7 @@ SEED = 20_077
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.01, 1e-4
 LEAST_LABELS = 10
 THRESHOLD = 0.7
-CACHE = 400_000
+CACHE = 200_000
 
 PARTS = re.compile(r"\w+|[^\w\s]+")
 #: Shape ids: end of a text, capitals, digits, mixed, a token equal to the one before, a long word.

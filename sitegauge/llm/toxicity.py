@@ -39,7 +39,7 @@ FEATURES = (
     "words", "density", "hit_rate", "hits", "strongest", "distinct", "near_you", "you_rate", "capitals", "capital_words",
     "exclamations", "punctuation", "mixed_words", "obfuscated", "stretched",
 )
-CACHE = 400_000
+CACHE = 200_000
 YOU_FLAG, CAPS_FLAG, MIXED_FLAG, HIDDEN_FLAG = 1, 2, 4, 8
 
 

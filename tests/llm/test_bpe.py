@@ -49,6 +49,12 @@ def test_query_digests(spark, library):
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_encode_and_decode_apart(spark):
+    docs = spark.createDataFrame(list(enumerate([*ODD, None])), "doc_id long, text string")
+    back = bpe.decode(bpe.encode(docs, PATH), PATH)
+    assert [r.decoded for r in back.orderBy("doc_id").collect()] == [*ODD, ""]
+
+
 def test_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame([("a b", 1, "z")], "text string, n_tokens int, __ids string")
     assert bpe.with_digests(docs, PATH).first().n_tokens == 2
