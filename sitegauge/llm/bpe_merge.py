@@ -148,8 +148,9 @@ class Encoder:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.pieces = regex.compile(PIECES)
+        self.starts = regex.compile(r" (?=\S)")
         self.words: dict[str, bytes] = {}  # pieces, merged
-        self.units: dict[str, bytes] = {}  # a space and what follows it up to the next space
+        self.units: dict[str, bytes] = {}  # what ``cut`` gives, encoded
 
     def merge(self, words: set[str]) -> None:
         short: list[tuple[str, bytes]] = []
@@ -175,15 +176,13 @@ class Encoder:
             end = m.end()
         return [*out, text[end:]]
 
-    def cut(self, text: str) -> tuple[list[str], bool]:
-        """Units that can be encoded apart: at single spaces, which always begin a piece, or else pieces.
+    def cut(self, text: str) -> list[str]:
+        """Units that can be encoded apart: a space before what is no white space always begins a piece.
 
-        A piece may begin, but not go on, with a space, unless spaces stand in a row or end the text.
+        Other spaces may go on with a piece of white space, so each run of it stays in one unit but for such a last space.
         """
-        if "  " in text or text.endswith(" "):
-            return self.pieces.findall(text), False
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest], True
+        first, *rest = self.starts.split(text)
+        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -194,7 +193,7 @@ class Encoder:
         for parts in cuts:
             for part in parts:
                 if not isinstance(part, int):
-                    (units if part[1] else pieces).update(part[0])
+                    units.update(part)
         units.difference_update(self.units)
         split = {u: self.pieces.findall(u) for u in units}
         for found in split.values():
@@ -207,7 +206,7 @@ class Encoder:
         unit = self.units.__getitem__
         return [
             b"".join(
-                part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(unit if part[1] else word, part[0]))
+                part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(unit, part))
                 for part in parts
             )
             for parts in cuts

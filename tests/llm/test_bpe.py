@@ -14,6 +14,7 @@ PATH = bpe.default_vocabulary()
 ODD = [
     "", " ", "  ", "a  b", "a   b ", "\n \n x", "x<|endoftext|>y <|endoftext|>", "a\x1cb \x1d c", "don't I'LL we'll", "ſ½² ٣٤",
     "👍🏽 zwj👨‍👩‍👧", "a" * (SHORT * 20), "日本語テキスト" * 30, "\t\tfoo \t bar", "a\u0085b\u200bc", "The same. " * 500,
+    "x \u00a0 \u00a0", "a \u00a0 \u00a0 \u00a0 \u00a0 b", "x\u00a0 \u00a0y", "a \n \t  b \n",
 ]
 
 
