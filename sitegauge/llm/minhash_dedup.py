@@ -15,8 +15,8 @@ from sitegauge.llm.components import connected_components, forest
 from sitegauge.sources.tables import read_table
 
 SHINGLE_WORDS, THRESHOLD = 5, 80  # words, per cent of the union
-#: Minwise values of a sketch, independent trees, and values that a root and a later node branch on.
-VALUES, TREES, ROOT_CHILDREN, CHILDREN = 128, 6, 2, 1
+#: Minwise values of a sketch, independent trees, and values that every node branches on.
+VALUES, TREES, CHILDREN = 128, 6, 2
 #: Nodes of at most so many sets are compared exhaustively; larger ones branch again, up to so many levels.
 NODE, LEVELS = 128, 5
 #: A large node that keeps this share of its parent's sets is dense: they agree on most values.
@@ -90,12 +90,11 @@ def start_features(words: int):
 
 
 def branch(batches, roots: bool):
-    """Children of each row's path: the path grows by some of the set's minwise values.
+    """Children of each row's path: the path grows by CHILDREN of the set's minwise values.
 
     Which values a node branches on follows from the path alone, so that all sets of a node agree on it.
     A child keeps its parent's number of sets (of a root's: 0).
     """
-    children = ROOT_CHILDREN if roots else CHILDREN
     for batch in batches:
         values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
         ids = batch.column("class").to_numpy()
@@ -107,12 +106,12 @@ def branch(batches, roots: bool):
             at, path, parents = np.arange(len(ids)), batch.column("path").to_numpy().view(np.uint64), batch.column("n").to_numpy()
         out = []
         with np.errstate(over="ignore"):
-            for c in range(children):
+            for c in range(CHILDREN):
                 drawn = mixed(path + np.uint64(c + 1) * PRIME)
-                which = (drawn % np.uint64(VALUES // children)).astype(np.int64) * children + c  # distinct among children
+                which = (drawn % np.uint64(VALUES // CHILDREN)).astype(np.int64) * CHILDREN + c  # distinct among children
                 token = values[at, which].astype(np.uint64) + (which.astype(np.uint64) << np.uint64(33))
                 out.append(mixed(path * PRIME + mixed(token)))
-        made = pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids[at], children)), pa.array(np.tile(parents, children))
+        made = pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids[at], CHILDREN)), pa.array(np.tile(parents, CHILDREN))
         yield pa.RecordBatch.from_arrays(list(made), names=["path", "class", "parent"])
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from sitegauge.llm import embedding_dedup, minhash_dedup
 from sitegauge.llm.components import connected_components, forest
@@ -80,6 +81,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert [r.kept for r in got] == [i == w for i, w in enumerate(want)]
 
 
+def test_paths_of_pairs_in_crowds_that_are_not_dense():
+    """Pairs of similarity 0.8 share a path however often their nodes branch; a miss has a chance of 6e-8 a pair."""
+    rng = np.random.default_rng(5)
+    n = minhash_dedup.VALUES
+    one = rng.integers(0, 2**32, (2000, n), dtype=np.uint32)
+    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 2**32, one.shape, dtype=np.uint32))
+    sketches = [x.tobytes() for pair in zip(one, two) for x in pair]  # classes 2i and 2i + 1 are a pair
+    batch = pa.RecordBatch.from_pydict({"class": np.arange(len(sketches)), "sketch": sketches})
+    for level in range(1, minhash_dedup.LEVELS + 1):
+        (made,) = minhash_dedup.branch([batch], roots=level == 1)
+        rows = sorted(zip(made.column("path").to_pylist(), made.column("class").to_pylist()))
+        shared = [(p, c) for (p, a), (q, b) in zip(rows, rows[1:]) if p == q and a // 2 == b // 2 for c in (a, b)]
+        assert {c // 2 for _, c in shared} == set(range(len(one))), level
+        path, own = zip(*shared)
+        batch = pa.RecordBatch.from_pydict({"path": path, "class": own, "n": [1000] * len(own), "sketch": [sketches[c] for c in own]})
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = "a b c d e f g"
     docs = spark.createDataFrame([(None, text), (5, text), (5, text), (9, text), (None, None)], "doc_id long, text string")
