@@ -4,25 +4,49 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Paths of the tables written within each open ``scratch``, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def slices(columns: list[pa.Array], rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """[from, to) of at most ``rows`` rows with ``size`` bytes of strings each, or of one row that is larger."""
+    n = len(columns[0]) if columns else 0
+    weight = np.zeros(n, dtype=np.int64)
+    for c in columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            weight += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(weight)
+    a = 0
+    while a < n:
+        before = int(ends[a - 1]) if a else 0
+        b = min(a + rows, max(a + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield a, b
+        a = b
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],
     outputs: str | T.StructType,
     start: Callable[[], Callable[..., list]],
     keep: list[str] | None = None,
-    rows: int | None = 1000,
+    rows: int = 1000,
+    size: int = 4 << 20,
 ) -> DataFrame:
     """``df`` with columns computed batch by batch in tasks, without a shuffle.
 
-    At most ``rows`` rows of an Arrow batch are worked on at a time (all of it for None), so that what is made of
-    them need not fit into memory as a whole.
+    At most ``rows`` rows of an Arrow batch with ``size`` bytes of text are worked on at a time (a longer
+    text alone), so that what is made of them need not fit into memory as a whole.
 
     ``start()`` is called once per task and returns a function that maps the Arrow columns
     ``inputs`` of a batch to the Arrow arrays (or lists) of ``outputs``. ``keep`` names the columns
@@ -43,8 +67,8 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for whole in batches:
-            for at in range(0, whole.num_rows, rows or whole.num_rows):
-                batch = whole.slice(at, rows)
+            for a, b in slices(whole.columns[n:], rows, size):
+                batch = whole.slice(a, b - a)
                 work = work or start()
                 made = work(*batch.columns[n:])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds)]
@@ -64,20 +88,43 @@ def unused(columns: Iterable[str], name: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in local tests, a folder below the warehouse is used.
+    Where the setting is absent, a local session uses a folder below its warehouse; a cluster is refused,
+    as the driver's own folders need not be seen by executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{root.rstrip('/')}/sitegauge-{uuid.uuid4().hex}"
 
 
-def write_out(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends at durable files."""
+def write_out(df: DataFrame, outlive: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: its lineage ends at durable files.
+
+    The files are deleted when the innermost open ``scratch`` ends, those that ``outlive`` it with the next one.
+    """
     path = shared_folder(df.sparkSession)
+    scopes = _scopes.get()[: -1 if outlive else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``write_out`` wrote within, at the end; only tables that outlive it may be read then."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, own):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(column: pa.Array) -> Iterable[str]:
     """The strings of an Arrow column, null as the empty string."""
     return [x or "" for x in column.to_pylist()]

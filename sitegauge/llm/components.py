@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import write_out
+from sitegauge.llm.common import scratch, write_out
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,7 +33,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the logarithm of the nodes. Joins are of links with one row per node, so that a node with very many
     links can be split. All rounds go through durable files.
     """
-    ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    with scratch(links.sparkSession):
+        return write_out(contracted(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")), outlive=True)
+
+
+def contracted(ends: DataFrame) -> DataFrame:
     ends = write_out(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
     while not ends.isEmpty():
@@ -58,4 +62,4 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for hooks in reversed(rounds[:-1]):  # a root of this round is a node of the next, unless it was done
         later = out.select(F.col("node").alias("root"), F.col("root").alias("__later"))
         out = hooks.join(later, "root", "left").select("node", F.coalesce("__later", "root").alias("root"))
-    return write_out(out) if len(rounds) > 1 else out
+    return out

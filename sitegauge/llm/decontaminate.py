@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import append_columns, texts
+from sitegauge.llm.common import append_columns, texts, unused, write_out
 from sitegauge.llm.fm_index import FMIndex
 from sitegauge.sources.tables import read_table
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that are sent to executors at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+#: Words of a piece of an item; a longer item is searched for in pieces that overlap.
+PIECE_WORDS = 50_000
+#: Rows and bytes of text of a shard, which has one index.
+SHARD_ROWS, SHARD_BYTES = 10_000, 32 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -30,26 +36,38 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Phrases:
-    """Distinct windows of a block of items: by length, rows of symbols; and the items of each window."""
+    """Distinct windows of a block of items: by length, rows of symbols, and the items of each row.
+
+    Row w of the windows of length n belongs to the items ``owners[n][first[n][w] : first[n][w + 1]]``.
+    """
 
     symbols: dict[bytes, int] = field(default_factory=dict)
+    items: list[str] = field(default_factory=list)
     windows: dict[int, np.ndarray] = field(default_factory=dict)
-    items: dict[int, list[list[str]]] = field(default_factory=dict)
+    owners: dict[int, np.ndarray] = field(default_factory=dict)
+    first: dict[int, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def of(rows: list[tuple[str, str]], window: int) -> Phrases:
-        out = Phrases()
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        out = Phrases(items=sorted({item for item, _ in rows}))
+        number = {item: i for i, item in enumerate(out.items)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in rows:
-            ids = [out.symbols.setdefault(w, len(out.symbols) + 1) for w in words_of(text)]
+            ids = np.array([out.symbols.setdefault(w, len(out.symbols) + 1) for w in words_of(text)], dtype=np.int32)
             n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
-        for n, by in found.items():
-            out.windows[n] = np.array(list(by), dtype=np.int32).reshape(-1, n)
-            out.items[n] = [sorted(x) for x in by.values()]
+            if n:
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), number[item]))
+        for n, parts in found.items():
+            owner = np.repeat([i for _, i in parts], [len(w) for w, _ in parts])
+            out.windows[n], which = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+            pairs = np.unique(np.column_stack([which.reshape(-1), owner]), axis=0)
+            out.owners[n] = pairs[:, 1]
+            out.first[n] = np.searchsorted(pairs[:, 0], np.arange(len(out.windows[n]) + 1))
         return out
 
+    def items_of(self, n: int, row: int) -> list[str]:
+        return [self.items[i] for i in self.owners[n][self.first[n][row] : self.first[n][row + 1]].tolist()]
+
 
 class ShardSearch:
     """Finds the phrases' occurrences in a shard, which is a batch of documents."""
@@ -86,12 +104,14 @@ class ShardSearch:
         runs = symbols[source]
         runs[first + lengths - 1] = 0
         index = FMIndex(runs, len(self.phrases.symbols))
+        present = np.bincount(runs, minlength=len(self.phrases.symbols) + 1) > 0
         begin_of_text = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
         covered = np.zeros(len(runs) + 1, dtype=np.int32)
         for n, windows in self.phrases.windows.items():
-            low, high = index.search(windows)
+            possible = np.flatnonzero(present[windows].all(axis=1))  # of words that the shard has
+            low, high = index.search(windows[possible])
             many = np.maximum(high - low, 0)
-            which = np.repeat(np.arange(len(windows)), many)
+            which = np.repeat(possible, many)
             if not len(which):
                 continue
             rows = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
@@ -101,7 +121,7 @@ class ShardSearch:
             text = np.searchsorted(begin_of_text, source[at], side="right") - 1
             both = np.unique(text.astype(np.int64) * len(windows) + which)
             for t, w in zip((both // len(windows)).tolist(), (both % len(windows)).tolist()):
-                items[t].update(self.phrases.items[n][w])
+                items[t].update(self.phrases.items_of(n, w))
         hit = np.concatenate([[0], (np.cumsum(covered[:-1]) > 0).astype(np.int8), [0]])
         edge = np.diff(hit)
         begins, lasts = source[np.flatnonzero(edge == 1)], source[np.flatnonzero(edge == -1) - 1]
@@ -123,20 +143,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> list:
-    """Broadcasts of the phrases of the benchmark, each made of about ``block_bytes`` of text.
+def pieces(batches, window: int):
+    """(i, t): items of more than PIECE_WORDS words in pieces; every window lies whole in one of them."""
+    for batch in batches:
+        ids, found = [], []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(t)
+            for a in range(0, max(1, len(words) - window + 1), PIECE_WORDS) if words else ():
+                ids.append(i)
+                found.append(b" ".join(words[a : a + PIECE_WORDS + window - 1]).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], names=["i", "t"])
 
-    Items without an id or without words can't be reported or found, and are left out.
-    """
-    sc = benchmark.sparkSession.sparkContext
+
+def benchmark_pieces(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """Items without an id or without words can't be reported or found, and are left out."""
     own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
-    out = []
-    for k in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect() if blocks > 1 else own.collect()
-        out.append(sc.broadcast(Phrases.of(sorted((r["i"], r["t"]) for r in rows), window)))
-    return out
+    return own.mapInArrow(partial(pieces, window=window), "i string, t string")
 
 
 def find_passages(
@@ -148,21 +170,33 @@ def find_passages(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
+    new: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items"),
 ) -> DataFrame:
     """``df`` with n_words, hit_spans (merged word spans that occurrences of windows cover) and hit_items.
 
     Texts and items are lower-cased (A-Z) and cut into words. An item's windows are its runs of ``window``
-    words, or all its words if it has fewer. Each Arrow batch of documents is a training shard that gets
-    its own FM-index; no shuffle takes place. hit_items are the ids of items with an occurring window,
-    sorted as strings. Null and empty texts have no words. Documents in many copies are searched like
-    others. A benchmark of more than ``block_bytes`` is searched for in as many passes over ``df``.
+    words, or all its words if it has fewer. Each slice of an Arrow batch (SHARD_ROWS rows of SHARD_BYTES of
+    text) is a training shard that gets its own FM-index; no shuffle of ``df`` takes place. hit_items are the
+    ids of items with an occurring window, sorted as strings. Null and empty texts have no words. Documents
+    in many copies are searched like others. Columns named like the ``new`` ones are replaced.
+
+    A benchmark of more than ``block_bytes`` is dealt into blocks by hash. Each block is a pass over ``df``
+    whose result is written out before the next block is loaded, so that the driver and a task hold one
+    block's windows at a time.
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("n_words", "hit_spans", "hit_items")]
-    own = "n_words long, hit_spans array<struct<start:long,end:long>>, hit_items array<string>"
-    out = df.select(*kept, *[c for c in [text] if c not in kept])
-    blocks = benchmark_blocks(benchmark, item, item_text, window, block_bytes)
-    for k, phrases in enumerate(blocks):
-        last = k == len(blocks) - 1
+    counted, spans_name, items_name = new
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new}]
+    own = f"{counted} long, {spans_name} array<struct<start:long,end:long>>, {items_name} array<string>"
+    source = unused([*kept, *new], "__text")
+    out = df.select(*kept, df[text].alias(source))
+    cut = benchmark_pieces(benchmark, item, item_text, window)
+    total = cut.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = int(total // block_bytes) + 1
+    if blocks > 1:
+        cut = write_out(cut.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))))
+    for k in range(blocks):
+        rows = (cut.where(F.col("k") == k) if blocks > 1 else cut).collect()  # about block_bytes
+        phrases = df.sparkSession.sparkContext.broadcast(Phrases.of(sorted((r["i"], r["t"]) for r in rows), window))
 
         def start(phrases=phrases):
             search = ShardSearch(phrases.value)
@@ -178,8 +212,12 @@ def find_passages(
 
             return work
 
-        inputs = [text] if k == 0 else [text, "hit_spans", "hit_items"]
-        out = append_columns(out, inputs, own, start, kept if last or text in kept else [*kept, text], rows=None)
+        inputs = [source] if k == 0 else [source, spans_name, items_name]
+        last = k == blocks - 1
+        out = append_columns(out, inputs, own, start, kept if last else [*kept, source], SHARD_ROWS, SHARD_BYTES)
+        if not last:
+            out = write_out(out)
+            phrases.destroy()
     return out
 
 
@@ -194,9 +232,12 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``df`` with benchmark passages cut out of ``text``; texts without a hit are unchanged, null stays null."""
-    order = df.columns
-    found = find_passages(df, benchmark, text, **options)
+    """``df`` with benchmark passages cut out of ``text``; texts without a hit are unchanged, null stays null.
+
+    Other columns keep their names, types and values, whatever they are called.
+    """
+    new = tuple(unused(df.columns, n) for n in ("__words", "__spans", "__items"))
+    found = find_passages(df, benchmark, text, new=new, **options)
 
     def start():
         def work(column, spans):
@@ -205,7 +246,7 @@ def remove_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", **o
 
         return work
 
-    return append_columns(found, [text, "hit_spans"], f"{text} string", start).select(*order)
+    return append_columns(found, [text, new[1]], f"{text} string", start, df.columns).select(*df.columns)
 
 
 def op4_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

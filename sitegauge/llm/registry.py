@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_verdicts": url_filter.ORACLE,
+    "op3_secret_spans": secret_scan.ORACLE,
     "op4_benchmark_passages": decontaminate.ORACLE,
 }

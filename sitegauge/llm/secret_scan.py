@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 from math import log2
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,7 +89,9 @@ class Scanner:
         self.allowed = [re.compile(p) for p in allowed]
 
     def entropy_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Hot windows that no span of ``base``, which is sorted by start, holds whole."""
         out = []
+        starts, furthest = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
         for m in CANDIDATE.finditer(text):
             word = m.group()
             # A window needs a letter and a digit: words of either alone have none, and are most candidates.
@@ -97,7 +100,7 @@ class Scanner:
             bits = next(b for p, b in CLASSES if p.match(word))
             for a, b in hot_windows(word, self.window, bits):
                 a, b = a + m.start(), b + m.start()
-                if not any(s <= a and b <= e for s, _, e in base):
+                if furthest[bisect_right(starts, a)] < b:  # the furthest end of the spans that begin by a
                     out.append((a, 3, b))
         return out
 
@@ -176,3 +179,49 @@ def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(KINDS[:3]), 256).alias("base_sha256"),
         joined().alias("spans"),
     )
+
+
+def _places(name: str, pattern: str, group: int = 0) -> str:
+    """SQL for the matches of a pattern with their places, which follow from the pieces between matches."""
+    quoted = pattern.replace("'", "''")
+    value = f"regexp_extract(found[i], '{quoted}', {group})" if group else "found[i]"
+    return f"""{name} AS (SELECT row_no, value, a, a + length(found) AS b, found AS word FROM (
+      SELECT row_no, {value} AS value, found[i] AS found,
+        CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+      FROM (SELECT row_no, found, pieces, unnest(range(1, len(found) + 1)) AS i FROM (
+        SELECT row_no, regexp_extract_all(t, '{quoted}') AS found, string_split_regex(t, '{quoted}') AS pieces FROM docs))))"""
+
+
+ORACLE = (
+    r"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents),
+"""
+    + ",\n".join((
+        _places("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1),
+        _places("access", "AKIA[A-Z0-9]+"),
+        _places("hex", "[0-9a-f]+"),
+        _places("long_", "[A-Za-z0-9+/_=-]+"),
+    ))
+    + r""",
+base AS (
+  SELECT row_no, 0 AS k, a, b FROM assign WHERE length(value) >= 6
+  UNION ALL SELECT row_no, 1, a, b FROM access WHERE length(value) >= 20
+  UNION ALL SELECT row_no, 2, a, b FROM hex WHERE length(value) >= 24),
+words AS (SELECT row_no, a, word, CASE WHEN regexp_full_match(word, '[0-9a-fA-F]+') THEN 3.0 WHEN regexp_full_match(word, '[A-Za-z0-9]+') THEN 3.6 ELSE 3.8 END AS bits
+  FROM long_ WHERE length(word) >= 20
+    AND NOT regexp_matches(word, '(?i)example|sample|dummy|placeholder|changeme|abcdefghij|0123456789|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|^(?:sha(?:1|256|384|512)|md5)[-_=]')),
+windows AS (SELECT row_no, a, bits, p, word[p : p + 19] AS w FROM (SELECT *, unnest(range(1, length(word) - 18)) AS p FROM words)
+  WHERE regexp_matches(word[p : p + 19], '[0-9]') AND regexp_matches(word[p : p + 19], '[A-Za-z]')),
+hot AS (SELECT row_no, a, p FROM windows
+  WHERE list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda n: n / 20 * log2(20 / n))) >= bits - 1e-9),
+islands AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY row_no, a ORDER BY p) AS island
+  FROM (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY row_no, a ORDER BY p) > 20, FALSE) AS gap FROM hot)),
+spans AS (SELECT row_no, a + min(p) - 1 AS a, a + max(p) + 19 AS b FROM islands GROUP BY row_no, islands.a, island),
+every AS (FROM base UNION ALL
+  SELECT row_no, 3, a, b FROM spans s WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.row_no = s.row_no AND x.a <= s.a AND s.b <= x.b)),
+listed AS (SELECT row_no, k, a, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || a || ':' || b AS s FROM every),
+joined AS (SELECT row_no, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(s, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM listed GROUP BY row_no)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (row_no)"""
+)
