@@ -55,7 +55,7 @@ def hot_windows(word: str, window: int, bits: float) -> list[tuple[int, int]]:
     The sum of c * log2(c) over the window's characters is kept up to date as one character enters and
     one leaves: four terms a step, whatever the window's length.
     """
-    term = [0.0] + [c * log2(c) for c in range(1, window + 1)]
+    term = [0.0] + [c * log2(c) for c in range(1, window + 2)]  # one more enters before one leaves
     counts: dict[str, int] = {}
     total = 0.0
     digits = letters = 0

@@ -10,6 +10,8 @@ from sitegauge.sources.tables import read_table
 
 #: Buckets whose counts are summed up by one task of the running sum.
 RUN = 1024
+#: Bytes of a bucket: at least, and at most where the input is so large that MANY buckets would be larger.
+LEAST_BYTES, MOST_BYTES, MANY = 4 << 20, 256 << 20, 4096
 
 
 def record_size(text: str = "text") -> Column:
@@ -29,7 +31,7 @@ def scatter(df: DataFrame, buckets: int, seed: int) -> DataFrame:
 
 
 def bucket_starts(scattered: DataFrame) -> DataFrame:
-    """(bucket, first): the number of records in all earlier buckets.
+    """(bucket, first, all): the number of records in all earlier buckets, and in all.
 
     Counts are summed in runs of RUN buckets, and then over runs, so that no task reads every bucket.
     """
@@ -37,9 +39,9 @@ def bucket_starts(scattered: DataFrame) -> DataFrame:
     inside = Window.partitionBy("__run").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     over_runs = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)  # one row for RUN buckets
     runs = counts.groupBy("__run").agg(F.sum("__n").alias("__in_run"))
-    before = runs.select("__run", F.coalesce(F.sum("__in_run").over(over_runs), F.lit(0)).alias("__before"))
+    before = runs.select("__run", F.coalesce(F.sum("__in_run").over(over_runs), F.lit(0)).alias("__before"), F.sum("__in_run").over(Window.partitionBy()).alias("__all"))
     within = counts.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    return within.join(before, "__run").select("__bucket", (F.col("__before") + F.col("__inside")).alias("__first"))
+    return within.join(before, "__run").select("__bucket", (F.col("__before") + F.col("__inside")).alias("__first"), "__all")
 
 
 def by_place(a: Column, b: Column) -> Column:
@@ -47,44 +49,53 @@ def by_place(a: Column, b: Column) -> Column:
 
 
 def shuffle_into_shards(
-    df: DataFrame, shards: int = 24, seed: int = 20_011, bucket_bytes: int = 16 << 20, text: str = "text"
+    df: DataFrame, shards: int = 24, seed: int = 20_011, bucket_bytes: int | None = None, text: str = "text"
 ) -> DataFrame:
     """Every record of ``df`` with shard, slot and law, in a uniformly random order.
 
-    Pass one scatters records into buckets of about ``bucket_bytes`` of text by a seeded hash. Pass two
-    reads one bucket at a time, Fisher-Yates shuffles it and deals its records. The buckets in a row are
-    one random order of all records; record p of it goes to shard p mod ``shards``, slot p div ``shards``,
-    so counts of shards are at most one apart (law ``rows``), whatever the sizes of groups and texts.
+    Pass one scatters records into memory-sized buckets by a seeded hash. Pass two moves each bucket to the
+    task of its number, Fisher-Yates shuffles it there and deals its records. The buckets in a row are one
+    random order of all records; shards are stretches of that order whose counts are at most one apart (law
+    ``rows``), whatever the sizes of groups and texts. A task's records are in the order of their slots, so
+    that ``write_shards`` needs no further shuffle.
 
     Rows with null columns, null texts, empty texts and repeated rows are records like others; an empty
-    table gives an empty result. Columns named shard, slot or law are replaced.
+    table gives an empty result. Columns named shard, slot or law are replaced. Without ``bucket_bytes`` there are
+    about MANY buckets of LEAST_BYTES to MOST_BYTES of text.
     """
     df = df.drop("shard", "slot", "law")
     total = df.agg(F.sum(record_size(text)).alias("bytes")).first()["bytes"] or 0
-    buckets = int(total // bucket_bytes) + 1
+    buckets = int(total // (bucket_bytes or min(MOST_BYTES, max(LEAST_BYTES, total // MANY)))) + 1
     scattered = scatter(df, buckets, seed)
     names = df.columns
     drawn = (
-        scattered.repartition(buckets, "__bucket")
+        scattered.repartitionById(buckets, F.col("__bucket"))
         .groupBy("__bucket")
         .agg(F.array_sort(F.collect_list(F.struct("__place", *names)), by_place).alias("__records"))
-        .sortWithinPartitions("__bucket")  # the draws of a task follow this order
         .select("__bucket", F.shuffle("__records", seed).alias("__records"))
     )
-    placed = drawn.join(F.broadcast(bucket_starts(scattered)), "__bucket") if buckets <= 100_000 else drawn.join(bucket_starts(scattered), "__bucket")
-    dealt = placed.select("__first", F.posexplode("__records").alias("__at", "__record"))
-    position = F.col("__first") + F.col("__at")
-    return dealt.select(
+    placed = drawn.join(F.broadcast(bucket_starts(scattered)), "__bucket") if buckets <= 1_000_000 else drawn.join(bucket_starts(scattered), "__bucket")
+    dealt = placed.select("__first", "__all", F.posexplode("__records").alias("__at", "__record"))
+    position, most = F.col("__first") + F.col("__at"), F.expr(f"__all div {shards}")
+    larger = F.expr(f"__all % {shards}")  # shards that have one record more, the first ones
+    edge = larger * (most + 1)
+    rest = F.expr(f"(__first + __at - (__all % {shards}) * (__all div {shards} + 1)) div greatest(__all div {shards}, 1)")
+    shard = F.when(position < edge, F.expr(f"(__first + __at) div (__all div {shards} + 1)")).otherwise(larger + rest)
+    start = F.when(position < edge, F.col("shard") * (most + 1)).otherwise(edge + (F.col("shard") - larger) * most)
+    return dealt.withColumn("shard", shard.cast("int")).select(
         *[F.col("__record")[c].alias(c) for c in names],
         F.lit("rows").alias("law"),
-        F.pmod(position, F.lit(shards)).cast("int").alias("shard"),
-        F.floor(position / shards).cast("long").alias("slot"),
+        "shard",
+        (position - start).cast("long").alias("slot"),
     )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write each shard in the order of its slots, as the folder shard=N of Parquet files below ``path``."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write each shard as the folder shard=N of Parquet files below ``path``, in the pass that shuffles the buckets.
+
+    A task writes one bucket, so the files of a shard, by name, hold its records in the order of their slots.
+    """
+    sharded.write.partitionBy("shard").parquet(path)
 
 
 def op5_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

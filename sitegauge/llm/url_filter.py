@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegauge.llm.common import unused, write_out
 from sitegauge.sources.tables import read_table
 
 #: Rules of a host and a path prefix. Order of fit: the longest wins.
@@ -41,8 +42,8 @@ PATTERN_TOKENS = {
     "archive file": ("zip",),
     "program file": ("exe",),
 }
-#: The index is part of the plan; more rules than this belong in several passes.
-MOST_RULES = 100_000
+#: The index is part of the plan; more rules than this are judged by in several passes.
+MOST_RULES = 50_000
 INDEX_TYPE = "array<array<struct<token:string,pattern:string,rule:string,verdict:string,rank:int>>>"
 
 
@@ -98,20 +99,15 @@ def url_tokens(address: Column) -> Column:
 
 def token_counts(addresses: DataFrame, address: str, tokens: set[str]) -> dict[str, int]:
     """In how many rows each of the rules' tokens stands; one row for each token of a rule comes back."""
-    wanted = F.array(*[F.lit(t) for t in sorted(tokens)])
-    found = addresses.select(F.explode(F.array_intersect(url_tokens(F.col(address)), wanted)).alias("token"))
-    return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    listed = F.from_json(F.lit(json.dumps(sorted(tokens))), "array<string>")
+    wanted = addresses.sparkSession.range(1).select(F.explode(listed).alias("token"))  # a row for each token of a rule
+    found = addresses.select(F.explode(url_tokens(F.col(address))).alias("token"))
+    own = found.join(F.broadcast(wanted) if len(tokens) <= 1_000_000 else wanted, "token", "left_semi")
+    return {r["token"]: r["n"] for r in own.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def index_rules(rules: list[Rule], counts: dict[str, int]) -> tuple[Column, int]:
-    """Hash slots of (token, rule), each rule under its rarest token only; and the number of slots.
-
-    A rule without tokens can't be indexed and is refused.
-    """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules: filter in several passes")
-    if bare := [r.pattern for r in rules if not r.tokens]:
-        raise ValueError(f"rules without a literal token: {bare}")
+    """Hash slots of (token, rule), each rule under its rarest token only; and the number of slots."""
     slots = 1 << max(4, (2 * len(rules)).bit_length())
     table: list[list[dict]] = [[] for _ in range(slots)]
     for r in rules:
@@ -128,33 +124,45 @@ def slot_of(token: str, slots: int) -> int:
     return zlib.crc32(token.encode()) % slots
 
 
-def judge_urls(df: DataFrame, rules: list[Rule] | None = None, url: str = "url", otherwise: str = "allow") -> DataFrame:
+def best_rule(address: Column, rules: list[Rule], counts: dict[str, int]) -> Column:
+    """(rank, rule, verdict) of the fitting rule of the highest rank: a url's tokens fetch the candidate rules from
+    their slots, and only those run their regular expressions."""
+    index, slots = index_rules(rules, counts)
+
+    def candidates(token: Column) -> Column:
+        return F.filter(F.get(index, F.pmod(F.crc32(F.encode(token, "utf-8")), F.lit(slots)).cast("int")), lambda r: r["token"] == token)
+
+    fetched = F.flatten(F.transform(url_tokens(address), candidates))
+    fitting = F.filter(fetched, lambda r: F.regexp_like(address, r["pattern"]))
+    return F.array_max(F.transform(fitting, lambda r: F.struct(r["rank"].alias("rank"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+
+
+def judge_urls(
+    df: DataFrame, rules: list[Rule] | None = None, url: str = "url", otherwise: str = "allow", most: int = MOST_RULES
+) -> DataFrame:
     """``df`` with host, path, rule and verdict of ``url``, without a shuffle of ``df``.
 
     First the frequency of the rules' tokens in all urls is counted. Each rule then goes into a hash
-    index under its rarest token. A url's tokens fetch the candidate rules from their slots, and only
-    those run their regular expressions. The fitting rule of the highest rank decides; without one the
-    verdict is ``otherwise`` and the rule null. Null urls and urls without ``://`` have an empty host and
-    path and fit no rule. Repeated rows give repeated results. Columns named like the new ones are replaced.
+    index under its rarest token, see ``best_rule``. The fitting rule of the highest rank decides, of equal ranks
+    the last in order of rule and verdict; without one the verdict is ``otherwise`` and the rule null. More than ``most`` rules
+    are looked up in as many passes, whose best rules so far are written out in between. A rule without
+    tokens can't be indexed and is refused. Null urls and urls without ``://`` have an empty host and path and
+    fit no rule. Repeated rows give repeated results. Columns named like the new ones are replaced.
     """
     rules = default_rules() if rules is None else rules
+    if bare := [r.pattern for r in rules if not r.tokens]:
+        raise ValueError(f"rules without a literal token: {bare}")
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = df.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"))
-    addressed = parts.withColumn("__address", F.concat("host", "path"))
-    tokens = {t for r in rules for t in r.tokens}
-    index, slots = index_rules(rules, token_counts(addressed, "__address", tokens))
-
-    def candidates(token: Column) -> Column:
-        return F.filter(F.get(index, F.pmod(F.crc32(F.encode(token, "utf-8")), F.lit(slots)).cast("int")), lambda r: r["token"] == token)
-
-    fetched = F.flatten(F.transform(url_tokens(F.col("__address")), candidates))
-    fitting = F.filter(fetched, lambda r: F.regexp_like(F.col("__address"), r["pattern"]))
-    best = F.array_max(F.transform(fitting, lambda r: F.struct(r["rank"].alias("rank"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return (
-        addressed.withColumn("__best", best)
-        .withColumn("rule", F.col("__best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("__best.verdict"), F.lit(otherwise)))
-        .select(*kept, "host", "path", "rule", "verdict")
+    address, best = unused(kept, "__address"), unused(kept, "__best")
+    found = df.select(*kept, host_of(url).alias("host"), path_of(url).alias("path")).withColumn(address, F.concat("host", "path"))
+    counts = token_counts(found, address, {t for r in rules for t in r.tokens})
+    found = found.withColumn(best, F.lit(None).cast("struct<rank:int,rule:string,verdict:string>"))
+    for k in range(0, len(rules), most):
+        if k:
+            found = write_out(found)
+        found = found.withColumn(best, F.greatest(best, best_rule(F.col(address), rules[k : k + most], counts)) if k else best_rule(F.col(address), rules[:most], counts))
+    return found.select(
+        *kept, "host", "path", F.col(f"{best}.rule").alias("rule"), F.coalesce(F.col(f"{best}.verdict"), F.lit(otherwise)).alias("verdict")
     )
 
 

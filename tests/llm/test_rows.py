@@ -2,12 +2,16 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from sitegauge.llm import decontaminate, registry, secret_scan, sharding, url_filter
 from sitegauge.llm.fm_index import FMIndex
@@ -43,10 +47,29 @@ def test_shards_are_even_and_complete(spark):
 
 
 def test_shards_of_an_empty_table_and_written_files(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, str(i)) for i in range(100)], "doc_id long, text string")
     assert sharding.shuffle_into_shards(docs.limit(0)).count() == 0
-    sharding.write_shards(sharding.shuffle_into_shards(docs, shards=2), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    few = sharding.shuffle_into_shards(docs.limit(3)).toPandas()
+    assert len(few) == 3 and few.shard.nunique() == 3 and (few.slot == 0).all()
+    made = sharding.shuffle_into_shards(docs, shards=3, bucket_bytes=100)
+    sharding.write_shards(made, str(tmp_path / "out"))
+    for shard in range(3):
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        slots = [x for f in files for x in pq.read_table(f, partitioning=None).column("slot").to_pylist()]
+        assert slots == list(range(len(slots))) and len(slots) in (33, 34)
+
+
+def test_the_draw_is_repeatable_and_even(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "'x' AS text").coalesce(2)
+    place = lambda seed: {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(docs, 2, seed, 150).collect()}
+    runs = [place(seed) for seed in range(12)]
+    assert runs[3] == place(3) and len({tuple(sorted(r.items())) for r in runs}) == 12
+    # Of 720 places of records, those in the first shard, and those that follow their neighbour's place.
+    first = sum(shard == 0 for r in runs for shard, _ in r.values())
+    assert first == 360
+    low = sum(r[i][0] == 0 for r in runs for i in range(30))
+    follow = sum((r[i][0], r[i][1] + 1) == r[i + 1] for r in runs for i in range(59))
+    assert 140 < low < 220 and follow < 40  # means 180 and 12
 
 
 URLS = [
@@ -65,13 +88,30 @@ def test_url_verdicts_equal_sql(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
-def test_each_rule_is_in_the_index_once():
-    index = {}
-    for r in url_filter.default_rules():
-        assert r.tokens
-        index.setdefault(min(r.tokens), []).append(r)
-    assert sum(map(len, index.values())) == len(url_filter.default_rules())
-    assert url_filter.slot_of("abc", 16) == zlib.crc32(b"abc") % 16
+def test_each_rule_is_in_the_index_once(spark):
+    rules = url_filter.default_rules()
+    column, slots = url_filter.index_rules(rules, {"example": 900, "org": 1000, "spam": 5, "farm": 7})
+    table = spark.range(1).select(column.alias("t")).first().t
+    assert len(table) == slots
+    entries = [(i, e) for i, slot in enumerate(table) for e in slot]
+    assert sorted(e.pattern for _, e in entries) == sorted(r.pattern for r in rules)
+    assert all(i == zlib.crc32(e.token.encode()) % slots for i, e in entries)
+    token = {e.pattern: e.token for _, e in entries}
+    assert [token[r.pattern] for r in rules if r.tokens == ("spam", "farm")] == ["spam"]
+    assert [token[r.pattern] for r in rules if r.name == "example.org/es/"] == ["es"]
+
+
+def test_rules_in_several_passes(spark):
+    rows = [(i, u) for i, u in enumerate([*URLS, *URLS, "http://x.net/" + "long-path/" * 20_000 + "a.zip"])]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    more = [url_filter.prefix_rule(f"host{i}.net/p{i}/", "block") for i in range(40)] + [url_filter.prefix_rule("example.org/es/", "allow")]
+    rules = [*url_filter.default_rules(), *more]
+    at_once = sorted(url_filter.judge_urls(df, rules).collect(), key=lambda r: r.page_id)
+    for most in (1, 20):
+        assert sorted(url_filter.judge_urls(df, rules, most=most).collect(), key=lambda r: r.page_id) == at_once
+    assert at_once[-1].verdict == "block"
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(df, [url_filter.Rule("x", ".*", (), "block", 1)])
 
 
 def plain_secrets(text):
@@ -102,6 +142,31 @@ def test_entropy_windows_equal_plain_version():
         assert {k for a, b in secret_scan.hot_windows(word, 20, 2.5) for k in range(a, b)} == hot
 
 
+def test_secrets_equal_sql(spark):
+    rng = random.Random(9)
+    bits = ["password=", "Token: ", "api_key=\"", "abc", "q8Zr1Tx0Lw5Vb7Nc3Md9Ks2Hy4", "0123456789abcdef", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "AKIA", "ABCDEFGH12345678", "é", "_", "x" * 30,
+            " ", "\n", "example", "sha256-", "f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "aaaaaaaaaaaaaaaaaaaab1b1b1", "zz9/+qQ7=Kd2Lw8"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "", "é" * 50 + " token=abcdef", texts_of_words(rng)]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = [f"cast(size(filter(secret_spans, s -> s.kind = '{k}')) AS long) AS n_{k}" for k in secret_scan.KINDS[:3]]
+    found = secret_scan.find_secrets(df, keep=["doc_id"])
+    got = found.select("doc_id", *map(secret_scan.F.expr, counts), secret_scan.F.sha2(secret_scan.joined(secret_scan.KINDS[:3]), 256).alias("base_sha256"), secret_scan.joined().alias("spans"))
+    same(got, sql("op3_secret_spans", documents=docs))
+
+
+def texts_of_words(rng):
+    return " ".join(f"token={rng.getrandbits(160):040x} q8Zr1Tx0Lw5Vb7Nc3Md9Ks2Hy4{i}" for i in range(200))
+
+
+def test_many_base_spans_take_linear_time():
+    text = " ".join(f"token=x{i:08d}y secret=q8Zr1Tx0Lw5Vb7Nc3Md9Ks2Hy4 q8Zr1Tx0Lw5Vb7Nc3Md9Ks2Hy4" for i in range(20_000))
+    began = time.process_time()
+    spans = secret_scan.Scanner().spans(text)
+    assert Counter(k for _, k, _ in spans) == {0: 40_000, 3: 20_000}
+    assert time.process_time() - began < 10  # seconds; a check against every base span would take hundreds
+
+
 def test_secrets_of_odd_rows(spark):
     key = "q8Zr1Tx0Lw5Vb7Nc3Md9Ks2Hy4"
     rows = [(1, None), (2, ""), (3, f"see {key} now"), (4, f"example_{key}"), (5, "x" * 200_000 + f" {key}"), (3, f"see {key} now")]
@@ -148,6 +213,32 @@ def test_passages_equal_sql(spark):
             same(got, expected)
 
 
+def test_passages_of_long_items_and_small_shards(spark, monkeypatch):
+    texts, items = passages()
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 500)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminate.find_passages(docs, bench, keep=["doc_id"]).collect()
+    rows = [(str(i), t) for i, t in items if t]
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    batch = pa.RecordBatch.from_pydict({"i": [i for i, _ in rows], "t": [t for _, t in rows]})
+    (cut,) = decontaminate.pieces([batch], 10)
+    assert cut.num_rows > len(rows)
+    one, two = decontaminate.Phrases.of(rows, 10), decontaminate.Phrases.of(list(zip(*cut.to_pydict().values())), 10)
+    named = lambda p: {(tuple(w.tolist()), tuple(p.items_of(n, k))) for n, ws in p.windows.items() for k, w in enumerate(ws)}
+    back = lambda p: {(tuple({v: k for k, v in p.symbols.items()}[x] for x in w), i) for w, i in named(p)}
+    assert back(one) == back(two)
+    search = decontaminate.ShardSearch(two)
+    for (counts, spans, found), row in zip(((search([t or ""])) for _, t in texts), want):
+        assert counts[0] == row.n_words and sorted(found[0]) == row.hit_items and spans[0] == [tuple(s) for s in row.hit_spans]
+
+
+def test_passages_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 2.5)], "doc_id long, text string, n_words string, hit_spans double")
+    bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.remove_passages(docs, bench).collect()] == [(1, "a ", "mine", 2.5)]
+
+
 def test_passages_are_cut(spark):
     words = [f"w{i}" for i in range(30)]
     docs = spark.createDataFrame([(1, "Keep this, " + " ".join(words[5:20]) + "; and this."), (2, "clean"), (3, None)], "doc_id long, text string")
