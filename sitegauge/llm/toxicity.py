@@ -28,8 +28,8 @@ NEAR = 5  # words
 PREFIXES = (3, 4, 5, 6)
 LEXICON = 400
 LEAST_DOCS, LEAST_Z, LEAST_ODDS = 3, 3.5, 1.2
-#: Labels of either kind that trees need.
-LEAST_LABELS = 10
+#: Parts of the training documents. The features of each part come from a lexicon of the others; the last part calibrates.
+FOLDS = 5
 THRESHOLD = 0.3
 
 #: Letters that digits and signs stand for.
@@ -39,7 +39,7 @@ FEATURES = (
     "words", "density", "hit_rate", "hits", "strongest", "distinct", "near_you", "you_rate", "capitals", "capital_words",
     "exclamations", "punctuation", "mixed_words", "obfuscated", "stretched",
 )
-CACHE = 200_000
+CACHE = 100_000
 YOU_FLAG, CAPS_FLAG, MIXED_FLAG, HIDDEN_FLAG = 1, 2, 4, 8
 
 
@@ -127,7 +127,15 @@ class Features:
         return np.array([self.one(t) for t in batch], dtype=np.float64).reshape(-1, len(FEATURES))
 
 
-def with_features(df: DataFrame, lexicon: dict[str, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def unused_prefix(columns: list[str]) -> str:
+    """A prefix that no column begins with."""
+    prefix = "f_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def with_features(df: DataFrame, lexicon: dict[str, float], text: str = "text", keep: list[str] | None = None, prefix: str = "f_") -> DataFrame:
     """``df`` with the columns f_words, f_density and so on; null texts count as empty."""
 
     def start():
@@ -139,51 +147,65 @@ def with_features(df: DataFrame, lexicon: dict[str, float], text: str = "text",
 
         return work
 
-    return append_columns(df, [text], ", ".join(f"f_{f} double" for f in FEATURES), start, keep)
+    return append_columns(df, [text], ", ".join(f"{prefix}{f} double" for f in FEATURES), start, keep)
 
 
-def learn_lexicon(train: DataFrame, size: int = LEXICON) -> dict[str, float]:
+def learn_lexicons(train: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
     """Terms that stand in far more toxic than other training documents, with their log-odds.
 
-    Tasks count the documents of each term by label; the sums are made by Spark, and only ``size`` terms
-    come back. The seed words are always terms.
+    Item k is learnt from all documents but those of fold k, the last one from all. Tasks count the documents
+    of each term by fold and label; the sums are made by Spark, and only ``size`` terms a lexicon come back.
+    The seed words are always terms.
     """
 
     def count(batches):
         seen: dict[str, list[str]] = {}
         for batch in batches:
-            found = (Counter(), Counter())
-            for t, label in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+            found: dict[tuple[int, bool], Counter] = {}
+            for t, label, fold in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = set(map(bare, set(t.split())))
                 for w in words.difference(seen):
                     seen[w] = terms(w)
-                found[label > 0].update({x for w in words for x in seen[w]})
-            toxic = [(t, n, found[0].get(t, 0)) for t, n in found[1].items()]
-            # Terms of clean documents only can't become toxic in this batch, but others may need their counts.
-            clean = [(t, 0, n) for t, n in found[0].items() if t not in found[1]]
-            both = toxic + clean
-            yield pa.RecordBatch.from_pylist(
-                [{"term": t, "toxic": a, "clean": b} for t, a, b in both],
-                schema=pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]),
-            )
-
-    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    many = sum(n for label, n in sizes.items() if label > 0)
-    rest = sum(n for label, n in sizes.items() if label <= 0)
-    counts = train.select("text", "label").mapInArrow(count, "term string, toxic long, clean long")
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a / (many + 1)) - F.log(b / (rest + 1))
-    found = (
-        counts.groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") >= LEAST_DOCS)
-        .select("term", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-        .where((F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
-        .orderBy(F.desc("z"), "term")
-        .limit(size)
-    )
-    learnt = {r["term"]: r["odds"] for r in found.collect()}
-    return {"=" + w: SEED_WEIGHT for w in SEED_WORDS} | learnt
+                found.setdefault((fold, label > 0), Counter()).update({x for w in words for x in seen[w]})
+            for (fold, toxic), counts in found.items():
+                columns = [pa.array(list(counts)), pa.array([fold] * len(counts), pa.int32()), *[pa.array([n * (toxic == kind) for n in counts.values()], pa.int64()) for kind in (True, False)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "fold", "toxic", "clean"])
+
+    sizes = {(r["fold"], r["toxic"]): r["count"] for r in train.groupBy("fold", (F.col("label") > 0).alias("toxic")).count().collect()}
+    counts = train.select("text", "label", "fold").mapInArrow(count, "term string, fold int, toxic long, clean long")
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c))).alias(f"{c}{k}") for k in range(FOLDS) for c in ("toxic", "clean")]
+    summed = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *by_fold)
+    summed = write_out(summed.where(F.col("toxic") >= LEAST_DOCS))
+    out = []
+    for k in range(FOLDS + 1):
+        many, rest = [sum(n for (fold, toxic), n in sizes.items() if fold != k and toxic == kind) for kind in (True, False)]
+        left = [F.col(c) - (F.coalesce(f"{c}{k}", F.lit(0)) if k < FOLDS else 0) for c in ("toxic", "clean")]
+        a, b = left[0] + 0.5, left[1] + 0.5
+        odds = F.log(a / (many + 1)) - F.log(b / (rest + 1))
+        found = (
+            summed.where(left[0] >= LEAST_DOCS)
+            .select("term", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
+            .where((F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
+            .orderBy(F.desc("z"), "term")
+            .limit(size)
+        )
+        out.append({"=" + w: SEED_WEIGHT for w in SEED_WORDS} | {r["term"]: r["odds"] for r in found.collect()})
+    return out
+
+
+def with_own_features(train: DataFrame, lexicons: list[dict[str, float]], prefix: str) -> DataFrame:
+    """Features of training documents, each from the lexicon that its fold had no part in."""
+
+    def start():
+        by_fold = [Features(x) for x in lexicons]
+
+        def work(column, folds):
+            made = np.array([by_fold[fold].one(t) for t, fold in zip(texts(column), folds.to_pylist())], dtype=np.float64).reshape(-1, len(FEATURES))
+            return [pa.array(made[:, i], type=pa.float64()) for i in range(len(FEATURES))]
+
+        return work
+
+    return append_columns(train, ["text", "fold"], ", ".join(f"{prefix}{f} double" for f in FEATURES), start, ["label", "fold"])
 
 
 def score_toxicity(
@@ -191,35 +213,40 @@ def score_toxicity(
 ) -> DataFrame:
     """``docs`` with toxic_score, the calibrated probability of label 1.
 
-    A lexicon and gradient-boosted trees are fitted on at most ``rows`` labelled documents (see
-    ``training_texts``); four fifths of them grow the trees and the rest calibrate them by isotonic
-    regression. The calibrated steps keep a thousandth of the trees' own probability, so that equal steps
-    still rank. All documents are scored whole. Null and empty texts get the score of a text without
-    words. With fewer than LEAST_LABELS labels of either kind no trees are grown, and the score is
-    1 - exp(-hits of the lexicon). Repeated rows get equal scores.
+    A lexicon, trees and calibration are learnt from at most ``rows`` labelled documents (see
+    ``training_texts``). These are dealt into FOLDS; a fold's features come from a lexicon of the others, so
+    that neither trees nor calibration see a lexicon that knew their labels. Gradient-boosted trees grow
+    on all folds but the last, by which isotonic regression calibrates them. The documents are then scored with
+    the lexicon of all folds. The calibrated steps keep a thousandth of the trees' own probability, so that equal steps still rank.
+    All documents are scored whole. Null and empty texts get the score of a text without words. Where the
+    trees' or the calibrating part lacks labels of either kind, no trees are grown, and the score is 1 - exp(-hits
+    of the lexicon). Repeated rows get equal scores. The columns of ``keep`` (all by default) keep their values.
     """
-    train = write_out(training_texts(docs.select("doc_id", F.col(text).alias("text")), labels, "toxic", rows))
-    lexicon = learn_lexicon(train)
-    names = [f"f_{f}" for f in FEATURES]
-    keep = docs.columns if keep is None else keep
-    featured = with_features(docs, lexicon, text, keep)
-    toxic = train.where("label > 0").count()
-    if min(toxic, train.count() - toxic) < LEAST_LABELS:
-        return featured.select(*keep, (1 - F.exp(1 - F.exp("f_hits"))).alias("toxic_score"))
-    vectors = VectorAssembler(inputCols=names, outputCol="__vector")
-    known = write_out(with_features(train, lexicon, "text", ["doc_id", "label"]))
-    known = vectors.transform(known).select("doc_id", F.col("label").cast("double").alias("label"), "__vector").coalesce(1)
-    apart = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5))
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "toxic_score"]
+    train = training_texts(docs.select("doc_id", F.col(text).alias("text")), labels, "toxic", rows)
+    train = write_out(train.withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int")))
+    *lexicons, lexicon = learn_lexicons(train)
+    steps_part = F.col("fold") == FOLDS - 1
+    kinds = {(r["part"], r["toxic"]) for r in train.select(steps_part.alias("part"), (F.col("label") > 0).alias("toxic")).distinct().collect()}
+    # Features have names that no column of the caller has.
+    own = unused_prefix(keep)
+    featured = with_features(docs, lexicon, text, keep, own)
+    if len(kinds) < 4:
+        return featured.select(*keep, (1 - F.exp(1 - F.exp(f"{own}hits"))).alias("toxic_score"))
+    names = {k: own + k for k in ("vector", "p", "r", "c", "raw", "steps")}
+    vectors = VectorAssembler(inputCols=[own + f for f in FEATURES], outputCol=names["vector"])
+    known = write_out(with_own_features(train, lexicons, own))
+    known = vectors.transform(known).select("fold", F.col("label").cast("double").alias("label"), names["vector"]).coalesce(1)
     grower = GBTClassifier(
-        featuresCol="__vector", labelCol="label", predictionCol="__c",
+        featuresCol=names["vector"], labelCol="label", predictionCol=names["c"],
         maxIter=25, maxDepth=4, stepSize=0.2, minInstancesPerNode=4, seed=17,
     )
-    trees = grower.setProbabilityCol("__p").setRawPredictionCol("__r").fit(known.where(apart != 0))
-    second = vector_to_array("__p")[1]
-    calibrate = trees.transform(known.where(apart == 0)).select("label", second.alias("__raw"))
-    steps = IsotonicRegression(featuresCol="__raw", labelCol="label", predictionCol="__steps").fit(calibrate)
-    scored = steps.transform(trees.transform(vectors.transform(featured)).withColumn("__raw", second))
-    return scored.select(*keep, (0.999 * F.col("__steps") + 0.001 * F.col("__raw")).alias("toxic_score"))
+    trees = grower.setProbabilityCol(names["p"]).setRawPredictionCol(names["r"]).fit(known.where(~steps_part))
+    second = vector_to_array(names["p"])[1]
+    calibrate = trees.transform(known.where(steps_part)).select("label", second.alias(names["raw"]))
+    steps = IsotonicRegression(featuresCol=names["raw"], labelCol="label", predictionCol=names["steps"]).fit(calibrate)
+    scored = steps.transform(trees.transform(vectors.transform(featured)).withColumn(names["raw"], second))
+    return scored.select(*keep, (0.999 * F.col(names["steps"]) + 0.001 * F.col(names["raw"])).alias("toxic_score"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
