@@ -98,15 +98,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sitegauge-{uuid.uuid4().hex}"
 
 
-def write_out(df: DataFrame, outlive: bool = False) -> DataFrame:
+def write_out(df: DataFrame, outlive: bool = False, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends at durable files.
 
     The files are deleted when the innermost open ``scratch`` ends, those that ``outlive`` it with the next one.
+    With a ``path`` of the caller they are the caller's.
     """
-    path = shared_folder(df.sparkSession)
     scopes = _scopes.get()[: -1 if outlive else None]
-    if scopes:
-        scopes[-1].append(path)
+    if scopes and path is None:
+        scopes[-1].append(path := shared_folder(df.sparkSession))
+    path = path or shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -120,9 +121,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.reset(token)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for path in map(hadoop, own):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in own:
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def texts(column: pa.Array) -> Iterable[str]:

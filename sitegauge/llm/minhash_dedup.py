@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import append_columns, sorted_groups, write_out
+from sitegauge.llm.common import append_columns, scratch, sorted_groups, write_out
 from sitegauge.llm.components import connected_components, forest
 from sitegauge.sources.tables import read_table
 
@@ -21,12 +21,14 @@ VALUES, TREES, CHILDREN = 128, 6, 2
 NODE, LEVELS = 128, 5
 #: A large node that keeps this share of its parent's sets is dense: they agree on most values.
 DENSE = 0.8
-#: Share of equal minwise values from which sets are held for candidates: five standard deviations below 0.8.
-CANDIDATE = 0.62
+#: Values of the longer sketches by which the sets of large bundles are told apart once more.
+REFINED = 1024
+#: Sets are held for candidates from so many standard deviations below the share of equal values of a true link.
+DEVIATIONS = 5
 #: Bytes of the sets of a bundle that one task compares; of the pivots of a round and of a block in larger bundles.
 BUNDLE_BYTES, PIVOT_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20, 2 << 20
-#: Document ids that may be broadcast to fetch the texts of candidates; beyond, the join is shuffled.
-BROADCAST_IDS = 4_000_000
+#: Bytes of document ids that may be broadcast to fetch the texts of candidates; beyond, the join is shuffled.
+BROADCAST_BYTES = 64 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PRIME, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -55,21 +57,29 @@ def shingle_set(text: str, words: int) -> np.ndarray:
 
 
 class Sketcher:
-    """The least of VALUES hashes over a set: equal in two sets with the probability of their similarity."""
+    """The least of ``values`` hashes over a set: equal in two sets with the probability of their similarity."""
 
-    def __init__(self):
-        rng = np.random.default_rng(20_099)
-        self.flip = rng.integers(0, 2**32, VALUES, dtype=np.uint32)
-        self.scale = rng.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    def __init__(self, values: int = VALUES):
+        rng = np.random.default_rng(20_099 + values)
+        self.values = values
+        self.flip = rng.integers(0, 2**32, values, dtype=np.uint32)
+        self.scale = rng.integers(0, 2**31, values, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         short = (shingles >> np.uint64(32)).astype(np.uint32)
-        low = np.full(VALUES, 2**32 - 1, dtype=np.uint32)
-        for a in range(0, len(short), 2048):
-            low = np.minimum(low, ((short[a : a + 2048, None] ^ self.flip) * self.scale).min(axis=0))
+        low = np.full(self.values, 2**32 - 1, dtype=np.uint32)
+        step = 2048 * VALUES // self.values
+        for a in range(0, len(short), step):
+            low = np.minimum(low, ((short[a : a + step, None] ^ self.flip) * self.scale).min(axis=0))
         return low
 
 
+def least_equal(values: int, threshold: int) -> int:
+    """Equal values from which two sketches are candidates; a link has fewer with a chance of about 3e-7."""
+    t = threshold / 100
+    return int(values * (t - DEVIATIONS * (t * (1 - t) / values) ** 0.5))
+
+
 def signature(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -89,14 +99,14 @@ def start_features(words: int):
     return work
 
 
-def branch(batches, roots: bool):
+def branch(batches, roots: bool, values: int = VALUES):
     """Children of each row's path: the path grows by CHILDREN of the set's minwise values.
 
     Which values a node branches on follows from the path alone, so that all sets of a node agree on it.
     A child keeps its parent's number of sets (of a root's: 0).
     """
     for batch in batches:
-        values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+        sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, values)
         ids = batch.column("class").to_numpy()
         if roots:
             paths = mixed(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -108,26 +118,32 @@ def branch(batches, roots: bool):
         with np.errstate(over="ignore"):
             for c in range(CHILDREN):
                 drawn = mixed(path + np.uint64(c + 1) * PRIME)
-                which = (drawn % np.uint64(VALUES // CHILDREN)).astype(np.int64) * CHILDREN + c  # distinct among children
-                token = values[at, which].astype(np.uint64) + (which.astype(np.uint64) << np.uint64(33))
+                which = (drawn % np.uint64(values // CHILDREN)).astype(np.int64) * CHILDREN + c  # distinct among children
+                token = sketches[at, which].astype(np.uint64) + (which.astype(np.uint64) << np.uint64(33))
                 out.append(mixed(path * PRIME + mixed(token)))
         made = pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids[at], CHILDREN)), pa.array(np.tile(parents, CHILDREN))
         yield pa.RecordBatch.from_arrays(list(made), names=["path", "class", "parent"])
 
 
-def node_candidates(batches):
-    """(class, root) of the sets of each small node that are candidates for one another, compared exhaustively."""
+def node_candidates(batches, values: int, threshold: int):
+    """(class, root) of the sets of each small node that are candidates for one another, compared exhaustively.
+
+    Sets whose sizes alone rule the similarity out are no candidates.
+    """
 
     def convert(table):
-        short = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
-        return table.column("class").to_numpy(), (short & np.uint32(255)).astype(np.uint8)
+        short = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, values)
+        return table.column("class").to_numpy(), (short & np.uint32(255)).astype(np.uint8), table.column("size").to_numpy()
 
-    least = int(CANDIDATE * VALUES)
+    least = least_equal(values, threshold)
     ids, roots = [], []
-    for classes, sketches in sorted_groups(batches, "path", convert):
-        near = np.triu((sketches[:, None, :] == sketches[None, :, :]).sum(axis=2) >= least, 1)
-        if near.any():
-            root = classes[forest(len(classes), *np.nonzero(near))]
+    for classes, sketches, size in sorted_groups(batches, "path", convert):
+        near = np.triu(100 * np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size), 1)
+        a, b = np.nonzero(near)
+        equal = [(sketches[a[i : i + 4096]] == sketches[b[i : i + 4096]]).sum(axis=1) >= least for i in range(0, len(a), 4096)]
+        hit = np.concatenate([*equal, np.zeros(0, dtype=bool)])
+        if hit.any():
+            root = classes[forest(len(classes), a[hit], b[hit])]
             apart = classes != root
             ids.append(classes[apart])
             roots.append(root[apart])
@@ -142,8 +158,8 @@ def two_columns(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
 
-def chosen_paths(classes: DataFrame) -> DataFrame:
-    """Links (a, b) that join all sets whose sketches are candidates for one another.
+def chosen_paths(classes: DataFrame, threshold: int, values: int = VALUES) -> DataFrame:
+    """Links (a, b) that join all sets (class, size, sketch) whose sketches are candidates for one another.
 
     In each of TREES independent trees a set is branched by minwise values; a node is what shares a path.
     Nodes of one set end. Small nodes are compared; nodes of the same sets are compared once. Larger nodes
@@ -151,7 +167,7 @@ def chosen_paths(classes: DataFrame) -> DataFrame:
     linked with the node's first set, unseen: the check of full sets decides.
     """
     kind = "path long, class long, parent long"
-    rows = write_out(classes.select("class", "sketch").mapInArrow(partial(branch, roots=True), kind))
+    rows = write_out(classes.select("class", "sketch").mapInArrow(partial(branch, roots=True, values=values), kind))
     links: list[DataFrame] = []
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("path").agg(
@@ -160,8 +176,9 @@ def chosen_paths(classes: DataFrame) -> DataFrame:
         )
         sizes = write_out(sizes.where("n > 1"))
         small = sizes.where(F.col("n") <= NODE).groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path")
-        leaves = rows.join(small, "path").join(classes.select("class", "sketch"), "class").select("path", "class", "sketch")
-        compared = leaves.repartition("path").sortWithinPartitions("path").mapInArrow(node_candidates, "a long, b long")
+        leaves = rows.join(small, "path").join(classes.select("class", "size", "sketch"), "class").select("path", "class", "size", "sketch")
+        compare = partial(node_candidates, values=values, threshold=threshold)
+        compared = leaves.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a long, b long")
         links.append(write_out(compared.distinct()))
         large = sizes.where(F.col("n") > NODE).select("path", "n", "least", ((F.col("n") >= DENSE * F.col("parent")) & (F.col("parent") > 0)).alias("dense"))
         if large.isEmpty():
@@ -171,7 +188,7 @@ def chosen_paths(classes: DataFrame) -> DataFrame:
         if level == LEVELS:
             break
         grown = rows.join(large.where(~F.col("dense")), "path").select("path", "class", "n").join(classes.select("class", "sketch"), "class")
-        rows = write_out(grown.mapInArrow(partial(branch, roots=False), kind))
+        rows = write_out(grown.mapInArrow(partial(branch, roots=False, values=values), kind))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -287,28 +304,67 @@ def large_bundle_links(members: DataFrame, threshold: int) -> DataFrame:
         )
 
 
-def near_duplicates(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, threshold: int = THRESHOLD
+def refined(members: DataFrame, threshold: int) -> DataFrame:
+    """``members`` of large bundles in the smaller bundles that longer sketches leave.
+
+    What chained sets together without being a link, as a passage that many texts share, has fewer equal
+    values than a link by a margin that narrows with the sketch. Sets left alone have no link.
+    """
+
+    def sketches():
+        sketch = Sketcher(REFINED)
+        return lambda column: [[sketch(np.frombuffer(x, dtype=np.uint64)).tobytes() for x in column.to_pylist()]]
+
+    classes = append_columns(members, ["shingles"], "sketch binary", sketches, ["class", "size"])
+    again = connected_components(chosen_paths(write_out(classes), threshold, REFINED))
+    return members.drop("bundle").join(again.select(F.col("node").alias("class"), F.col("root").alias("bundle")), "class")
+
+
+def by_bytes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of bundles that one task compares, and of those that are larger."""
+    sizes = members.groupBy("bundle").agg((8 * F.sum("size")).alias("bytes"))
+    sized = write_out(members.join(sizes, "bundle"))
+    return sized.where(F.col("bytes") <= BUNDLE_BYTES).drop("bytes"), sized.where(F.col("bytes") > BUNDLE_BYTES).drop("bytes")
+
+
+def true_links(members: DataFrame, threshold: int) -> DataFrame:
+    """Links that connect the true components of bundles: (bundle, class, size, shingles)."""
+    small, large = by_bytes(members)
+    if not large.isEmpty():
+        fewer, large = by_bytes(refined(large, threshold))
+        small = small.unionByName(fewer)
+    sorted_ = small.select("bundle", "class", "shingles").repartition("bundle").sortWithinPartitions("bundle")
+    links = sorted_.mapInArrow(partial(bundle_links, threshold=threshold), "a long, b long")
+    return links if large.isEmpty() else links.unionByName(large_bundle_links(large.drop("size"), threshold))
+
+
+def near_groups(
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = SHINGLE_WORDS,
+    threshold: int = THRESHOLD,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``.
+    """(doc_id, n_shingles, component_id, group) and the columns of ``keep``, one row for each row of ``df``.
 
-    A text's set holds its distinct runs of ``words`` words (A-Z lower-cased, cut at ASCII white space); a
-    shorter text's words are one run. Documents link if their sets share ``threshold`` per cent of their union.
-    Equal sets are one class. Candidates are found by ``chosen_paths``, and bundles of candidates are
-    decided on full sets. component_id is the smallest id reachable. Null, empty and blank texts and rows
-    without an id link with nothing and are their own component. Repeated rows are copies like others.
+    Rows of one component have one ``group``, null for those that can't link; see ``near_duplicates``.
     """
-    own = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    features = write_out(append_columns(own, ["text"], "n_shingles long, sign binary, sketch binary", partial(start_features, words), ["doc_id"]))
-    grouped = features.where("sign is not null and doc_id is not null").groupBy("sign").agg(
-        F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")
-    )
-    classes = write_out(grouped.withColumn("class", F.monotonically_increasing_id()))
-    bundles = connected_components(chosen_paths(classes)).withColumnRenamed("node", "class").withColumnRenamed("root", "bundle")
-    wanted = write_out(bundles.join(classes.select("class", "sign", "first", "n"), "class"))
-    sizes = wanted.groupBy("bundle").agg((8 * F.sum("n")).alias("size"))
+    with scratch(df.sparkSession):
+        return write_out(grouped(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep), words, threshold, keep), outlive=True)
+
+
+def grouped(own: DataFrame, words: int, threshold: int, keep: tuple[str, ...]) -> DataFrame:
+    features = write_out(append_columns(own, ["text"], "n_shingles long, sign binary, sketch binary", partial(start_features, words), ["doc_id", *keep]))
+    by_sign = features.where("sign is not null and doc_id is not null").groupBy("sign")
+    distinct = by_sign.agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
+    classes = write_out(distinct.withColumn("class", F.monotonically_increasing_id()))
+    bundles = connected_components(chosen_paths(classes, threshold)).withColumnRenamed("node", "class").withColumnRenamed("root", "bundle")
+    wanted = write_out(bundles.join(classes.select("class", "sign", "first", "size"), "class"))
     ids = wanted.select(F.col("first").alias("doc_id")).distinct()
-    some = own.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    # Their bytes: 8 for a number, else what the longest id takes in all.
+    bytes_ = wanted.agg(F.count("*") * F.max(F.octet_length(F.col("first").cast("string")) + 8)).first()[0] or 0
+    some = own.join(F.broadcast(ids) if bytes_ <= BROADCAST_BYTES else ids, "doc_id", "left_semi")
 
     def shingles():
         def work(column):
@@ -318,21 +374,43 @@ def near_duplicates(
         return work
 
     sets = append_columns(some, ["text"], "sign binary, shingles binary", shingles, []).dropDuplicates(["sign"])
-    members = write_out(wanted.join(sets, "sign").join(sizes, "bundle").select("class", "bundle", "size", "shingles"))
-    small = members.where(F.col("size") <= BUNDLE_BYTES).repartition("bundle").sortWithinPartitions("bundle").select("bundle", "class", "shingles")
-    links = small.mapInArrow(partial(bundle_links, threshold=threshold), "a long, b long")
-    large = members.where(F.col("size") > BUNDLE_BYTES)
-    if not large.isEmpty():
-        links = links.unionByName(large_bundle_links(large.drop("size"), threshold))
-    roots = connected_components(links).withColumnRenamed("node", "class")
+    members = wanted.join(sets, "sign").select("class", "bundle", "size", "shingles")
+    roots = connected_components(true_links(members, threshold)).withColumnRenamed("node", "class")
     labelled = write_out(classes.select("class", "sign", "first").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = labelled.join(smallest, "root").select("sign", "component_id")
-    found = features.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("sign")).alias("sign")).join(known, "sign", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return found.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    known = labelled.join(smallest, "root").select("sign", "component_id", F.col("root").alias("group"))
+    found = features.select("doc_id", *keep, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("sign")).alias("sign")).join(known, "sign", "left")
+    return found.select("doc_id", *keep, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, threshold: int = THRESHOLD
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``df``.
+
+    A text's set holds its distinct runs of ``words`` words (A-Z lower-cased, cut at ASCII white space); a
+    shorter text's words are one run. Documents link if their sets share ``threshold`` per cent of their union; the
+    trees' recall is stated for 80 or more. Equal sets are one class. Candidates are found by ``chosen_paths``, and bundles of candidates are
+    decided on full sets. component_id is the smallest id reachable. Null, empty and blank texts and rows
+    without an id link with nothing and are their own component. Repeated rows are copies like others.
+    """
+    own = F.col("doc_id") == F.col("component_id")
+    return near_groups(df, doc_id, text, words, threshold).select("doc_id", "n_shingles", "component_id", F.coalesce(own, F.lit(True)).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct([array_to_string(w[i : i + least(4, len(w)) - 1], ' ') for i in range(1, len(w) - least(4, len(w)) + 2)]) AS s FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS c, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+elements AS (SELECT c, n, hash(e) AS e FROM (SELECT c, n, unnest(s) AS e FROM classes)),
+links AS (SELECT a.c AS a, b.c AS b FROM elements a JOIN elements b ON a.e = b.e AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+twoway AS (FROM links UNION ALL SELECT b, a FROM links),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT x.c, y.b FROM reach x JOIN twoway y ON y.a = x.r),
+roots AS (SELECT c, min(r) AS r FROM reach GROUP BY c)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(r, d.doc_id) AS component_id, d.doc_id = coalesce(r, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes k ON len(d.s) > 0 AND list_sort(d.s) = k.s LEFT JOIN roots ON roots.c = k.c"""
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,4 +21,5 @@ ORACLES: dict[str, str] = {
     "op2_url_verdicts": url_filter.ORACLE,
     "op3_secret_spans": secret_scan.ORACLE,
     "op4_benchmark_passages": decontaminate.ORACLE,
+    "op9_near_duplicates": minhash_dedup.ORACLE,
 }
