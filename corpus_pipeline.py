@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.llm import bpe, decontaminate, minhash_dedup, quality, secret_scan
-from sitegauge.llm.common import write_out
+from sitegauge.llm.common import delete_folder, scratch, shared_folder, unused, write_out
 from sitegauge.sources.tables import read_table
 
 
@@ -22,20 +22,35 @@ def with_lengths(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject, the operator's threshold deciding."""
-    scored = quality.score_quality(docs, read_table(spark, sf_dir, "labels"))
-    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    """Documents that the quality classifier doesn't reject, the operator's threshold deciding.
+
+    Where the labels teach nothing (there are none, or of one kind only), all documents stay.
+    """
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    if model.network is None:
+        return docs
+    score = unused(docs.columns, "__score")
+    return quality.with_scores(docs, model, score=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates, that of the smallest id; of rows with one id, one.
+    """One document of every group of near duplicates, that of the smallest id; of equal ids, of the smallest MD5.
 
-    Rows without an id are kept.
+    Rows that link with nothing (without an id, or without words) are kept. An id that stands for several texts
+    stands for as many documents; of rows with one id and one text, one stays, the least in order of the
+    hash of all its columns.
     """
-    groups = minhash_dedup.near_duplicates(docs)
-    first = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    key = unused(docs.columns, "__key")
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    groups = minhash_dedup.near_groups(keyed, keep=(key,)).where("group is not null")
+    rows = groups.groupBy("group", "doc_id", key).agg(F.count("*").alias("rows"))
+    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", key)).alias("first")).select("group", "first.*").withColumn("stays", F.lit(True))
+    decided = write_out(rows.join(first, ["group", "doc_id", key], "left").select("doc_id", key, "rows", "stays"))
+    alone = keyed.join(decided.where("stays is null or rows > 1").select("doc_id", key), ["doc_id", key], "left_anti")
+    repeated = keyed.join(F.broadcast(decided.where("stays and rows > 1").select("doc_id", key)), ["doc_id", key], "left_semi")
+    row = F.struct(*docs.columns)
+    one = repeated.groupBy("doc_id", key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return alone.select(*docs.columns).unionByName(one.select("row.*"))
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +81,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written to the shared folder before the next reads them."""
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = write_out(docs)
-    return docs
+    """All stages over documents, each stage's rows written to the shared folder before the next reads them.
+
+    A stage's intermediate tables, and the rows it has read, are deleted as soon as its own rows are written.
+    Null, empty and very long texts and repeated rows pass through every stage as its function states; an
+    empty table gives an empty result, and an empty benchmark or no labels change nothing. Other columns of
+    documents keep their values, but for those that ``encode_tokens`` adds.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = shared_folder(spark)
+        with scratch(spark):
+            docs = write_out(stage(spark, docs, sf_dir), path=path)
+        if before:
+            delete_folder(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
