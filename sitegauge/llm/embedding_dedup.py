@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from math import ceil, sqrt
 
 import numpy as np
@@ -10,15 +11,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import write_out
+from sitegauge.llm.common import scratch, write_out
 from sitegauge.llm.components import connected_components, forest
 from sitegauge.sources.tables import read_table
 
 THRESHOLD = 0.95
 #: Leading principal dimensions of the grid, and vectors on which the principal axes are fitted at most.
 AXES, FIT_ROWS = 8, 5000
-#: Bytes of 32-bit components in a block that is sent to a task; vectors in an interval that is not split further.
-BLOCK_BYTES, LEAF = 1 << 20, 64
+#: Bytes of a block of vectors, and of the stretch of blocks that a task compares with another stretch, at least and at most.
+BLOCK_BYTES, STRETCH_BYTES = (64 << 10, 1 << 20), (256 << 10, 32 << 20)
+#: Blocks and stretches that the vectors make where those bounds allow it; vectors in an interval that is not split further.
+BLOCKS, STRETCHES, LEAF = 32, 8, 64
 #: Intervals of a level that make one interval of the level above.
 FAN = 8
 #: Links that a task holds before it shrinks them to a forest.
@@ -38,7 +41,7 @@ def principal_axes(classes: DataFrame, width: int) -> np.ndarray:
     for i, v in enumerate(some):
         rows[i, : len(v)] = np.asarray(v, dtype=np.float64)
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    _, axes = np.linalg.eigh(np.cov(rows.T) if len(rows) > 1 else np.eye(width))
+    _, axes = np.linalg.eigh(np.atleast_2d(np.cov(rows.T)) if len(rows) > 1 else np.eye(width))
     return axes[:, ::-1][:, :AXES]
 
 
@@ -55,10 +58,20 @@ def list_parts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
+def boxed(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the axes, and the length of what the axes leave: two vectors are at least as far apart as these."""
+    on = unit @ axes
+    return np.column_stack([on, np.sqrt(np.maximum(0, 1 - (on * on).sum(axis=1)))])
+
+
+def between(bounds: tuple[int, int], size: int) -> int:
+    return min(bounds[1], max(bounds[0], size))
+
+
 def order_blocks(classes: DataFrame, axes: np.ndarray, width: int, eps: float) -> DataFrame:
     """Classes sorted in epsilon grid order and packed: one row per block of vectors that follow one another.
 
-    A block has its place, the box of its projections (lo0.., hi0..), and its vectors as bytes.
+    A block has its place, its stretch of blocks, its box (lo0.., hi0.., see ``boxed``), and its vectors as bytes.
     """
     k = axes.shape[1]
     cells = ", ".join(f"c{i} int" for i in range(k))
@@ -71,8 +84,10 @@ def order_blocks(classes: DataFrame, axes: np.ndarray, width: int, eps: float) -
                 [*batch.columns, *[pa.array(cell[:, i]) for i in range(k)]], names=[*batch.schema.names, *[f"c{i}" for i in range(k)]]
             )
 
-    rows = max(LEAF, BLOCK_BYTES // (4 * width))
-    names = [f"lo{i}" for i in range(k)] + [f"hi{i}" for i in range(k)]
+    many, item = classes.count(), (4 if element_type(classes) == "float" else 8) * width
+    rows = max(LEAF, between(BLOCK_BYTES, many * item // BLOCKS) // item)
+    stretch = max(1, between(STRETCH_BYTES, many * item // STRETCHES) // (rows * item))  # blocks
+    names = [f"lo{i}" for i in range(k + 1)] + [f"hi{i}" for i in range(k + 1)]
 
     def pack(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -83,7 +98,7 @@ def order_blocks(classes: DataFrame, axes: np.ndarray, width: int, eps: float) -
             flat = np.concatenate([h[2] for h in held])
             sizes, ids, copies = (np.concatenate([h[i] for h in held]) for i in (3, 0, 1))
             take = int(sizes[:n].sum())
-            box = units(flat[:take].astype(np.float64), sizes[:n], width) @ axes
+            box = boxed(units(flat[:take].astype(np.float64), sizes[:n], width), axes)
             row = [[part], [at], [ids[:n].tobytes()], [copies[:n].tobytes()], [sizes[:n].astype(np.int32).tobytes()], [flat[:take].tobytes()]]
             row += [[x] for x in (*box.min(0).tolist(), *box.max(0).tolist())]
             at += 1
@@ -99,7 +114,7 @@ def order_blocks(classes: DataFrame, axes: np.ndarray, width: int, eps: float) -
             yield block(sum(len(h[0]) for h in held))
 
     placed = classes.select("class", "copies", "vector").mapInArrow(place, f"class long, copies long, vector array<{element_type(classes)}>, {cells}")
-    parts = max(1, ceil(classes.count() / rows))
+    parts = max(1, ceil(many / rows))
     order = [f"c{i}" for i in range(k)] + ["class"]
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("class", "copies", "vector")
     boxes = ", ".join(f"{n} double" for n in names)
@@ -108,7 +123,8 @@ def order_blocks(classes: DataFrame, axes: np.ndarray, width: int, eps: float) -
     span = FAN
     while span <= most:
         span *= FAN
-    return packed.withColumn("place", F.col("part") * span + F.col("at")).drop("part", "at")
+    stretched = F.floor(F.col("part") / stretch).alias("stretch")
+    return packed.select("*", (F.col("part") * span + F.col("at")).alias("place"), stretched).drop("part", "at")
 
 
 def element_type(classes: DataFrame) -> str:
@@ -148,11 +164,10 @@ def near_blocks(blocks: DataFrame, k: int, eps: float) -> DataFrame:
 
 
 class Block:
-    def __init__(self, row: dict, axes: np.ndarray, width: int, dtype):
-        self.ids, self.copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
-        self.sizes = np.frombuffer(row["sizes"], np.int32)
-        self.units = units(np.frombuffer(row["flat"], dtype).astype(np.float64), self.sizes, width)
-        box = self.units @ axes
+    def __init__(self, ids: bytes, copies: bytes, sizes: bytes, flat: bytes, axes: np.ndarray, width: int, dtype):
+        self.ids, self.copies, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64), np.frombuffer(sizes, np.int32)
+        self.units = units(np.frombuffer(flat, dtype).astype(np.float64), self.sizes, width)
+        box = boxed(self.units, axes)
         self.leaves = [(a, min(a + LEAF, len(self.ids))) for a in range(0, len(self.ids), LEAF)]
         low = np.array([box[a:b].min(0) for a, b in self.leaves])
         high = np.array([box[a:b].max(0) for a, b in self.leaves])
@@ -221,6 +236,39 @@ def join_blocks(a: Block, b: Block, same: bool, threshold: float, eps: float) ->
     return list(zip(ids[found].tolist(), links[found].tolist(), roots.tolist()))
 
 
+def stretch_rows(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What the tasks read: for each two stretches with near blocks, every block that one of these pairs needs, once.
+
+    A row has the stretches (a, b), its block, ``mates``, the blocks of stretch a that it is compared with, and
+    whether it is ``held`` as such a mate. By (a, b, side, place), mates come before those that need them.
+    """
+    place = blocks.select(F.col("place").alias("i"), F.col("stretch").alias("a"))
+    near = pairs.join(place, "i").join(place.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
+    compared = near.groupBy("a", "b", F.col("j").alias("place")).agg(F.collect_list("i").alias("mates"))  # blocks of a stretch
+    compared = compared.select("a", "b", (F.col("a") < F.col("b")).cast("int").alias("side"), "place", "mates", (F.col("a") == F.col("b")).alias("held"))
+    mates = near.where("a < b").select("a", "b", F.lit(0).alias("side"), F.col("i").alias("place")).distinct()
+    rows = compared.unionByName(mates.select("*", F.array().cast("array<long>").alias("mates"), F.lit(True).alias("held")))
+    filled = rows.join(blocks.select("place", "ids", "copies", "sizes", "flat"), "place")
+    return filled.repartition("a", "b").sortWithinPartitions("a", "b", "side", "place")
+
+
+def compared_stretches(batches, axes: np.ndarray, width: int, dtype, threshold: float, eps: float):
+    """(class, links, root) of the blocks of ``stretch_rows``; one stretch is held, the other streams by."""
+    key, held = None, {}
+    for batch in batches:
+        names = ("a", "b", "place", "mates", "held", "ids", "copies", "sizes", "flat")
+        for k in range(batch.num_rows):
+            a, b, place, mates, holds, *parts = (batch.column(n)[k].as_py() for n in names)
+            if key != (a, b):
+                key, held = (a, b), {}
+            block = Block(*parts, axes, width, dtype)
+            if holds:
+                held[place] = block
+            for i in mates:
+                found = join_blocks(held[i], block, i == place, threshold, eps)
+                yield pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], type=pa.int64()) for x in range(3)], names=["class", "links", "root"])
+
+
 def near_vectors(
     df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -228,43 +276,32 @@ def near_vectors(
 
     Rows with equal vectors are one class, whose members link with one another. Classes are sorted by the
     cells of a grid with the width of the largest distance that two linked unit vectors can have, on the
-    leading principal axes; stretches of that order are joined where their boxes are within reach, and
+    leading principal axes; intervals of that order are joined where their boxes are within reach, and
     every pair of vectors in reach is compared in double precision. n_links counts rows linked with,
     component_id is the smallest id reachable. Null, empty, zero and non-finite vectors, and rows without an
     id, link with nothing (component_id is then the row's id). Vectors of different lengths don't link.
-    Repeated rows are rows like others.
+    Vectors of any numeric type and of any length from 1 are taken; repeated rows are rows like others.
     """
+    with scratch(df.sparkSession):
+        return write_out(linked(df, vec_id, vector, threshold), outlive=True)
+
+
+def linked(df: DataFrame, vec_id: str, vector: str, threshold: float) -> DataFrame:
     eps = sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    rows = df.select(F.col(vec_id).alias("vec_id"), F.when(F.col(vec_id).isNotNull() & usable(vector), F.col(vector)).alias("vector"))
+    kind = "array<float>" if df.schema[vector].dataType.elementType.simpleString() == "float" else "array<double>"
+    own = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
+    rows = own.select("vec_id", F.when(F.col("vec_id").isNotNull() & usable("vector"), F.col("vector")).alias("vector"))
     grouped = rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     classes = write_out(grouped.withColumn("class", F.monotonically_increasing_id()))
     width = classes.agg(F.max(F.size("vector"))).first()[0]
     if width is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dtype = np.float32 if element_type(classes) == "float" else np.float64
+    dtype = np.float32 if kind == "array<float>" else np.float64
     axes = principal_axes(classes, width)
     blocks = order_blocks(classes, axes, width, eps)
-    pairs = near_blocks(blocks, axes.shape[1], eps)
-    body = F.struct("ids", "copies", "sizes", "flat")
-    joined = (
-        pairs.join(blocks.select(F.col("place").alias("i"), body.alias("left")), "i")
-        .join(blocks.select(F.col("place").alias("j"), body.alias("right")), "j")
-        .repartition("i", "j")
-    )
-
-    def compare(batches):
-        last: tuple = (None, None)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                i, j = batch.column("i")[k].as_py(), batch.column("j")[k].as_py()
-                if last[0] != i:
-                    last = (i, Block(batch.column("left")[k].as_py(), axes, width, dtype))
-                b = last[1] if i == j else Block(batch.column("right")[k].as_py(), axes, width, dtype)
-                found = join_blocks(last[1], b, i == j, threshold, eps)
-                ids, links, roots = (pa.array([f[x] for f in found], type=pa.int64()) for x in range(3))
-                yield pa.RecordBatch.from_arrays([ids, links, roots], names=["class", "links", "root"])
-
-    found = write_out(joined.select("i", "j", "left", "right").mapInArrow(compare, "class long, links long, root long"))
+    pairs = near_blocks(blocks, axes.shape[1] + 1, eps)
+    compare = partial(compared_stretches, axes=axes, width=width, dtype=dtype, threshold=threshold, eps=eps)
+    found = write_out(stretch_rows(pairs, blocks).mapInArrow(compare, "class long, links long, root long"))
     roots = connected_components(found.select("class", "root"), "class", "root")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     member = classes.join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -279,6 +316,20 @@ def near_vectors(
     )
 
 
+ORACLE = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(c, r) AS (SELECT vec_id, vec_id FROM usable UNION SELECT x.c, y.b FROM reach x JOIN links y ON y.a = x.r),
+roots AS (SELECT c, min(r) AS r FROM reach GROUP BY c),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(r, e.vec_id) AS component_id, e.vec_id = coalesce(r, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN roots ON roots.c = e.vec_id LEFT JOIN counts ON counts.a = e.vec_id"""
+
+
 def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return near_vectors(read_table(spark, sf_dir, "embeddings"))

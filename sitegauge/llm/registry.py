@@ -22,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op3_secret_spans": secret_scan.ORACLE,
     "op4_benchmark_passages": decontaminate.ORACLE,
     "op9_near_duplicates": minhash_dedup.ORACLE,
+    "op10_embedding_links": embedding_dedup.ORACLE,
 }

@@ -107,7 +107,8 @@ def test_near_duplicates_of_odd_rows(spark):
 
 
 def test_near_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 4 * 16 * 70)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", (4 * 16 * 70, 4 * 16 * 70))
+    monkeypatch.setattr(embedding_dedup, "STRETCH_BYTES", (4 * 16 * 140, 4 * 16 * 140))
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 16))
     rows = [c + rng.normal(size=16) * s for c in centres for s in rng.uniform(0.02, 0.5, 12)]
@@ -135,3 +136,60 @@ def test_near_vectors_of_odd_tables(spark):
     assert got == [(-1, 0, False), (1, 1, True), (1, 1, True)]
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
     assert embedding_dedup.near_vectors(df.where("vec_id is null")).first().n_links == 0
+
+
+def test_near_vectors_of_other_types_and_widths(spark):
+    rows = [(i, [x]) for i, x in enumerate((3, -2, 5, 0, 7, -1))]
+    for kind in ("int", "decimal(10,2)", "double", "float"):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<int>").selectExpr("vec_id", f"CAST(embedding AS array<{kind}>) AS embedding")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+        assert got == {0: (2, 0), 2: (2, 0), 4: (2, 0), 1: (1, 1), 5: (1, 1), 3: (0, 3)}, kind
+
+
+def test_recall_over_a_few_thousand_documents(spark):
+    """Links found by chosen paths, of all links of similarity 0.8 or more by brute force, in crowds that share passages."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passages = [[word() for _ in range(60)] for _ in range(4)]
+    texts = []
+    for i in range(1200):  # crowds: three fifths of a text is a passage of hundreds of texts, and so no link
+        own = [word() for _ in range(40)]
+        texts.append([*passages[i % 4], *own])
+        if i % 3 == 0:  # a partner, changed until the similarity is between 0.8 and about 0.85
+            partner = [*passages[i % 4], *own]
+            for p in (70, 88):
+                partner[p] = word()
+            texts.append(partner)
+    sets = [shingles(" ".join(t), 5) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        for e in s:
+            first.setdefault(e, []).append(i)
+    common = {}
+    for members in first.values():
+        for x, i in enumerate(members):
+            for j in members[:x]:
+                if i - j == 1:  # partners stand side by side; other pairs share only the passage
+                    common[j, i] = common.get((j, i), 0) + 1
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(links) == 400
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in links) / len(links) == 1.0
+    assert sum(got[i] == i for i in got) == len(texts) - len(links)
+
+
+def test_large_bundles_are_told_apart_by_longer_sketches(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BUNDLE_BYTES", 5000)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(150)]
+    texts = [[*shared, *[word() for _ in range(60)]] for _ in range(60)]  # similarity about 0.55 by pairs
+    texts += [[*t[:-1], word()] for t in texts[:10]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = [(i, np.sort(np.array([hash(e) & (2**63 - 1) for e in shingles(" ".join(t), 5)], dtype=np.uint64)).tobytes()) for i, t in enumerate(texts)]
+    members = spark.createDataFrame([(i, 0, len(b) // 8, bytearray(b)) for i, b in rows], "class long, bundle long, size long, shingles binary")
+    left = minhash_dedup.refined(members, 80)
+    assert left.groupBy("bundle").count().where("count = 2").count() == left.select("bundle").distinct().count() == 10
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i if i < 60 else i - 60 for i in range(70)}
