@@ -7,6 +7,8 @@ from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+from sitegauge.functions.json_ld import json_ld_facts
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose start ends an open paragraph.
 ENDS_P = {
@@ -20,6 +22,11 @@ HIDDEN_STYLE = re.compile(
     r"|(?:left|top|text-indent|margin-left)\s*:\s*-\d{3,}(?:px)?|clip\s*:\s*rect\(\s*0)",
     re.I,
 )
+#: Scripts that send visitors elsewhere, and the target of a refresh.
+SCRIPT_TARGET = re.compile(r"(?:window\.|document\.|top\.)?location(?:\.href)?\s*(?:=|\.replace\(|\.assign\()\s*['\"`](https?://[^'\"`]+)['\"`]", re.I)
+REFRESH_TARGET = re.compile(r"url\s*=\s*['\"]?([^'\";\s]+)", re.I)
+#: Links that are kept of a concealed element.
+HIDDEN_LINKS = 25
 DROPPED = {"script", "style", "noscript", "template", "svg"}
 
 
@@ -56,7 +63,8 @@ class PageParser(HTMLParser):
         self.open: list[tuple[str, int, list[str], dict]] = []  # elements whose text is wanted
         self.headings, self.links, self.images, self.iframes, self.scripts, self.sheets = [], [], [], [], [], []
         self.json_ld, self.comments, self.hidden, self.hreflang, self.rels = [], [], [], [], Counter()
-        self.body, self.visible = [], []
+        self.body, self.visible, self.labels, self.redirects, self.tels, self.mails = [], [], [], [], [], []
+        self.meta_counts: Counter = Counter()
         self.depth = self.style_bytes = self.items = 0
         self.canonical = self.charset = self.lang = self.icon = None
         self.doctype = False
@@ -87,21 +95,29 @@ class PageParser(HTMLParser):
         self.items += "itemscope" in a
         if "style" in a:
             self.style_bytes += len(a["style"].encode())
+        self.labels += [a[k] for k in ("alt", "title", "aria-label") if a.get(k)]
         self.note(tag, a)
         if tag not in VOID:
             self.stack.append(tag)
 
+    def redirect(self, where: str, target: str | None) -> None:
+        if target and origin(target) and origin(target) != origin(self.base):
+            self.redirects.append({"where": where, "target": target})
+
     def note(self, tag, a):
         in_body = "body" in self.stack
         reason = "hidden attribute" if "hidden" in a else "inline style" if HIDDEN_STYLE.search(a.get("style", "")) else None
         if in_body and reason and tag not in VOID and not any(kind == "hidden" for kind, *_ in self.open):
-            self.want("hidden", {"reason": reason, "tag": tag})
+            self.want("hidden", {"reason": reason, "tag": tag, "links": []})
         if tag == "html":
             self.lang = self.lang or a.get("lang") or None
         elif tag == "meta":
             key = (a.get("name") or a.get("property") or a.get("http-equiv") or "").lower()
             if key:
                 self.metas.setdefault(key, a.get("content", ""))
+                self.meta_counts[key] += 1
+            if a.get("http-equiv", "").lower() == "refresh" and (m := REFRESH_TARGET.search(a.get("content", ""))):
+                self.redirect("meta refresh", resolve(m[1], self.base))
             self.charset = self.charset or a.get("charset")
         elif tag == "link":
             rel = a.get("rel", "").lower()
@@ -121,6 +137,8 @@ class PageParser(HTMLParser):
             self.want("heading", {"level": int(tag[1])})
         elif tag == "a" and a.get("href"):
             href = a["href"].strip()
+            if m := re.match("(tel|mailto):([^?]+)", href, re.I):
+                (self.tels if m[1].lower() == "tel" else self.mails).append(m[2])
             if not re.match("(?:javascript:|mailto:|tel:)", href, re.I):
                 there = resolve(href, self.base)
                 self.want("link", {
@@ -173,6 +191,9 @@ class PageParser(HTMLParser):
             self.headings.append(d | {"text": collapse(text)})
         elif kind == "link":
             self.links.append(d | {"text": collapse(text)})
+            for outer, _, _, hidden in self.open:
+                if outer == "hidden" and d["resolved"] and len(hidden["links"]) < HIDDEN_LINKS:
+                    hidden["links"].append({"href": d["resolved"], "text": collapse(text)[:80]})
         elif kind == "hidden":
             self.hidden.append(d | {"text": collapse(text)[:500]})
         elif kind == "style":
@@ -180,6 +201,9 @@ class PageParser(HTMLParser):
         else:
             if d["type"] == "application/ld+json":
                 self.json_ld.append(text)
+            elif not d["src"]:
+                for target in SCRIPT_TARGET.findall(text):
+                    self.redirect("inline script", target)
             self.scripts.append(d | {"inline_bytes": 0 if d["src"] else len(text.encode())})
 
     def handle_data(self, data):
@@ -206,8 +230,9 @@ class PageParser(HTMLParser):
             "duplicate_ids": [{"id": k, "count": n} for k, n in self.ids.items() if n > 1], "text": text, "visible_text": collapse("".join(self.visible)),
             "has_doctype": html.lstrip().lower().startswith("<!doctype"), "charset": charset, "lang": self.lang,
             "has_favicon": any(self.rels[r] for r in ("icon", "shortcut icon", "apple-touch-icon")), "favicon": self.icon, "hreflang": self.hreflang,
-            "comments": self.comments, "hidden": self.hidden, "html_bytes": len(html.encode()),
-        }
+            "comments": self.comments, "hidden": self.hidden, "html_bytes": len(html.encode()), "labels": self.labels, "redirects": self.redirects,
+            "meta_counts": dict(self.meta_counts), "tels": self.tels, "mails": self.mails,
+        } | json_ld_facts(self.json_ld)
 
 
 def page_facts(html: str | None, url: str | None) -> dict:

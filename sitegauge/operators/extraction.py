@@ -21,7 +21,9 @@ scripts array<struct<src:string,type:string,in_head:boolean,blocking:boolean,inl
 stylesheets array<struct<href:string,media:string,blocking:boolean>>, inline_style_bytes bigint, json_ld array<string>,
 tags map<string,int>, node_count int, max_depth int, microdata int, duplicate_ids array<struct<id:string,count:int>>,
 text string, visible_text string, has_doctype boolean, charset string, lang string, has_favicon boolean, favicon string,
-hreflang array<struct<lang:string,href:string>>, comments array<string>, hidden array<struct<reason:string,tag:string,text:string>>, html_bytes bigint
+hreflang array<struct<lang:string,href:string>>, comments array<string>, hidden array<struct<reason:string,tag:string,text:string,links:array<struct<href:string,text:string>>>>, html_bytes bigint,
+labels array<string>, redirects array<struct<where:string,target:string>>, meta_counts map<string,int>, json_ld_broken int, json_ld_types array<string>, json_strings array<string>, tels array<string>, mails array<string>,
+nodes array<struct<types:array<string>,keys:array<string>,filled:array<string>,name:string,headline:string,description:string,questions:array<string>,phones:array<string>,emails:array<string>,same_as:array<string>,areas:array<string>,hours:array<string>,address:string>>
 """
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sitegauge.operators.extraction import word_count
 
-#: Modules with weights, and severities with weights and ranks.
+#: Fixed values, down to SCHEMA_REQUIRED: modules with weights, severities with weights and ranks, patterns of
+#: anchors and of paths that build trust, and types of structured data with the fields that they need.
 MODULES = (
     ("meta_and_social", 12), ("geo_ai_validator", 12), ("js_render_diff", 14), ("dom_headings", 8), ("link_navigation", 10),
     ("schema_rich", 10), ("eeat_trust", 10), ("server_security", 10), ("performance_cwv", 12),
@@ -21,7 +22,12 @@ TRUST_PATHS = {
     "privacy": r"(?i)/(privacy|privacy-policy|legal)(/|$|\?)",
     "terms": r"(?i)/(terms|terms-of-service|tos|tos-of-service|legal/terms)(/|$|\?)",
 }
-SCHEMA_PRIMARY = ("Article", "NewsArticle", "BlogPosting", "Product", "Organization", "LocalBusiness", "FAQPage", "WebSite", "WebPage", "Person")
+SCHEMA_PRIMARY = ("Article", "NewsArticle", "BlogPosting", "Product", "Organization", "LocalBusiness", "WebSite", "WebPage", "FAQPage", "BreadcrumbList")
+SCHEMA_REQUIRED = {
+    "Article": ("headline", "author", "datePublished"), "NewsArticle": ("headline", "author", "datePublished"), "BlogPosting": ("headline", "author", "datePublished"),
+    "Product": ("name", "offers"), "Organization": ("name", "url"), "LocalBusiness": ("name", "address", "telephone"), "FAQPage": ("mainEntity",),
+    "BreadcrumbList": ("itemListElement",), "WebSite": ("name", "url"), "WebPage": ("name", "url"), "Person": ("name",), "Event": ("name", "startDate", "location"),
+}
 C, W, N = "critical", "warning", "notice"
 
 
@@ -67,9 +73,9 @@ def metadata_checks() -> list[Column]:
     m = "meta_and_social"
     length, px = F.char_length("title"), F.floor(F.char_length("title") * 8.5 + 0.5)
     described = F.coalesce(F.trim(meta("description")), F.lit(""))
-    h1 = many("headings", lambda h: h["level"] == 1)
+    h1 = F.col("__h1")
     levels = F.transform("headings", lambda h: h["level"])
-    jumps = F.exists(F.arrays_zip(F.slice(levels, 2, 10_000).alias("b"), levels.alias("a")), lambda p: p["b"] - p["a"] > 1)
+    jumps = F.exists(F.transform(levels, lambda x, i: x - F.get(levels, i - 1)), lambda step: step > 1)  # before the first: null
     origin = lambda c: F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
     og = F.array(*[meta(f"og:{k}").isNull() for k in ("title", "description", "image", "url", "type")])
     width, height = [F.expr(f"try_cast(regexp_extract(metas['og:image:{k}'], '^\\\\s*(-?[0-9]+)', 1) AS int)") for k in ("width", "height")]
@@ -97,8 +103,8 @@ def metadata_checks() -> list[Column]:
 
 def dom_checks() -> list[Column]:
     m = "dom_headings"
-    h1 = many("headings", lambda h: h["level"] == 1)
-    words = word_count("text")
+    h1 = F.col("__h1")
+    words = F.col("__words")
     ratio = F.coalesce(F.floor(100 * F.char_length("text") / F.nullif(F.char_length("html"), F.lit(0)) + 0.5), F.lit(0))
     present = lambda *names: sum((tag(n) > 0).cast("int") for n in names)
     return [
@@ -118,10 +124,11 @@ def dom_checks() -> list[Column]:
 def link_checks() -> list[Column]:
     m = "link_navigation"
     internal = many("links", lambda x: x["internal"] & ~x["is_anchor"])
+    anchors, relative = many("links", lambda x: x["is_anchor"]), many("links", lambda x: x["protocol_relative"])
     naked = many("links", lambda x: x["text"].rlike(r"(?i)^https?://"))
     generic = many("links", lambda x: x["text"].rlike(GENERIC_ANCHOR))
     return [
-        check(m, "links.inventory", value=F.size("links")),
+        check(m, "links.inventory", value=F.concat_ws(",", internal, F.size("links") - internal - anchors, anchors, relative)),
         check(m, "links.internal", (internal < 3, W), (internal < 5, N), value=internal),
         check(m, "links.anchor_text", (generic > 0, W), value=generic),
         check(m, "links.naked_urls", ((naked > F.size("links") * 0.5) & (F.size("links") > 5), N), value=naked),
@@ -131,28 +138,56 @@ def link_checks() -> list[Column]:
     ]
 
 
+def schema_types() -> Column:
+    """Distinct types of all nodes, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform("nodes", lambda n: n["types"]))))
+
+
+def missing_fields() -> Column:
+    """type.field of what the nodes lack: each type meets its required fields in a literal map, a join without rows."""
+    needed = F.create_map(*[x for t, fields in SCHEMA_REQUIRED.items() for x in (F.lit(t), F.array(*map(F.lit, fields)))])
+    lacks = lambda n, t: F.transform(F.array_except(F.coalesce(needed[t], F.array().cast("array<string>")), n["filled"]), lambda f: F.concat(t, F.lit("."), f))
+    return F.flatten(F.transform("nodes", lambda n: F.flatten(F.transform(n["types"], lambda t: lacks(n, t)))))
+
+
+def unseen_entities() -> Column:
+    """Kinds of headlines, product names and questions of which the first letters don't stand in the page's text."""
+    text = F.lower("text")
+    unseen = lambda value, n: (F.coalesce(value, F.lit("")) != "") & ~F.contains(text, F.substring(F.lower(value), 1, n))
+
+    def kinds(n: Column) -> Column:
+        article = F.arrays_overlap(n["types"], F.array(*map(F.lit, ("Article", "NewsArticle", "BlogPosting")))) & unseen(n["headline"], 30)
+        product = F.array_contains(n["types"], "Product") & unseen(n["name"], 20)
+        faq = F.array_contains(n["types"], "FAQPage") & F.exists(n["questions"], lambda q: unseen(q, 20))
+        return F.array_compact(F.array(F.when(article, "headline"), F.when(product, "name"), F.when(faq, "questions")))
+
+    return F.flatten(F.transform("nodes", kinds))
+
+
 def schema_checks() -> list[Column]:
     m = "schema_rich"
-    parsed = F.transform("json_ld", lambda j: F.try_parse_json(j))
-    broken = many(parsed, lambda v: v.isNull())
+    broken, types = F.col("json_ld_broken"), schema_types()
     none = F.size("json_ld") - broken == 0
-    found = lambda name: F.exists("json_ld", lambda j: j.rlike(rf'"@type"\s*:\s*(\[[^\]]*)?"{name}"'))
-    primary = sum(found(t).cast("int") for t in SCHEMA_PRIMARY)
+    found = lambda name: F.array_contains(types, name)
     faq = F.col("text").rlike(r"(?i)\b(faq|frequently asked questions|q&a)\b")
+    missing, unseen = missing_fields(), unseen_entities()
     return [
         check(m, "schema.syntax", (F.size("json_ld") == 0, "skip"), (broken > 0, C), value=broken),
         check(m, "schema.present", (none, W)),
-        check(m, "schema.primary_entity", (none, "absent"), (primary == 0, W)),
+        check(m, "schema.types", (none, "absent"), value=F.array_join(types, ",")),
+        check(m, "schema.primary_entity", (none, "absent"), (~F.arrays_overlap(types, F.array(*map(F.lit, SCHEMA_PRIMARY))), W)),
+        check(m, "schema.required_fields", (none, "absent"), (F.size(missing) > 0, W), value=F.array_join(missing, ",")),
+        check(m, "schema.entity_match", (none, "absent"), (F.size(unseen) > 0, W), value=F.array_join(unseen, ",")),
         check(m, "schema.breadcrumb", (none, "absent"), (~found("BreadcrumbList"), N)),
-        check(m, "schema.faq", (none, "absent"), (~faq, "skip"), (~found("FAQPage"), N)),
+        check(m, "schema.faq", (none, "absent"), (found("FAQPage"), None), (~faq, "skip"), (F.lit(True), N)),
     ]
 
 
 def trust_checks() -> list[Column]:
     m = "eeat_trust"
-    words = word_count("text")
+    words = F.col("__words")
     by_meta = (meta("author").isNotNull() | meta("article:author").isNotNull()).cast("int")
-    by_schema = F.exists("json_ld", lambda j: j.rlike(r'"@type"\s*:\s*"(Person|[A-Za-z]*Author)')).cast("int")
+    by_schema = F.exists("nodes", lambda n: F.array_contains(n["filled"], "author") | F.array_contains(n["types"], "Person")).cast("int")
     by_text = F.substring("text", 1, 2000).rlike(r"(?i)\b(by|author|written by|reviewed by)\b").cast("int")
     signals = by_meta + by_schema + by_text
     trust = sum(F.exists("links", field_like("resolved", p)).cast("int") for p in TRUST_PATHS.values())
@@ -175,7 +210,7 @@ def performance_checks() -> list[Column]:
         F.get(F.filter("images", lambda i: i["priority"] == "high"), F.lit(0)),
         F.get(F.filter("images", lambda i: ~F.coalesce(i["src"], F.lit("")).rlike("(?i)logo|icon|sprite|pixel")), F.lit(0)),
     )
-    h1 = many("headings", lambda h: h["level"] == 1)
+    h1 = F.col("__h1")
     unsized = many("images", lambda i: ~((i["width"].isNotNull() & i["height"].isNotNull()) | i["style_dims"] | i["in_picture"]))
     legacy, modern = [many("images", field_like("src", p)) for p in (r"(?i)\.(jpe?g|png|gif)(\?|$)", r"(?i)\.(webp|avif)(\?|$)")]
     responsive = F.exists("images", lambda i: i["srcset"].isNotNull() | i["in_picture"])
@@ -193,11 +228,56 @@ def performance_checks() -> list[Column]:
     ]
 
 
+def checks_of(facts: DataFrame, rows: list[Column], by: str = "page_id") -> DataFrame:
+    """One row for each check that applies; an absent one gives no row. No shuffle takes place."""
+    exploded = facts.select(by, F.explode(F.array(*rows)).alias("c"))
+    return exploded.select(by, "c.*").where("status <> 'absent'")
+
+
 def page_checks(facts: DataFrame) -> DataFrame:
-    """page_id, module, check_id, status, severity, value of every check that applies to a page.
+    """page_id, module, check_id, status, severity, value of every check of a page's own HTML.
 
-    Rules are one projection; an absent check gives no row. No shuffle takes place.
+    What several rules share is computed in a projection before theirs.
     """
+    facts = facts.withColumns({"__words": word_count("text"), "__h1": many("headings", lambda h: h["level"] == 1)})
     rows = [*metadata_checks(), *dom_checks(), *link_checks(), *schema_checks(), *trust_checks(), *performance_checks()]
-    exploded = facts.select("page_id", F.explode(F.array(*rows)).alias("c"))
-    return exploded.select("page_id", "c.*").where("status <> 'absent'")
+    return checks_of(facts, rows)
+
+
+def head_checks(pages: DataFrame, heads: DataFrame, most: int = 15) -> DataFrame:
+    """Checks of what a page points to, by the answers of HEAD requests: social.image_reachable, links.broken_external.
+
+    ``pages`` has page_id, social_image and links of the facts; ``heads`` has url and status. The first ``most``
+    external links of a page are looked at (that many are asked for). Without an answer for any of them the check is skipped;
+    an image without one fails. Urls meet their answers in one shuffled join on the url.
+    """
+    external = F.filter("links", lambda x: ~x["internal"] & ~x["is_anchor"] & x["resolved"].isNotNull())
+    links = pages.select("page_id", F.explode_outer(F.slice(F.transform(external, lambda x: x["resolved"]), 1, most)).alias("url"), F.lit("link").alias("kind"))
+    images = pages.select("page_id", F.col("social_image").alias("url"), F.lit("image").alias("kind"))
+    asked = links.unionByName(images).join(heads.select("url", "status").dropDuplicates(["url"]), "url", "left")
+    link, bad = F.col("kind") == "link", F.coalesce("status", F.lit(0)).between(1, 399)
+    found = asked.groupBy("page_id").agg(
+        F.count_if(link & F.col("url").isNotNull() & F.col("status").isNotNull()).alias("tried"), F.count_if(link & F.col("status").isNotNull() & ~bad).alias("broken"),
+        F.max(F.when(~link, F.col("url"))).alias("image"), F.max(F.when(~link, F.coalesce("status", F.lit(0)))).alias("image_status"),
+    )
+    return checks_of(found, [
+        check("meta_and_social", "social.image_reachable", (F.coalesce("image", F.lit("")) == "", "skip"), (F.col("image_status") != 200, W), value=F.col("image_status")),
+        check("link_navigation", "links.broken_external", (F.col("tried") == 0, "skip"), (F.col("broken") > 0, W), value=F.col("broken")),
+    ])
+
+
+def resource_checks(pages: DataFrame, resources: DataFrame) -> DataFrame:
+    """cwv.third_party_scripts and cwv.oversize_assets: ``resources`` has page_id, name, kind and bytes of what a render loaded.
+
+    Pages without a render have no third-party scripts and skip the sizes. ``pages`` has page_id and url.
+    """
+    site = lambda c: F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    own = pages.select("page_id", site("url").alias("site"))
+    seen = own.join(resources.select("page_id", "name", "kind", "bytes"), "page_id", "left").groupBy("page_id").agg(
+        F.count("name").alias("loaded"), F.count_if((F.col("kind") == "script") & (site("name") != F.col("site"))).alias("foreign"),
+        F.count_if(F.col("bytes") > 200 * 1024).alias("large"),
+    )
+    return checks_of(seen, [
+        check("performance_cwv", "cwv.third_party_scripts", (F.col("foreign") > 5, W), value=F.col("foreign")),
+        check("performance_cwv", "cwv.oversize_assets", (F.col("loaded") == 0, "skip"), (F.col("large") > 0, W), value=F.col("large")),
+    ])

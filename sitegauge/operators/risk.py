@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import collapsed, jaccard, word_set
+from sitegauge.functions.text import collapsed, jaccard, slug, truncated, word_set
 
 #: Terms and patterns of text that addresses AI systems, and of link spam.
 AI_TERMS = (
@@ -32,6 +32,23 @@ STOP_WORDS = (
 ).split()
 WORD_BREAK = "[^a-z0-9À-ɏ]+"
 LEAST_WORDS, LEAST_DENSITY, LEAST_TIMES = 150, 0.06, 15
+#: Foreign hosts from which hidden links are a scheme; pieces of evidence that a flag shows.
+SCHEME_HOSTS, EVIDENCE = 8, 5
+#: Hosts that hidden menus link to, and phrases that steer what an AI system recommends.
+SOCIAL_HOSTS = (
+    r"(?i)(?:^|\.)(?:facebook|fb|instagram|twitter|x|linkedin|youtube|youtu|tiktok|pinterest|github|wa|whatsapp|t|telegram|threads|medium|discord|apps\.apple|play\.google)"
+    r"\.(?:com|me|be|net|org|gg)$"
+)
+AI_WHO = r"(?:you|assistants?|ai(?:\s+(?:assistants?|systems?|models?|tools?))?|llms?|language\s+models?|agents?|chatbots?|crawlers?)"
+STEERING = (
+    r"(?i)\b(?:when|if|whenever)\s+(?:you\s+are\s+|you're\s+)?(?:answering|responding\s+to|replying\s+to)\b",
+    r"(?i)\b(?:when|if|whenever)\s+(?:you\s+are\s+|you're\s+)?asked\s+(?:about|which|who|what|for\s+(?:a|the)\s+(?:best|top|recommended))\b",
+    r"(?i)\bfor\s+any\s+(?:query|question|request|search)\s+(?:about|on|regarding)\b",
+    r"(?i)\bthe\s+(?:correct|right|only)\s+(?:entity|answer)\s+is\b",
+    r"(?i)\bthe\s+correct\s+(?:company|business|provider|result|choice)\s+is\b",
+    rf"(?i)\b{AI_WHO}\s+(?:should|must|need\s+to|are\s+(?:asked|instructed)\s+to)\s+(?:always\s+)?(?:recommend|suggest|mention|cite|rank|say|state|answer|read|treat)\b",
+    r"(?i)\b(?:every|any|all)\s+(?:ai\s+)?(?:agents?|assistants?|crawlers?|llms?|models?)\s+should\b",
+)
 
 
 def addresses_ai(text: Column) -> Column:
@@ -43,43 +60,147 @@ def addresses_ai(text: Column) -> Column:
     return (F.char_length(own) >= 8) & found
 
 
+def ai_sentence(text: Column) -> Column:
+    """The sentence that addresses an AI system, of 200 characters at most; null without one.
+
+    Of several patterns the first in order of the list decides. A sentence begins after the full stop, exclamation or question
+    mark before the match, and ends with the next one that white space or the end follows.
+    """
+    own = collapsed(text)
+    found = [F.nullif(F.regexp_extract(own, sentence_of(p), 1), F.lit("")) for p in AI_ADDRESSES]
+    return F.when(F.char_length(own) >= 8, truncated(F.coalesce(*found), 200))
+
+
+def sentence_of(pattern: str) -> str:
+    """The pattern within its sentence; a mark that the pattern itself begins with ends the sentence before."""
+    inner = pattern.removeprefix("(?i)").replace(r"(?:^|[.!?;\n(]\s*)", r"(?:^|(?<=[.!?;\n(])\s*)")
+    return rf"(?i)\s*((?:[^.!?]*?)(?:{inner})(?:.*?[.!?](?=\s|$)|.*$))"
+
+
+def steers_ai(text: Column) -> Column:
+    """Whether a line of twelve characters or more tells a reader what to recommend or which answer is right."""
+    own = collapsed(text)
+    found = addresses_ai(own)
+    for p in STEERING:
+        found = found | own.rlike(p)
+    return (F.char_length(own) >= 12) & found
+
+
 def top_terms(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key, words, term, times of the most frequent content word of each text; of equals the first to occur.
 
-    Words are counted per text before any shuffle: a text's words never leave its row.
+    A text's words never leave its row: they are sorted within it, and one fold over the sorted words counts
+    them. Texts without content words give no row; rows of one key are texts of their own.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: (F.char_length(w) >= 4) & ~w.isin(*STOP_WORDS))
-    exploded = pages.select(key, words.alias("w")).select(key, F.size("w").alias("words"), F.posexplode("w").alias("at", "term"))
-    counts = exploded.groupBy(key, "term").agg(F.count("*").alias("times"), F.min("at").alias("at"), F.max("words").alias("words"))
-    best = F.max(F.struct("times", (-F.col("at")).alias("first"), "term", "words")).alias("b")
-    return counts.groupBy(key).agg(best).select(key, F.col("b.words").cast("long").alias("words"), F.col("b.term").alias("term"), F.col("b.times").alias("times"))
+    placed = F.array_sort(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    zero = F.lit(0)
+    start = F.struct(F.lit("").alias("w"), zero.alias("n"), zero.alias("i"), F.lit("").alias("term"), zero.alias("times"), zero.alias("at"))
+
+    def step(state: Column, x: Column) -> Column:
+        same = state["w"] == x["w"]
+        n, first = F.when(same, state["n"] + 1).otherwise(1), F.when(same, state["i"]).otherwise(x["i"])
+        better = (n > state["times"]) | ((n == state["times"]) & (first < state["at"]))
+        pick = lambda new, old: F.when(better, new).otherwise(state[old])
+        return F.struct(x["w"].alias("w"), n.alias("n"), first.alias("i"), pick(x["w"], "term").alias("term"), pick(n, "times").alias("times"), pick(first, "at").alias("at"))
+
+    counted = pages.select(key, words.alias("w")).where("size(w) > 0").select(key, F.size("w").cast("long").alias("words"), F.aggregate(placed, start, step).alias("b"))
+    return counted.select(key, "words", F.col("b.term").alias("term"), F.col("b.times").cast("long").alias("times"))
 
 
 def keyword_stuffing(terms: DataFrame) -> DataFrame:
     return terms.where((F.col("words") >= LEAST_WORDS) & (F.col("times") / F.col("words") > LEAST_DENSITY) & (F.col("times") >= LEAST_TIMES))
 
 
-def page_flags(facts: DataFrame) -> DataFrame:
-    """page_id, flag, severity of the flags that a page's own text gives."""
-    said = F.exists("hidden", lambda h: addresses_ai(h["text"]))
-    noted = F.exists("comments", addresses_ai)
-    in_metas = F.exists(F.map_values("metas"), addresses_ai)
-    alts = F.exists("images", lambda i: addresses_ai(F.coalesce(i["alt"], F.lit(""))))
-    spam = F.exists("links", lambda x: ~x["internal"] & (F.coalesce(x["resolved"], F.lit("")).rlike(SPAM_TERMS) | x["text"].rlike(SPAM_TERMS)))
-    refresh = F.coalesce(F.element_at("metas", "refresh"), F.lit("")).rlike(r"(?i)url\s*=\s*['\"]?https?://")
+def host_of(url: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+
+
+def said(elements: Column, text, where) -> Column:
+    """(where, text) of the elements that address an AI system."""
+    return F.filter(F.transform(elements, lambda x: F.struct(where(x).alias("where"), ai_sentence(text(x)).alias("text"))), lambda e: e["text"].isNotNull())
+
+
+def first_texts(evidence: Column) -> Column:
+    """Evidence without repeated texts, the first of each kept, EVIDENCE at most."""
+    texts = F.transform(evidence, lambda e: e["text"])
+    return F.slice(F.filter(evidence, lambda e, i: F.array_position(texts, e["text"]) == i + 1), 1, EVIDENCE)
+
+
+def page_flags(facts: DataFrame, rendered_hidden: DataFrame | None = None) -> DataFrame:
+    """page_id, flag, severity, evidence and rank of the flags that a page's own text gives, the severest first.
+
+    Concealed elements are those of the HTML and, where there is a render, those of ``rendered_hidden`` (page_id,
+    hidden). Links to a page's own host or its subdomains are not foreign, and links to social networks are no scheme.
+    """
+    if rendered_hidden is not None:
+        more = rendered_hidden.groupBy("page_id").agg(F.flatten(F.collect_list("hidden")).alias("__more"))
+        facts = facts.join(more, "page_id", "left").withColumn("hidden", F.concat("hidden", F.coalesce("__more", F.array_except("hidden", "hidden"))))
+    here = host_of(F.col("url"))
+    foreign = lambda u: (host_of(u) != "") & (host_of(u) != here) & ~F.endswith(host_of(u), F.concat(F.lit("."), here))
+    spammy = lambda x: F.concat_ws(" ", x["text"], x["href"]).rlike(SPAM_TERMS)
+    shown = lambda where, x: F.struct(where.alias("where"), F.concat(F.coalesce(F.nullif(x["text"], F.lit("")), F.lit("(no text)")), F.lit(" → "), x["href"]).alias("text"))
+    concealed = lambda h: F.concat(F.lit("<"), h["tag"], F.lit("> hidden by "), h["reason"])
+    pairs = F.flatten(F.transform("hidden", lambda h: F.transform(F.filter(h["links"], lambda x: foreign(x["href"])), lambda x: F.struct(concealed(h).alias("where"), x["href"].alias("href"), x["text"].alias("text")))))
+    staged = facts.withColumn("__pairs", pairs).select(
+        "page_id", "title", "redirects",
+        said(F.col("hidden"), lambda h: h["text"], concealed).alias("told"),
+        said(F.col("comments"), lambda c: c, lambda c: F.lit("HTML comment")).alias("noted"),
+        F.concat(
+            said(F.map_values("metas"), lambda v: v, lambda v: F.lit("meta")), said(F.col("labels"), lambda v: v, lambda v: F.lit("attribute")),
+            said(F.col("json_strings"), lambda v: v, lambda v: F.lit("JSON-LD structured data")),
+        ).alias("marked"),
+        F.transform(F.filter("__pairs", spammy), lambda x: shown(x["where"], x)).alias("hidden_spam"),
+        F.filter("__pairs", lambda x: ~spammy(x) & ~host_of(x["href"]).rlike(SOCIAL_HOSTS)).alias("schemes"),
+        F.transform(
+            F.filter("links", lambda x: (host_of(F.coalesce(x["resolved"], F.lit(""))) != "") & (host_of(x["resolved"]) != here) & F.concat_ws(" ", x["text"], x["resolved"]).rlike(SPAM_TERMS)),
+            lambda x: F.struct(F.lit("link").alias("where"), F.concat(F.coalesce(F.nullif(x["text"], F.lit("")), F.lit("(no text)")), F.lit(" → "), x["resolved"]).alias("text")),
+        ).alias("spam"),
+    )
+    hosts = F.array_distinct(F.transform("schemes", lambda x: host_of(x["href"])))
+    machine = F.concat("noted", "marked")
     title_words = F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda w: (F.char_length(w) >= 4) & ~w.isin(*STOP_WORDS))
-    repeated = F.exists(F.array_distinct(title_words), lambda w: F.size(F.filter(title_words, lambda x: x == w)) >= 3)
+    repeated = F.filter(F.array_distinct(title_words), lambda w: F.size(F.filter(title_words, lambda x: x == w)) >= 3)
+    any_ = lambda c: F.size(c) > 0
     flags = [
-        ("risk.hidden_ai_instructions", "critical", said), ("risk.machine_only_ai_text", "critical", noted), ("risk.machine_only_ai_text", "warning", ~noted & (in_metas | alts)),
-        ("risk.spam_links", "warning", spam), ("risk.sneaky_redirect", "warning", refresh), ("risk.title_stuffing", "notice", repeated),
+        ("risk.hidden_ai_instructions", F.when(any_("told"), "critical"), F.col("told")),
+        ("risk.hidden_spam_links", F.when(any_("hidden_spam"), "critical"), F.col("hidden_spam")),
+        ("risk.hidden_external_links", F.when(F.size(hosts) >= SCHEME_HOSTS, "warning"), F.transform("schemes", lambda x: shown(x["where"], x))),
+        ("risk.machine_only_ai_text", F.when(any_("noted"), "critical").when(any_("marked"), "warning"), machine),
+        ("risk.spam_links", F.when(any_("spam") & ~any_("hidden_spam"), "warning"), F.col("spam")),
+        ("risk.sneaky_redirect", F.when(any_("redirects"), "warning"), F.transform("redirects", lambda r: F.struct(r["where"].alias("where"), r["target"].alias("text")))),
+        ("risk.title_stuffing", F.when(any_(repeated), "notice"), F.transform(repeated, lambda w: F.struct(F.lit("title").alias("where"), w.alias("text")))),
     ]
-    rows = F.array(*[F.when(test, F.struct(F.lit(f).alias("flag"), F.lit(s).alias("severity"))) for f, s, test in flags])
-    return facts.select("page_id", F.explode(F.array_compact(rows)).alias("f")).select("page_id", "f.*")
+    rows = [F.when(s.isNotNull(), F.struct(F.lit(i).alias("ord"), F.lit(f).alias("flag"), s.alias("severity"), first_texts(e).alias("evidence"))) for i, (f, s, e) in enumerate(flags)]
+    found = staged.select("page_id", F.explode(F.array_compact(F.array(*rows))).alias("f")).select("page_id", "f.*")
+    return ranked_flags(found).drop("ord")
+
+
+def ranked_flags(flags: DataFrame, by: str = "page_id") -> DataFrame:
+    """``flags`` with their rank within each page: critical, warning, notice, and then in their own order (``ord``)."""
+    severity = F.array_position(F.array(*map(F.lit, ("critical", "warning", "notice"))), F.col("severity"))
+    return flags.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(severity, "ord", "flag")))
+
 
+def risk_status(pages: DataFrame, flags: DataFrame, by: str = "page_id") -> DataFrame:
+    """page_id, status: high with a critical flag, review with another one that is no notice, else clean."""
+    worst = flags.groupBy(by).agg(F.bool_or(F.col("severity") == "critical").alias("c"), F.bool_or(F.col("severity") == "warning").alias("w"))
+    return pages.select(by).join(worst, by, "left").select(by, F.when(F.col("c"), "high").when(F.col("w"), "review").otherwise("clean").alias("status"))
 
-def cloaking(base: DataFrame, variants: DataFrame) -> DataFrame:
-    """page_id, label, similarity, severity of variants (page_id, label, text) whose words differ from the page's."""
-    joined = variants.join(base.select("page_id", F.col("text").alias("__base")), "page_id")
-    alike = joined.withColumn("similarity", jaccard(word_set(F.col("text")), word_set(F.col("__base"))))
-    severity = F.when(F.col("similarity") < 0.3, "critical").otherwise("warning")
-    return alike.where("similarity < 0.6").select("page_id", "label", "similarity", severity.alias("severity"))
+
+def variant_flags(base: DataFrame, variants: DataFrame) -> DataFrame:
+    """page_id, flag, severity, similarity of what other crawlers get.
+
+    ``base`` has page_id, url, status and text; ``variants`` page_id, label, status, text, final_url and flag_blocking. A
+    variant refused (400 and above) where visitors are not is blocked, unless flag_blocking is false; one that ends
+    on another origin, or shares less than 0.6 of the words, is cloaking, critical below 0.3 or on another origin.
+    """
+    origin = lambda c: F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    own = base.select("page_id", origin("url").alias("__origin"), F.col("status").alias("__status"), word_set(F.col("text")).alias("__words"))
+    joined = variants.join(own, "page_id").withColumn("similarity", jaccard(word_set(F.coalesce("text", F.lit(""))), F.col("__words")))
+    refused = (F.col("status") >= 400) & (F.col("__status") < 400)
+    away = (F.coalesce(origin("final_url"), F.lit("")) != "") & (origin("final_url") != F.col("__origin"))
+    slug_ = slug(F.col("label"))
+    severity = F.when(refused, F.when(F.coalesce("flag_blocking", F.lit(True)), "warning")).when(away | (F.col("similarity") < 0.3), "critical").when(F.col("similarity") < 0.6, "warning")
+    flag = F.concat(F.when(refused, "risk.blocked.").otherwise("risk.cloaking."), slug_)
+    return joined.select("page_id", flag.alias("flag"), severity.alias("severity"), F.when(~refused, F.col("similarity")).alias("similarity")).where("severity is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.operators.page_checks import MODULES, SEVERITY_RANK, SEVERITY_WEIGHT
+from sitegauge.operators.page_checks import MODULES, SEVERITY_RANK, SEVERITY_WEIGHT, check, checks_of
 
 
 def lookup(values: dict[str, int], column: str, otherwise: int) -> Column:
@@ -44,6 +44,21 @@ def overall_scores(scores: DataFrame, by: str = "page_id") -> DataFrame:
     return mean.withColumn("grade", grade)
 
 
+def scoring_checks(overall: DataFrame, counts: DataFrame, by: str = "page_id") -> DataFrame:
+    """The checks of the scoring module: the overall score, and that nothing critical fails. Neither enters a score."""
+    m, both = "scoring", overall.join(counts, by)
+    at, critical = F.col("overall"), F.col("critical")
+    return checks_of(both, [
+        check(m, "scoring.overall", (at >= 70, None), (at >= 50, "warning"), (F.lit(True), "critical"), value=at),
+        check(m, "scoring.critical_count", (critical > 0, "critical"), value=critical),
+    ], by)
+
+
+def site_scores(overall: DataFrame, pages: DataFrame) -> DataFrame:
+    """site, pages, average: the mean score of a site's pages, to the nearest whole."""
+    return pages.select("site", "page_id").join(overall, "page_id").groupBy("site").agg(F.count("*").alias("pages"), half_up(F.avg("overall")).alias("average"))
+
+
 def severity_counts(checks: DataFrame, by: str = "page_id") -> DataFrame:
     fail = F.col("status") == "fail"
     of = lambda *s: F.count_if(fail & F.col("severity").isin(*s))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.operators.extraction import word_count
-from sitegauge.operators.page_checks import C, N, W, check, many, meta
+from sitegauge.operators.page_checks import C, N, W, check, checks_of, many, meta
 
 #: What challenge pages of bot walls say.
 BOT_WALLS = ("just a moment", "attention required! | cloudflare", "enable javascript and cookies to continue", "cf-browser-verification", "__cf_chl_")
@@ -22,15 +22,12 @@ def header(name: str) -> Column:
     return F.coalesce(F.element_at("headers", name), F.lit(""))
 
 
-def exploded(rows: DataFrame, checks: list[Column]) -> DataFrame:
-    return rows.select("page_id", F.explode(F.array(*checks)).alias("c")).select("page_id", "c.*").where("status <> 'absent'")
-
-
 def server_checks(fetches: DataFrame) -> DataFrame:
-    """Checks of responses: page_id, status, ttfb_ms, headers (lower-case names)."""
+    """Checks of responses: page_id, status, ttfb_ms, headers (lower-case names), redirect_hops."""
     m = "server_security"
+    hops = F.coalesce("redirect_hops", F.lit(0))
     status, age = F.coalesce("status", F.lit(0)), F.expr("try_cast(regexp_extract(element_at(headers, 'strict-transport-security'), '(?i)max-age=([0-9]+)', 1) AS bigint)")
-    return exploded(fetches, [
+    return checks_of(fetches, [
         check(m, "server.status", (status.between(300, 399), W), (~status.between(200, 299), C), value=status),
         check(m, "server.ttfb", (F.col("ttfb_ms") < 800, None), (F.col("ttfb_ms") < 1800, W), (F.lit(True), C), value=F.col("ttfb_ms")),
         check(m, "server.x_robots_tag", (header("x-robots-tag").rlike("(?i)noindex"), C)),
@@ -42,6 +39,7 @@ def server_checks(fetches: DataFrame) -> DataFrame:
         check(m, "server.xcto", (~header("x-content-type-options").rlike("(?i)nosniff"), N)),
         check(m, "server.referrer_policy", (header("referrer-policy") == "", N)),
         check(m, "server.permissions_policy", (header("permissions-policy") == "", N)),
+        check(m, "server.redirect_hops", (hops >= 2, N), value=hops),
     ])
 
 
@@ -62,12 +60,13 @@ def geo_checks(rows: DataFrame) -> DataFrame:
     """Checks of what AI crawlers find.
 
     Rows hold facts of a page (html, metas, tags, text), headers, llms and llms_full (structs of status,
-    content_type, text), robots_ok, robots_groups, sitemaps, blocked_search, blocked_training and probe_status.
+    content_type, text), robots_ok, robots_groups, sitemaps, blocked_search, blocked_training, probe_status and
+    geo_enabled. Where that is false, the one check is geo.enabled, skipped.
     """
     m = "geo_ai_validator"
     llms = is_text_file(F.col("llms.status"), F.col("llms.content_type"), F.col("llms.text"))
     says = lambda p: F.coalesce(F.col("llms.text"), F.lit("")).rlike(p)
-    no_robots = ~F.col("robots_ok")
+    no_robots, on = ~F.col("robots_ok"), F.col("geo_enabled")
     probe = F.col("probe_status")
     walls = F.lower(F.coalesce("html", F.lit("")))
     shapes = (
@@ -76,21 +75,23 @@ def geo_checks(rows: DataFrame) -> DataFrame:
     walled = F.lit(False)
     for wall in BOT_WALLS:
         walled = walled | walls.contains(wall)
-    return exploded(rows, [
-        check(m, "llms_txt.present", (~llms, W)),
-        check(m, "llms_txt.h1", (~llms, "skip"), (~says(r"(?m)^#\s+.+"), N)),
-        check(m, "llms_txt.summary", (~llms, "skip"), (~says(r"(?m)^>\s+.+"), N)),
-        check(m, "llms_txt.links", (~llms, "skip"), (~says(r"\[.+\]\(.+\)"), N)),
-        check(m, "llms_txt.markdown", (~llms, "skip"), (~says(r"(^|\n)#\s") & ~says(r"\[.+\]\(.+\)"), W)),
-        check(m, "llms_full.present", (~is_text_file(F.col("llms_full.status"), F.col("llms_full.content_type"), F.col("llms_full.text")), N)),
-        check(m, "robots.ai_search_bots", (no_robots, C), (F.col("blocked_search") >= 3, C), (F.col("blocked_search") >= 1, W), value=F.col("blocked_search")),
-        check(m, "robots.ai_training_bots", (no_robots, "skip"), ((F.col("blocked_training") == 0) & (F.col("robots_groups") == 0), N), value=F.col("blocked_training")),
-        check(m, "robots.sitemap", (no_robots, "skip"), (F.col("sitemaps") == 0, W)),
-        check(m, "geo.bot_wall", (walled, C)),
-        check(m, "geo.noai", (meta("noai").isNotNull() | meta("noimageai").isNotNull(), W)),
-        check(m, "geo.x_robots_tag_ai", (header("x-robots-tag").rlike("(?i)noai|noimageai"), W)),
-        check(m, "geo.ai_probe", (probe.isNull(), "skip"), (probe == 0, C), (probe.isin(403, 429), C), (~probe.between(200, 299), W), value=probe),
-        check(m, "geo.chunkability", (shapes < 2, N), value=shapes),
+    off = (~on, "absent")
+    return checks_of(rows, [
+        check(m, "geo.enabled", (on, "absent"), (F.lit(True), "skip")),
+        check(m, "llms_txt.present", off, (~llms, W)),
+        check(m, "llms_txt.h1", off, (~llms, "skip"), (~says(r"(?m)^#\s+.+"), N)),
+        check(m, "llms_txt.summary", off, (~llms, "skip"), (~says(r"(?m)^>\s+.+"), N)),
+        check(m, "llms_txt.links", off, (~llms, "skip"), (~says(r"\[.+\]\(.+\)"), N)),
+        check(m, "llms_txt.markdown", off, (~llms, "skip"), (~says(r"(^|\n)#\s") & ~says(r"\[.+\]\(.+\)"), W)),
+        check(m, "llms_full.present", off, (~is_text_file(F.col("llms_full.status"), F.col("llms_full.content_type"), F.col("llms_full.text")), N)),
+        check(m, "robots.ai_search_bots", off, (no_robots, C), (F.col("blocked_search") >= 3, C), (F.col("blocked_search") >= 1, W), value=F.col("blocked_search")),
+        check(m, "robots.ai_training_bots", off, (no_robots, "skip"), ((F.col("blocked_training") == 0) & (F.col("robots_groups") == 0), N), value=F.col("blocked_training")),
+        check(m, "robots.sitemap", off, (no_robots, "skip"), (F.col("sitemaps") == 0, W)),
+        check(m, "geo.bot_wall", off, (walled, C)),
+        check(m, "geo.noai", off, (meta("noai").isNotNull() | meta("noimageai").isNotNull(), W)),
+        check(m, "geo.x_robots_tag_ai", off, (header("x-robots-tag").rlike("(?i)noai|noimageai"), W)),
+        check(m, "geo.ai_probe", off, (probe.isNull(), "skip"), (probe == 0, C), (probe.isin(403, 429), C), (~probe.between(200, 299), W), value=probe),
+        check(m, "geo.chunkability", off, (shapes < 2, N), value=shapes),
     ])
 
 
@@ -118,7 +119,7 @@ def render_checks(raw: DataFrame, rendered: DataFrame) -> DataFrame:
     growth = F.col("html_bytes") - F.col("raw_html_bytes")
     shell = ((F.char_length("raw_text") < 120) | (before < 20)) & (F.col("raw_node_count") < 60) & (words > 150)
     none = (~there, "absent")
-    return exploded(both, [
+    return checks_of(both, [
         check(m, "diff.available", (there, "absent"), (F.lit(True), "skip")),
         check(m, "diff.spa_shell", none, (shell, C)),
         check(m, "diff.content", none, ((words > 50) & (before / words < 0.25), C), (words - before > 100, W), value=words - before),

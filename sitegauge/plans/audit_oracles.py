@@ -41,8 +41,42 @@ checks AS (SELECT page_id, site, r.m AS module, r.k AS check_id, CASE WHEN r.o I
 weighted AS (SELECT *, CASE severity WHEN 'critical' THEN 6 WHEN 'warning' THEN 3 ELSE 1 END AS w,
   CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 WHEN 'notice' THEN 1 ELSE 0 END AS sr FROM checks)"""
 )
+#: Checks beyond those of CHECKS, on pages that have no images, metas but their charset, frames, or structured data.
+ALL_CHECKS = (
+    CHECKS
+    + r""",
+parts AS (SELECT *, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS anchors FROM f),
+trusted AS (SELECT *, CAST(len(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)/(about|about-us|company|team)(/|$|\?)'))) > 0 AS INT)
+    + CAST(len(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)/(contact|contact-us|support|help)(/|$|\?)'))) > 0 AS INT)
+    + CAST(len(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)/(privacy|privacy-policy|legal)(/|$|\?)'))) > 0 AS INT)
+    + CAST(len(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)/(terms|terms-of-service|tos|tos-of-service|legal/terms)(/|$|\?)'))) > 0 AS INT) AS trust FROM parts),
+more AS (SELECT page_id, unnest([
+  {'m': 'meta_and_social', 'k': 'headings.hierarchy', 'o': CASE WHEN h1 = 0 THEN 'warning' ELSE 'pass' END},
+  {'m': 'link_navigation', 'k': 'links.anchor_text', 'o': CASE WHEN len(list_filter(anchors, lambda x: regexp_full_match(x, '(?i)(click here|here|read more|learn more|more|this|link|website|http\S*)'))) > 0
+     THEN 'warning' ELSE 'pass' END},
+  {'m': 'eeat_trust', 'k': 'eeat.author', 'o': CASE WHEN regexp_matches(text[1:2000], '(?i)(^|[^\p{L}\p{N}_])(by|author|written by|reviewed by)([^\p{L}\p{N}_]|$)') THEN 'notice' ELSE 'warning' END},
+  {'m': 'eeat_trust', 'k': 'eeat.trust_links', 'o': CASE WHEN trust = 0 THEN 'critical' WHEN trust < 3 THEN 'warning' ELSE 'pass' END},
+  {'m': 'eeat_trust', 'k': 'eeat.contact_info', 'o': CASE WHEN regexp_matches(text, '(?i)\b(\+?\d[\d\s().-]{7,}|@[a-z0-9.-]+\.[a-z]{2,})\b') THEN 'pass' ELSE 'skip' END},
+  {'m': 'performance_cwv', 'k': 'cwv.lcp_candidate', 'o': CASE WHEN h1 = 0 THEN 'notice' ELSE 'pass' END}]) AS r FROM trusted
+  UNION ALL SELECT page_id, {'m': m, 'k': k, 'o': o} FROM f, (VALUES ('meta_and_social', 'meta_description.present', 'critical'), ('meta_and_social', 'robots.noindex', 'pass'),
+    ('meta_and_social', 'og.complete', 'warning'), ('meta_and_social', 'og.image_dims', 'skip'), ('meta_and_social', 'twitter.card', 'notice'), ('meta_and_social', 'favicon.present', 'notice'),
+    ('meta_and_social', 'images.alt', 'skip'), ('dom_headings', 'dom.node_count', 'pass'), ('dom_headings', 'dom.depth', 'pass'), ('dom_headings', 'dom.landmarks', 'warning'),
+    ('dom_headings', 'dom.main', 'warning'), ('dom_headings', 'dom.semantic_rich', 'notice'), ('dom_headings', 'dom.duplicate_ids', 'pass'), ('dom_headings', 'dom.iframe_dims', 'skip'),
+    ('link_navigation', 'links.inventory', 'pass'), ('link_navigation', 'links.naked_urls', 'pass'), ('link_navigation', 'links.noopener', 'pass'), ('link_navigation', 'links.rel', 'pass'),
+    ('link_navigation', 'links.hreflang', 'skip'), ('schema_rich', 'schema.syntax', 'skip'), ('schema_rich', 'schema.present', 'warning'), ('eeat_trust', 'eeat.published_time', 'notice'),
+    ('eeat_trust', 'eeat.modified_time', 'notice'), ('performance_cwv', 'cwv.lcp_fetchpriority', 'skip'), ('performance_cwv', 'cwv.lcp_lazy', 'skip'), ('performance_cwv', 'cwv.image_dims', 'skip'),
+    ('performance_cwv', 'cwv.iframe_dims', 'skip'), ('performance_cwv', 'cwv.blocking_scripts', 'pass'), ('performance_cwv', 'cwv.blocking_css', 'pass'),
+    ('performance_cwv', 'cwv.image_formats', 'skip'), ('performance_cwv', 'cwv.inline_payload', 'pass')) v(m, k, o)),
+every AS (SELECT page_id, module, check_id, status, severity FROM checks UNION ALL
+  SELECT page_id, r.m, r.k, CASE WHEN r.o IN ('critical', 'warning', 'notice') THEN 'fail' ELSE r.o END, CASE WHEN r.o IN ('critical', 'warning', 'notice') THEN r.o ELSE 'info' END FROM more),
+every_w AS (SELECT *, CASE severity WHEN 'critical' THEN 6 WHEN 'warning' THEN 3 ELSE 1 END AS w FROM every),
+every_s AS (SELECT page_id, module, coalesce(CAST(floor(100.0 * sum(CASE WHEN status = 'pass' THEN w ELSE 0 END) / sum(w) FILTER (status <> 'skip') + 0.5) AS BIGINT), 100) AS score FROM every_w GROUP BY ALL)"""
+)
+GRADE = "CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 50 THEN 'Needs Attention' ELSE 'Critical' END AS grade"
+WEIGHTS = """(VALUES ('meta_and_social', 12), ('geo_ai_validator', 12), ('js_render_diff', 14), ('dom_headings', 8), ('link_navigation', 10), ('schema_rich', 10), ('eeat_trust', 10),
+  ('server_security', 10), ('performance_cwv', 12)) v(module, mw)"""
 HITS = """
-hits AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) AS impressions, sum(value) AS wp
+hits AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) AS impressions, sum(CAST(value AS DECIMAL(18, 6))) AS wp
   FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL)"""
 
 ORACLES: dict[str, str] = {
@@ -74,19 +108,52 @@ ORACLES: dict[str, str] = {
     "duplicate_titles": f"WITH {FACTS} SELECT site, lower(trim(title)) AS value, count(*) AS pages FROM f GROUP BY ALL HAVING value <> '' AND pages > 1",
     "thin_pages": f"WITH {FACTS} SELECT site, url, words FROM f WHERE words < 150",
     "gap_report": f"""WITH {CHECKS},
-      sites AS (SELECT site, min(page_id) AS page_id FROM raw GROUP BY site ORDER BY site LIMIT 9),
-      chosen AS (SELECT w.* FROM weighted w JOIN sites s ON w.page_id = s.page_id),
-      mine AS (SELECT * FROM chosen WHERE site = (SELECT min(site) FROM sites) AND status <> 'skip'),
-      theirs AS (SELECT module, check_id, list(site ORDER BY site) FILTER (status = 'pass') AS passing, list(site ORDER BY site) FILTER (status = 'fail') AS failing,
-        max(sr) FILTER (status = 'fail') AS their FROM chosen WHERE site <> (SELECT min(site) FROM sites) AND status <> 'skip' GROUP BY ALL),
-      b AS (SELECT module, check_id, status, coalesce(passing, []) AS p, coalesce(failing, []) AS f,
-        greatest(CASE WHEN status = 'fail' THEN sr ELSE -1 END, coalesce(their, -1)) AS top FROM mine JOIN theirs USING (module, check_id)),
-      r AS (SELECT *, CASE WHEN status = 'fail' AND len(p) > 0 THEN 'gap' WHEN status = 'fail' THEN 'open_ground' WHEN status = 'pass' AND len(f) > 0 THEN 'edge' END AS kind,
+      you AS (SELECT site FROM raw GROUP BY site ORDER BY count(*) DESC, site LIMIT 1),
+      sites AS (SELECT site, module, check_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'pass') THEN 'pass' ELSE 'skip' END AS status,
+        max(sr) FILTER (status = 'fail') AS sr FROM weighted GROUP BY ALL),
+      mine AS (SELECT * FROM sites WHERE site = (FROM you) AND status <> 'skip'),
+      theirs AS (SELECT module, check_id, count(*) FILTER (status = 'pass') AS passing, count(*) FILTER (status = 'fail') AS failing, max(sr) AS their
+        FROM sites WHERE site <> (FROM you) AND status <> 'skip' GROUP BY ALL),
+      b AS (SELECT module, check_id, status, passing, failing, greatest(coalesce(sr, -1), coalesce(their, -1)) AS top FROM mine JOIN theirs USING (module, check_id)),
+      r AS (SELECT *, CASE WHEN status = 'fail' AND passing > 0 THEN 'gap' WHEN status = 'fail' THEN 'open_ground' WHEN status = 'pass' AND failing > 0 THEN 'edge' END AS kind,
         CASE top WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' WHEN 0 THEN 'info' ELSE 'notice' END AS severity FROM b),
-      x AS (SELECT kind, module, check_id, severity, array_to_string(p, ',') AS passing, array_to_string(f, ',') AS failing, top,
-        CASE top WHEN 3 THEN 6 WHEN 2 THEN 3 ELSE 1 END * CASE kind WHEN 'gap' THEN len(p) WHEN 'edge' THEN len(f) ELSE 1 END AS weight FROM r WHERE kind IS NOT NULL)
+      x AS (SELECT kind, module, check_id, severity, passing, failing, top,
+        CASE top WHEN 3 THEN 6 WHEN 2 THEN 3 ELSE 1 END * CASE kind WHEN 'gap' THEN passing WHEN 'edge' THEN failing ELSE 1 END AS weight FROM r WHERE kind IS NOT NULL)
       SELECT kind, module, check_id, severity, passing, failing, weight,
         row_number() OVER (PARTITION BY kind ORDER BY weight DESC, top DESC, module, check_id) AS rank FROM x""",
+    "page_checks": f"WITH {ALL_CHECKS} SELECT * FROM every",
+    "module_scores": f"WITH {ALL_CHECKS} SELECT * FROM every_s",
+    "overall_scores": f"""WITH {ALL_CHECKS}, o AS (SELECT page_id, CAST(floor(sum(score * mw) / sum(mw) + 0.5) AS BIGINT) AS overall FROM every_s JOIN {WEIGHTS} USING (module) GROUP BY page_id)
+      SELECT page_id, overall, {GRADE} FROM o""",
+    "recommendations": f"""WITH {ALL_CHECKS} SELECT page_id, module, check_id, severity, w AS impact, row_number() OVER (PARTITION BY page_id ORDER BY w DESC, check_id, module) AS rank
+      FROM every_w WHERE status = 'fail' QUALIFY rank <= 5""",
+    "findings": f"""WITH {ALL_CHECKS},
+      rules(check_id, finding, impact, effort, area, n) AS (VALUES ('schema.present', 'schema.missing', 'high', 'small', 'schema', 4), ('title.present', 'meta.title_missing', 'high', 'small', 'meta', 8),
+        ('title.length', 'meta.title_length', 'low', 'small', 'meta', 9), ('meta_description.present', 'meta.description_missing', 'medium', 'small', 'meta', 10),
+        ('h1.present', 'meta.h1', 'low', 'small', 'meta', 12), ('headings.h1', 'meta.h1', 'low', 'small', 'meta', 12), ('canonical.present', 'meta.canonical', 'low', 'small', 'meta', 13),
+        ('eeat.thin_content', 'content.thin', 'medium', 'large', 'content', 15), ('viewport.present', 'engine.viewport.present', 'high', 'small', 'meta', 16),
+        ('og.complete', 'engine.og.complete', 'low', 'small', 'meta', 16), ('eeat.https', 'engine.eeat.https', 'high', 'small', 'access', 16),
+        ('links.internal', 'engine.links.internal', 'low', 'medium', 'content', 16), ('headings.hierarchy', 'engine.headings.hierarchy', 'low', 'small', 'meta', 16),
+        ('eeat.trust_links', 'engine.eeat.trust_links', NULL, 'medium', 'other', 16), ('eeat.author', 'engine.eeat.author', NULL, 'medium', 'other', 16),
+        ('links.anchor_text', 'engine.links.anchor_text', NULL, 'medium', 'other', 16), ('dom.landmarks', 'engine.dom.landmarks', NULL, 'medium', 'other', 16), ('dom.main', 'engine.dom.main', NULL, 'medium', 'other', 16),
+        ('dom.text_html_ratio', 'engine.dom.text_html_ratio', NULL, 'medium', 'other', 16), ('dom.word_count', 'engine.dom.word_count', NULL, 'medium', 'other', 16)),
+      found AS (SELECT DISTINCT page_id, finding, coalesce(impact, CASE severity WHEN 'critical' THEN 'medium' ELSE 'low' END) AS impact, effort, area, n FROM every JOIN rules USING (check_id)
+        WHERE status = 'fail' AND (n < 16 OR severity IN ('critical', 'warning')))
+      SELECT page_id, finding, impact, effort, area, row_number() OVER (PARTITION BY page_id ORDER BY
+        CASE impact WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, list_position(['access', 'render', 'facts', 'schema', 'llms', 'meta', 'content', 'other'], area), n, finding) AS rank
+      FROM found""",
+    "page_flags": f"""WITH {FACTS},
+      w AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ({STOP}))) AS w FROM f)
+      SELECT DISTINCT page_id, 'risk.title_stuffing' AS flag, 'notice' AS severity, 1::BIGINT AS rank FROM w GROUP BY page_id, w HAVING count(*) >= 3""",
+    "rate_limits": """WITH RECURSIVE h AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+      r AS (SELECT user_id, "at", n, TRUE AS accepted, 0::BIGINT AS wait, ["at"] AS live FROM h WHERE n = 1
+        UNION ALL SELECT h.user_id, h."at", h.n, len(l) < 2, CASE WHEN len(l) < 2 THEN 0 ELSE greatest(1, list_min(l) + 86400 - h."at") END, CASE WHEN len(l) < 2 THEN list_append(l, h."at") ELSE l END
+        FROM (SELECT r.user_id, r.n, h."at", list_filter(r.live, lambda x: x > h."at" - 86400) AS l FROM r JOIN h ON h.user_id = r.user_id AND h.n = r.n + 1) p
+        JOIN h ON h.user_id = p.user_id AND h.n = p.n + 1)
+      SELECT user_id, "at", accepted, wait FROM r""",
+    "search_totals": f"""WITH {HITS} SELECT CAST(sum(clicks) FILTER (day BETWEEN DATE '2024-01-18' AND DATE '2024-01-27') AS BIGINT) AS clicks,
+      CAST(sum(impressions) FILTER (day BETWEEN DATE '2024-01-18' AND DATE '2024-01-27') AS BIGINT) AS impressions,
+      CAST(sum(clicks) FILTER (day BETWEEN DATE '2024-01-08' AND DATE '2024-01-17') AS BIGINT) AS previous_clicks FROM hits""",
     "top_terms": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9À-ɏ]+'), lambda x: length(x) >= 4 AND x NOT IN ({STOP})) AS w FROM documents),
       e AS (SELECT doc_id, len(w) AS words, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w),
       c AS (SELECT doc_id, term, count(*) AS times, min(pos) AS pos, max(words) AS words FROM e GROUP BY ALL)
@@ -113,13 +180,13 @@ ORACLES: dict[str, str] = {
       r(pattern, n, allow) AS (VALUES ('^/drafts', 7, 0), ('^/.*\?utm_', 7, 0), ('^/en/', 4, 1), ('^/en/1.*', 6, 0), ('^/de/', 4, 0), ('^/.*\.html$', 8, 0))
       SELECT site, url, coalesce((SELECT max(n * 2 + allow) FROM r WHERE regexp_matches(path, pattern)), 1) % 2 = 1 AS allowed FROM u""",
     "search_performance": f"""WITH {HITS},
-      n AS (SELECT key, sum(clicks) AS clicks, sum(impressions) AS impressions, sum(wp) / sum(impressions) AS p FROM hits WHERE day BETWEEN DATE '2024-01-18' AND DATE '2024-01-27' GROUP BY key),
-      b AS (SELECT key, sum(clicks) AS c, sum(wp) / sum(impressions) AS p FROM hits WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-17' GROUP BY key)
-      SELECT n.key, CAST(n.clicks AS BIGINT) AS clicks, CAST(n.impressions AS BIGINT) AS impressions, round(n.p, 4) AS position, CAST(n.clicks - b.c AS BIGINT) AS clicks_change, floor((n.p - b.p) * 10 + 0.5) / 10 AS position_change, b.key IS NULL AS new
+      n AS (SELECT key, sum(clicks) AS clicks, sum(impressions) AS impressions, CAST(sum(wp) AS DOUBLE) / sum(impressions) AS p FROM hits WHERE day BETWEEN DATE '2024-01-18' AND DATE '2024-01-27' GROUP BY key),
+      b AS (SELECT key, sum(clicks) AS c, CAST(sum(wp) AS DOUBLE) / sum(impressions) AS p FROM hits WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-17' GROUP BY key)
+      SELECT n.key, CAST(n.clicks AS BIGINT) AS clicks, CAST(n.impressions AS BIGINT) AS impressions, round(CAST(n.clicks AS DOUBLE) / n.impressions, 6) AS ctr, round(n.p, 4) AS position, CAST(n.clicks - b.c AS BIGINT) AS clicks_change, floor(round(n.p - b.p, 6) * 10 + 0.5) / 10 AS position_change, b.key IS NULL AS new
       FROM n LEFT JOIN b USING (key)""",
     "rank_changes": f"""WITH {HITS},
-      n AS (SELECT key, CAST(floor(sum(wp) / sum(impressions)) AS BIGINT) AS p FROM hits WHERE day BETWEEN DATE '2024-01-24' AND DATE '2024-01-27' GROUP BY key),
-      b AS (SELECT key, CAST(floor(sum(wp) / sum(impressions)) AS BIGINT) AS q FROM hits WHERE day BETWEEN DATE '2024-01-20' AND DATE '2024-01-23' GROUP BY key),
+      n AS (SELECT key, CAST(floor(CAST(sum(wp) AS DOUBLE) / sum(impressions)) AS BIGINT) AS p FROM hits WHERE day BETWEEN DATE '2024-01-24' AND DATE '2024-01-27' GROUP BY key),
+      b AS (SELECT key, CAST(floor(CAST(sum(wp) AS DOUBLE) / sum(impressions)) AS BIGINT) AS q FROM hits WHERE day BETWEEN DATE '2024-01-20' AND DATE '2024-01-23' GROUP BY key),
       j AS (SELECT key, p AS position, q AS previous_position, CASE WHEN q IS NULL THEN 'new' WHEN p IS NULL THEN 'lost' WHEN p - q <= -3 THEN 'up' WHEN p - q >= 3 THEN 'down' END AS change
         FROM n FULL JOIN b USING (key))
       SELECT key, CASE WHEN change IN ('new', 'up') THEN 'good' ELSE 'warn' END AS level, change, position, previous_position FROM j WHERE change IS NOT NULL""",

@@ -82,16 +82,15 @@ def thin_pages(spark, sf_dir):
 
 
 def gap_report(spark, sf_dir):
-    """The first page of the first site against those of the next eight sites."""
-    sites = read_table(spark, sf_dir, "pages").groupBy(host().alias("site")).agg(F.min("page_id").alias("page_id")).orderBy("site").limit(9)
-    rows = core_checks(spark, sf_dir).join(F.broadcast(sites), "page_id")  # nine rows
-    you = sites.orderBy("site").first()["site"]
-    out = comparisons.gap_report(rows, you)
-    return out.select("kind", "module", "check_id", "severity", F.array_join("passing", ",").alias("passing"), F.array_join("failing", ",").alias("failing"), "weight", F.col("rank").cast("long").alias("rank"))
+    """The host with the most pages against all others, each over all its pages."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", host().alias("site"))
+    you = pages.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").first()
+    sites = comparisons.site_checks(core_checks(spark, sf_dir).join(pages, "page_id"))
+    return comparisons.gap_report(sites, you["site"] if you else "").withColumn("rank", F.col("rank").cast("long"))
 
 
 def page_flags(spark, sf_dir):
-    return risk.page_flags(facts(spark, sf_dir))
+    return risk.page_flags(facts(spark, sf_dir)).select("page_id", "flag", "severity", F.col("rank").cast("long").alias("rank"))
 
 
 def top_terms(spark, sf_dir):
@@ -153,18 +152,22 @@ def hits(spark, sf_dir):
     """Events as search metrics: views are impressions, clicks are clicks, the value is a position."""
     rows = read_table(spark, sf_dir, "events").where("event_type in ('view', 'click')")
     by = rows.groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("day"))
-    return by.agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("impressions"), F.sum("value").alias("weighted_position"))
+    return by.agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("impressions"), F.sum(F.col("value").cast("decimal(18,6)")).alias("weighted_position"))
 
 
 def search_performance(spark, sf_dir):
     now, before = comparisons.periods(TODAY, 10)
     out = comparisons.period_metrics(hits(spark, sf_dir), now, before, "key")
-    return out.select("key", "clicks", "impressions", F.round("position", 4).alias("position"), "clicks_change", "position_change", "new")
+    return out.select("key", "clicks", "impressions", F.round("ctr", 6).alias("ctr"), F.round("position", 4).alias("position"), "clicks_change", "position_change", "new")
+
+
+def search_totals(spark, sf_dir):
+    return comparisons.period_totals(hits(spark, sf_dir), *comparisons.periods(TODAY, 10))
 
 
 def positions(spark, sf_dir, period):
     days = F.col("day").between(*[F.lit(d) for d in period])
-    return hits(spark, sf_dir).where(days).groupBy("key").agg(F.floor(F.sum("weighted_position") / F.sum("impressions")).alias("position"))
+    return hits(spark, sf_dir).where(days).groupBy("key").agg(F.floor(F.sum("weighted_position").cast("double") / F.sum("impressions")).alias("position"))
 
 
 def rank_changes(spark, sf_dir):
@@ -220,8 +223,8 @@ QUERIES = {
     for f in (
         page_facts, core_checks, module_scores, overall_scores, core_scores, core_counts, recommendations, core_recommendations, duplicate_titles, thin_pages,
         gap_report, page_flags, top_terms, keyword_stuffing, ai_addresses, turn_similarity, text_summaries, robots_rules, crawler_access, urls_allowed,
-        search_performance, rank_changes, active_changes, score_moves, latest_events, local_results, rate_limits,
+        search_performance, search_totals, rank_changes, active_changes, score_moves, latest_events, local_results, rate_limits,
         findings, core_findings, core_snippets,
     )
-} | {"page_checks": all_checks}
+} | {"page_checks": lambda spark, sf_dir: all_checks(spark, sf_dir).drop("value")}
 
