@@ -145,7 +145,7 @@ ORACLES: dict[str, str] = {
     "page_flags": f"""WITH {FACTS},
       w AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ({STOP}))) AS w FROM f)
       SELECT DISTINCT page_id, 'risk.title_stuffing' AS flag, 'notice' AS severity, 1::BIGINT AS rank FROM w GROUP BY page_id, w HAVING count(*) >= 3""",
-    "rate_limits": """WITH RECURSIVE h AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    "rate_limits": """WITH RECURSIVE h AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
       r AS (SELECT user_id, "at", n, TRUE AS accepted, 0::BIGINT AS wait, ["at"] AS live FROM h WHERE n = 1
         UNION ALL SELECT h.user_id, h."at", h.n, len(l) < 2, CASE WHEN len(l) < 2 THEN 0 ELSE greatest(1, list_min(l) + 86400 - h."at") END, CASE WHEN len(l) < 2 THEN list_append(l, h."at") ELSE l END
         FROM (SELECT r.user_id, r.n, h."at", list_filter(r.live, lambda x: x > h."at" - 86400) AS l FROM r JOIN h ON h.user_id = r.user_id AND h.n = r.n + 1) p

@@ -1,0 +1 @@
+ORACLES = {}
