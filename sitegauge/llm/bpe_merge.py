@@ -14,7 +14,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Longer words are merged one by one with a heap, as scanning for the minimum is quadratic.
 SHORT = 64
 #: Entries that a task's cache of encoded words may hold before it is emptied.
-CACHE = 250_000
+CACHE = 120_000
 NONE = np.int32(2**31 - 1)
 
 

@@ -73,6 +73,7 @@ def append_columns(
                 made = work(*batch.columns[n:])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(list(batch.columns[:n]) + arrays, names=titles)
+        pa.default_memory_pool().release_unused()  # a worker is used for the next task and stage
 
     return source.mapInArrow(run, schema)
 

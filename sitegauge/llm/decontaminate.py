@@ -22,7 +22,7 @@ BLOCK_BYTES = 4 << 20
 #: Words of a piece of an item; a longer item is searched for in pieces that overlap.
 PIECE_WORDS = 50_000
 #: Rows and bytes of text of a shard, which has one index.
-SHARD_ROWS, SHARD_BYTES = 10_000, 32 << 20
+SHARD_ROWS, SHARD_BYTES = 10_000, 8 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}

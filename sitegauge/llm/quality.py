@@ -26,7 +26,7 @@ HALF = 1e-3
 SEED = 20_077
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.01, 1e-4
 THRESHOLD = 0.7
-CACHE = 150_000
+CACHE = 80_000
 
 #: Words and runs of marks; in Java's and Python's expressions the same letters and digits.
 PARTS = re.compile(r"\w+|[^\w\s]{1,3}")
@@ -153,7 +153,7 @@ def learn_vectors(docs: DataFrame, text: str = "text") -> tuple[list[str], np.nd
             for t in texts(batch.column(0)):
                 run += [stream(t), gap]
                 size += len(run[-2])
-                if size > 500_000:
+                if size > 150_000:
                     add(run)
                     run, size = [], 0
             if run:
