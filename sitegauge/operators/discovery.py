@@ -36,6 +36,7 @@ def expand_sitemaps(starts: DataFrame, files: DataFrame, pages: int) -> DataFram
     queue = level
     for _ in range(MOST_FILES - 1):  # what a file lists comes after all that was queued before it
         level = level.join(listed.where("index"), "url").select("site", F.concat("place", F.array(F.col("n").cast("long"))).alias("place"), F.col("loc").alias("url"))
+        level = level.join(queue.select("site", "url"), ["site", "url"], "left_anti")
         if level.isEmpty():
             break
         queue = queue.unionByName(level)

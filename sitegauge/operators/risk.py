@@ -67,8 +67,8 @@ def ai_sentence(text: Column) -> Column:
     mark before the match, and ends with the next one that white space or the end follows.
     """
     own = collapsed(text)
-    found = [F.nullif(F.regexp_extract(own, sentence_of(p), 1), F.lit("")) for p in AI_ADDRESSES]
-    return F.when(F.char_length(own) >= 8, truncated(F.coalesce(*found), 200))
+    first = F.coalesce(*[F.nullif(F.regexp_extract(own, sentence_of(p), 1), F.lit("")) for p in AI_ADDRESSES])
+    return F.when((F.char_length(own) >= 8) & first.isNotNull(), truncated(first, 200))
 
 
 def sentence_of(pattern: str) -> str:
