@@ -15,8 +15,11 @@ from sitegauge.llm.components import connected_components, forest
 from sitegauge.sources.tables import read_table
 
 SHINGLE_WORDS, THRESHOLD = 5, 80  # words, per cent of the union
-#: Minwise values of a sketch, independent trees, and values that every node branches on.
+#: Minwise values of a sketch, independent trees, and values that a root branches on.
 VALUES, TREES, CHILDREN = 128, 6, 2
+#: Share of the later nodes that branch on two values, the others on one: 1.4 on average, above the 1 / 0.8 that keeps
+#: the paths which a pair shares from dying out.
+SECOND = 0.4
 #: Nodes of at most so many sets are compared exhaustively; larger ones branch again, up to so many levels.
 NODE, LEVELS = 128, 5
 #: A large node that keeps this share of its parent's sets is dense: they agree on most values.
@@ -100,9 +103,9 @@ def start_features(words: int):
 
 
 def branch(batches, roots: bool, values: int = VALUES):
-    """Children of each row's path: the path grows by CHILDREN of the set's minwise values.
+    """Children of each row's path: the path grows by one of the set's minwise values, or by CHILDREN of them.
 
-    Which values a node branches on follows from the path alone, so that all sets of a node agree on it.
+    How many and which values a node branches on follows from the path alone, so that all sets of a node agree on it.
     A child keeps its parent's number of sets (of a root's: 0).
     """
     for batch in batches:
@@ -114,15 +117,19 @@ def branch(batches, roots: bool, values: int = VALUES):
             parents = np.zeros(len(at), dtype=np.int64)
         else:
             at, path, parents = np.arange(len(ids)), batch.column("path").to_numpy().view(np.uint64), batch.column("n").to_numpy()
-        out = []
+        made = []
         with np.errstate(over="ignore"):
+            twice = np.ones(len(at), dtype=bool) if roots else mixed(path + PRIME) < np.uint64(int(SECOND * 2**64))
             for c in range(CHILDREN):
-                drawn = mixed(path + np.uint64(c + 1) * PRIME)
+                here = slice(None) if c == 0 else twice
+                own = path[here]
+                drawn = mixed(own + np.uint64(c + 1) * PRIME)
                 which = (drawn % np.uint64(values // CHILDREN)).astype(np.int64) * CHILDREN + c  # distinct among children
-                token = sketches[at, which].astype(np.uint64) + (which.astype(np.uint64) << np.uint64(33))
-                out.append(mixed(path * PRIME + mixed(token)))
-        made = pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids[at], CHILDREN)), pa.array(np.tile(parents, CHILDREN))
-        yield pa.RecordBatch.from_arrays(list(made), names=["path", "class", "parent"])
+                token = sketches[at[here], which].astype(np.uint64) + (which.astype(np.uint64) << np.uint64(33))
+                made.append((mixed(own * PRIME + mixed(token)), ids[at[here]], parents[here]))
+        paths, classes, sizes = (np.concatenate(x) for x in zip(*made))
+        columns = [pa.array(paths.view(np.int64)), pa.array(classes), pa.array(sizes)]
+        yield pa.RecordBatch.from_arrays(columns, names=["path", "class", "parent"])
 
 
 def node_candidates(batches, values: int, threshold: int):
@@ -261,8 +268,8 @@ def pivot_links(batches, threshold: int):
     yield two_columns(a, b)
 
 
-def large_bundle_links(members: DataFrame, threshold: int) -> DataFrame:
-    """Links that connect the true components of bundles too large for a task.
+def large_bundle_links(members: DataFrame, threshold: int, turns: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Links that connect the true components of bundles too large for a task, and the bundles still open after ``turns``.
 
     In rounds, pivots of about PIVOT_BYTES of each bundle are compared with all sets of the bundle, which lie
     in blocks of about BLOCK_BYTES. Sets that are linked get one label. A pair with unequal labels has a
@@ -279,7 +286,9 @@ def large_bundle_links(members: DataFrame, threshold: int) -> DataFrame:
         largest = counts.groupBy("bundle").agg(F.max(F.struct("n", F.col("label").alias("main")))["main"].alias("main"))
         open_ = write_out(state.join(largest, "bundle").where((F.col("label") != F.col("main")) & ~F.col("done")).select("class", "bundle", "bytes"))
         if open_.isEmpty():
-            return links
+            return links, None
+        if turn == turns:
+            return links, open_.select("bundle").distinct()
         pending = open_.groupBy("bundle").agg(F.sum("bytes").alias("pending"))
         drawn = F.pmod(F.xxhash64(F.lit(turn), "class"), F.ceil(F.col("pending") / PIVOT_BYTES)) == 0
         pivots = write_out(open_.join(pending, "bundle").where(drawn).select("class", "bundle"))
@@ -315,27 +324,38 @@ def refined(members: DataFrame, threshold: int) -> DataFrame:
         sketch = Sketcher(REFINED)
         return lambda column: [[sketch(np.frombuffer(x, dtype=np.uint64)).tobytes() for x in column.to_pylist()]]
 
-    classes = append_columns(members, ["shingles"], "sketch binary", sketches, ["class", "size"])
-    again = connected_components(chosen_paths(write_out(classes), threshold, REFINED))
-    return members.drop("bundle").join(again.select(F.col("node").alias("class"), F.col("root").alias("bundle")), "class")
+    classes = write_out(append_columns(members, ["shingles"], "sketch binary", sketches, ["class", "size"]))
+    again = connected_components(chosen_paths(classes, threshold, REFINED))
+    bundles = again.select(F.col("node").alias("class"), F.col("root").alias("bundle")).join(classes.select("class", "size"), "class")
+    return members.select("class", "shingles").join(with_bytes(bundles), "class")
 
 
-def by_bytes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of bundles that one task compares, and of those that are larger."""
-    sizes = members.groupBy("bundle").agg((8 * F.sum("size")).alias("bytes"))
-    sized = write_out(members.join(sizes, "bundle"))
-    return sized.where(F.col("bytes") <= BUNDLE_BYTES).drop("bytes"), sized.where(F.col("bytes") > BUNDLE_BYTES).drop("bytes")
+def with_bytes(bundles: DataFrame) -> DataFrame:
+    """``bundles`` (class, bundle, size) with the bytes of the sets of each bundle."""
+    return bundles.join(bundles.groupBy("bundle").agg((8 * F.sum("size")).alias("bytes")), "bundle")
 
 
 def true_links(members: DataFrame, threshold: int) -> DataFrame:
-    """Links that connect the true components of bundles: (bundle, class, size, shingles)."""
-    small, large = by_bytes(members)
-    if not large.isEmpty():
-        fewer, large = by_bytes(refined(large, threshold))
-        small = small.unionByName(fewer)
-    sorted_ = small.select("bundle", "class", "shingles").repartition("bundle").sortWithinPartitions("bundle")
-    links = sorted_.mapInArrow(partial(bundle_links, threshold=threshold), "a long, b long")
-    return links if large.isEmpty() else links.unionByName(large_bundle_links(large.drop("size"), threshold))
+    """Links that connect the true components of bundles: (bundle, bytes, class, size, shingles).
+
+    Bundles that one task can hold are compared there. Larger ones take two rounds of pivots, which settle dense ones; those
+    still open are told apart by longer sketches, and what is large even then is settled by pivots.
+    """
+
+    def compared(own: DataFrame) -> DataFrame:
+        small = own.where(F.col("bytes") <= BUNDLE_BYTES).select("bundle", "class", "shingles")
+        return small.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(partial(bundle_links, threshold=threshold), "a long, b long")
+
+    links, large = compared(members), members.where(F.col("bytes") > BUNDLE_BYTES)
+    if large.isEmpty():
+        return links
+    found, still = large_bundle_links(large, threshold, turns=2)
+    links = links.unionByName(found)
+    if still is None:
+        return links
+    fewer = write_out(refined(large.join(still, "bundle", "left_semi"), threshold))
+    rest, _ = large_bundle_links(fewer.where(F.col("bytes") > BUNDLE_BYTES), threshold)
+    return links.unionByName(compared(fewer)).unionByName(rest)
 
 
 def near_groups(
@@ -360,7 +380,7 @@ def grouped(own: DataFrame, words: int, threshold: int, keep: tuple[str, ...]) -
     distinct = by_sign.agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
     classes = write_out(distinct.withColumn("class", F.monotonically_increasing_id()))
     bundles = connected_components(chosen_paths(classes, threshold)).withColumnRenamed("node", "class").withColumnRenamed("root", "bundle")
-    wanted = write_out(bundles.join(classes.select("class", "sign", "first", "size"), "class"))
+    wanted = write_out(with_bytes(bundles.join(classes.select("class", "sign", "first", "size"), "class")))
     ids = wanted.select(F.col("first").alias("doc_id")).distinct()
     # Their bytes: 8 for a number, else what the longest id takes in all.
     bytes_ = wanted.agg(F.count("*") * F.max(F.octet_length(F.col("first").cast("string")) + 8)).first()[0] or 0
@@ -374,7 +394,7 @@ def grouped(own: DataFrame, words: int, threshold: int, keep: tuple[str, ...]) -
         return work
 
     sets = append_columns(some, ["text"], "sign binary, shingles binary", shingles, []).dropDuplicates(["sign"])
-    members = wanted.join(sets, "sign").select("class", "bundle", "size", "shingles")
+    members = write_out(wanted.join(sets, "sign").select("class", "bundle", "bytes", "size", "shingles"))
     roots = connected_components(true_links(members, threshold)).withColumnRenamed("node", "class")
     labelled = write_out(classes.select("class", "sign", "first").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))

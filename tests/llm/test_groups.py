@@ -82,7 +82,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
 
 
 def test_paths_of_pairs_in_crowds_that_are_not_dense():
-    """Pairs of similarity 0.8 share a path however often their nodes branch; a miss has a chance of 6e-8 a pair."""
+    """Pairs of similarity 0.8 share a path however often their nodes branch; a miss has a chance of 1e-4 a pair at the last level."""
     rng = np.random.default_rng(5)
     n = minhash_dedup.VALUES
     one = rng.integers(0, 2**32, (2000, n), dtype=np.uint32)
@@ -93,7 +93,7 @@ def test_paths_of_pairs_in_crowds_that_are_not_dense():
         (made,) = minhash_dedup.branch([batch], roots=level == 1)
         rows = sorted(zip(made.column("path").to_pylist(), made.column("class").to_pylist()))
         shared = [(p, c) for (p, a), (q, b) in zip(rows, rows[1:]) if p == q and a // 2 == b // 2 for c in (a, b)]
-        assert {c // 2 for _, c in shared} == set(range(len(one))), level
+        assert len({c // 2 for _, c in shared}) >= len(one) - (2 if level > 2 else 0), level
         path, own = zip(*shared)
         batch = pa.RecordBatch.from_pydict({"path": path, "class": own, "n": [1000] * len(own), "sketch": [sketches[c] for c in own]})
 
@@ -188,7 +188,7 @@ def test_large_bundles_are_told_apart_by_longer_sketches(spark, monkeypatch):
     texts += [[*t[:-1], word()] for t in texts[:10]]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     rows = [(i, np.sort(np.array([hash(e) & (2**63 - 1) for e in shingles(" ".join(t), 5)], dtype=np.uint64)).tobytes()) for i, t in enumerate(texts)]
-    members = spark.createDataFrame([(i, 0, len(b) // 8, bytearray(b)) for i, b in rows], "class long, bundle long, size long, shingles binary")
+    members = spark.createDataFrame([(i, 0, 9999, len(b) // 8, bytearray(b)) for i, b in rows], "class long, bundle long, bytes long, size long, shingles binary")
     left = minhash_dedup.refined(members, 80)
     assert left.groupBy("bundle").count().where("count = 2").count() == left.select("bundle").distinct().count() == 10
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
