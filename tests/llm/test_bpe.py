@@ -1,6 +1,7 @@
 """Byte-pair encoding against the tokenizers library, decoding against the text, sections against offsets."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -38,6 +39,14 @@ def test_ids_equal_the_library(library, encoder, batch):
     assert found == [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
 
 
+def test_ids_of_mixed_white_space(library, encoder):
+    rng = random.Random(11)
+    parts = [" ", "\n", "\t", "\u00a0", "\u2003", "  ", "a", "é", "1", ".", "'s", "\r", "\x0b", "\x1c", "\u200b", "\u2028", "\u3000", "日", "\u0085", "<|endoftext|>", "²"]
+    batch = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + [" \u00a0 \u00a0", "é \u00a0 \u00a0"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_bounded(batch)]
+    assert found == [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
+
+
 def test_query_digests(spark, library):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (None, "x"), (0, ODD[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -62,8 +71,17 @@ def test_clashing_columns_and_empty_table(spark):
     assert bpe.with_digests(docs.limit(0), PATH).count() == 0
 
 
+def test_sections_of_odd_tables(spark):
+    rows = [(1, "a b\nc", "mine", 7), (1, "a b\nc", "mine", 7), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, section string, n_tokens int")
+    got = sorted(tuple(r) for r in token_counts.count_section_tokens(docs, PATH, keep=["doc_id"]).fillna(-1).collect())
+    assert got == [(-1, 0, 0, 0, 0, 0), (1, 0, 0, 4, 3, 0), (1, 0, 0, 4, 3, 0), (1, 1, 4, 5, 1, 0), (1, 1, 4, 5, 1, 0)]
+    assert token_counts.count_section_tokens(docs.limit(0), PATH).columns == ["doc_id", "text", "section", "start", "end", "n_tokens", "n_crossing"]
+    assert token_counts.count_section_tokens(docs.limit(0), PATH).count() == 0
+
+
 def test_sections_against_offsets(spark, library):
-    texts = [*ODD, "one\ntwo lines\n\n\nend.\n\n", "é\né\n😀\n", None]
+    texts = [*ODD, " \u00a0 \u00a0", "é \u00a0 \u00a0\n\u00a0 \u00a0", "one\ntwo lines\n\n\nend.\n\n", "é\né\n😀\n", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = token_counts.count_section_tokens(docs, PATH, keep=["doc_id"]).collect()
     for i, t in enumerate(texts):
