@@ -73,7 +73,7 @@ def test_checks_of_pages(spark):
     assert got["title.length"] == ("fail", "critical") and got["meta_description.length"] == ("fail", "warning") and got["h1.present"] == ("pass", "info")
     assert got["headings.hierarchy"] == ("fail", "notice") and got["links.noopener"] == ("fail", "warning") and got["links.anchor_text"] == ("fail", "warning")
     assert got["cwv.blocking_scripts"] == ("fail", "critical") and got["images.alt"] == ("fail", "warning") and got["dom.duplicate_ids"] == ("fail", "warning")
-    assert got["schema.syntax"] == ("pass", "info") and got["schema.faq"] == ("skip", "info") and got["canonical.present"] == ("pass", "info")
+    assert got["schema.syntax"] == ("pass", "info") and got["schema.faq"] == ("pass", "info") and got["canonical.present"] == ("pass", "info")
     empty = checks_of(spark, None)
     assert empty["title.present"] == ("fail", "critical") and "title.length" not in empty and "schema.faq" not in empty and empty["images.alt"] == ("skip", "info")
 
