@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sitegauge.llm import bpe, decontaminate, embedding_dedup, minhash_dedup, quality, secret_scan, sharding, token_counts, toxicity, url_filter
+from sitegauge.llm import (
+    bpe, decontaminate, embedding_dedup, hard_negatives, minhash_dedup, quality, secret_scan, sharding, token_counts, toxicity, turn_repair, url_filter,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +17,8 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_near_duplicates": minhash_dedup.op9_near_duplicates,
     "op10_embedding_links": embedding_dedup.op10_embedding_links,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +27,6 @@ ORACLES: dict[str, str] = {
     "op4_benchmark_passages": decontaminate.ORACLE,
     "op9_near_duplicates": minhash_dedup.ORACLE,
     "op10_embedding_links": embedding_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_turn_repair": turn_repair.ORACLE,
 }
