@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sitegauge.llm import (
-    bpe, decontaminate, embedding_dedup, hard_negatives, minhash_dedup, quality, secret_scan, sharding, token_counts, toxicity, turn_repair, url_filter,
+    bpe, decontaminate, embedding_dedup, hard_negatives, language_id, minhash_dedup, quality, secret_scan, sharding, token_counts, toxicity, turn_repair, url_filter,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_embedding_links": embedding_dedup.op10_embedding_links,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_turn_repair": turn_repair.op12_turn_repair,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
