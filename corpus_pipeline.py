@@ -47,7 +47,7 @@ def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir:
     first = rows.groupBy("group").agg(F.min(F.struct("doc_id", key)).alias("first")).select("group", "first.*").withColumn("stays", F.lit(True))
     decided = write_out(rows.join(first, ["group", "doc_id", key], "left").select("doc_id", key, "rows", "stays"))
     alone = keyed.join(decided.where("stays is null or rows > 1").select("doc_id", key), ["doc_id", key], "left_anti")
-    repeated = keyed.join(F.broadcast(decided.where("stays and rows > 1").select("doc_id", key)), ["doc_id", key], "left_semi")
+    repeated = keyed.join(decided.where("stays and rows > 1").select("doc_id", key), ["doc_id", key], "left_semi")
     row = F.struct(*docs.columns)
     one = repeated.groupBy("doc_id", key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
     return alone.select(*docs.columns).unionByName(one.select("row.*"))

@@ -78,7 +78,7 @@ def with_digests(df: DataFrame, vocabulary: str, text: str = "text", keep: list[
         "ids_sha256": F.sha2(ids, 256),
         "decoded_sha256": F.sha2(F.encode(back, "utf-8"), 256),
     }
-    return both.select(*[c for c in keep if c not in new], *[v.alias(k) for k, v in new.items()])
+    return both.select(*[c for c in keep if c.lower() not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def append_columns(
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     schema = T.StructType([df.schema[c] for c in kept] + list(new))
     n = len(kept)
-    source = df.select(*[df[c] for c in kept], *[df[c].alias(f"__in{i}") for i, c in enumerate(inputs)])
+    source = df.select(*[df[c] for c in kept], *[df[c].alias(unused(kept, f"__in{i}_")) for i, c in enumerate(inputs)])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in new]

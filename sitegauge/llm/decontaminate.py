@@ -9,10 +9,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import append_columns, texts, unused, write_out
+from sitegauge.llm.common import append_columns, scratch, texts, unused, write_out
 from sitegauge.llm.fm_index import FMIndex
 from sitegauge.sources.tables import read_table
 
@@ -24,6 +25,9 @@ PIECE_WORDS = 50_000
 #: Rows and bytes of text of a shard, which has one index.
 SHARD_ROWS, SHARD_BYTES = 10_000, 8 << 20
 
+#: What the names of items with and without an id begin with.
+NAMED, NAMELESS = "=", "-"
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 #: Bytes of words lower-cased, all others a space. Bytes from 0x80 on are parts of non-ASCII letters.
@@ -156,11 +160,20 @@ def pieces(batches, window: int):
 
 
 def benchmark_pieces(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """Items without an id or without words can't be reported or found, and are left out."""
-    own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    """Pieces of the items with words; an item is named by its id behind a letter, those without an id by another one."""
+    name = F.coalesce(F.concat(F.lit(NAMED), F.col(item).cast("string")), F.lit(NAMELESS))
+    own = benchmark.select(name.alias("i"), F.col(text).alias("t")).where("t is not null")
     return own.mapInArrow(partial(pieces, window=window), "i string, t string")
 
 
+def ids_of(items: set[str]) -> list[str]:
+    return [i[1:] for i in sorted(items) if i != NAMELESS]
+
+
+def as_structs(spans: list[list[tuple[int, int]]]) -> list[list[dict]]:
+    return [[{"start": a, "end": b} for a, b in s] for s in spans]
+
+
 def find_passages(
     df: DataFrame,
     benchmark: DataFrame,
@@ -177,48 +190,67 @@ def find_passages(
     Texts and items are lower-cased (A-Z) and cut into words. An item's windows are its runs of ``window``
     words, or all its words if it has fewer. Each slice of an Arrow batch (SHARD_ROWS rows of SHARD_BYTES of
     text) is a training shard that gets its own FM-index; no shuffle of ``df`` takes place. hit_items are the
-    ids of items with an occurring window, sorted as strings. Null and empty texts have no words. Documents
+    ids of items with an occurring window, sorted as strings; words of items without an id are hit, but
+    such items aren't listed. Null and empty texts have no words. Documents
     in many copies are searched like others. Columns named like the ``new`` ones are replaced.
 
-    A benchmark of more than ``block_bytes`` is dealt into blocks by hash. Each block is a pass over ``df``
-    whose result is written out before the next block is loaded, so that the driver and a task hold one
-    block's windows at a time.
+    A benchmark of more than ``block_bytes`` is dealt into blocks by hash. Each block is a pass over the texts
+    that writes the spans and items of the texts it hits, by their MD5, before the next block is loaded, so that the driver and a task hold
+    one block's windows at a time. What the passes found is then joined to the documents: no text is ever written.
     """
-    counted, spans_name, items_name = new
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new}]
-    own = f"{counted} long, {spans_name} array<struct<start:long,end:long>>, {items_name} array<string>"
-    source = unused([*kept, *new], "__text")
-    out = df.select(*kept, df[text].alias(source))
-    cut = benchmark_pieces(benchmark, item, item_text, window)
-    total = cut.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
-    if blocks > 1:
+    with scratch(df.sparkSession):
+        cut = benchmark_pieces(benchmark, item, item_text, window)
+        total = cut.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        blocks = int(total // block_bytes) + 1
+        if blocks == 1:
+            return searched(df, cut, text, window, kept, new)[0]
         cut = write_out(cut.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))))
-    for k in range(blocks):
-        rows = (cut.where(F.col("k") == k) if blocks > 1 else cut).collect()  # about block_bytes
-        phrases = df.sparkSession.sparkContext.broadcast(Phrases.of(sorted((r["i"], r["t"]) for r in rows), window))
-
-        def start(phrases=phrases):
-            search = ShardSearch(phrases.value)
-
-            def work(column, *earlier):
-                counts, spans, items = search(texts(column))
-                if earlier:
-                    for i, old in enumerate(earlier[0].to_pylist()):
-                        spans[i] = merged(spans[i] + [(s["start"], s["end"]) for s in old])
-                    for i, old in enumerate(earlier[1].to_pylist()):
-                        items[i].update(old)
-                return [counts, [[{"start": a, "end": b} for a, b in s] for s in spans], [sorted(i) for i in items]]
-
-            return work
-
-        inputs = [source] if k == 0 else [source, spans_name, items_name]
-        last = k == blocks - 1
-        out = append_columns(out, inputs, own, start, kept if last else [*kept, source], SHARD_ROWS, SHARD_BYTES)
-        if not last:
-            out = write_out(out)
+        texts_only = df.select(F.col(text).alias("t")).where("t is not null")
+        passes = []
+        for k in range(blocks):
+            found, phrases = searched(texts_only, cut.where(F.col("k") == k), "t", window, ["t"], ("n", "spans", "items"), listed=False)
+            found = found.where("size(spans) > 0").groupBy(F.md5("t").alias("key")).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+            passes.append(write_out(found))
             phrases.destroy()
-    return out
+        hits = passes[0]
+        for more in passes[1:]:
+            hits = hits.unionByName(more)
+        hits = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # a row of each pass at most
+        hits = write_out(hits, outlive=True)
+    key, spans, items = (unused([*df.columns, *new], n) for n in ("__key", "__spans", "__items"))
+    known = hits.select(F.col("key").alias(key), F.col("spans").alias(spans), F.col("items").alias(items))
+    joined = df.withColumn(key, F.md5(text)).join(known, key, "left")
+
+    def start():
+        def work(column, spans, items):
+            every = [merged([(s["start"], s["end"]) for s in own or ()]) for own in spans.to_pylist()]
+            return [[len(words_of(t)) for t in texts(column)], as_structs(every), [ids_of(set(own or ())) for own in items.to_pylist()]]
+
+        return work
+
+    return append_columns(joined, [text, spans, items], outputs_of(new), start, kept, SHARD_ROWS, SHARD_BYTES)
+
+
+def outputs_of(new: tuple[str, str, str]) -> str:
+    return f"{new[0]} long, {new[1]} array<struct<start:long,end:long>>, {new[2]} array<string>"
+
+
+def searched(df: DataFrame, cut: DataFrame, text: str, window: int, kept: list[str], new: tuple[str, str, str], listed: bool = True) -> tuple[DataFrame, Broadcast]:
+    """``df`` with what one block of the benchmark's pieces finds, items by their ids, or by their names if not ``listed``; and the block."""
+    rows = cut.collect()  # about block_bytes
+    phrases = df.sparkSession.sparkContext.broadcast(Phrases.of(sorted((r["i"], r["t"]) for r in rows), window))
+
+    def start():
+        search = ShardSearch(phrases.value)
+
+        def work(column):
+            counts, spans, items = search(texts(column))
+            return [counts, as_structs(spans), [ids_of(i) if listed else sorted(i) for i in items]]
+
+        return work
+
+    return append_columns(df, [text], outputs_of(new), start, kept, SHARD_ROWS, SHARD_BYTES), phrases
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -267,7 +299,7 @@ ORACLE = r"""
 WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 item_windows AS (
   SELECT DISTINCT item, least(10, len(w)) AS n, w[i : i + least(10, len(w)) - 1] AS win
   FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)),
@@ -281,7 +313,7 @@ doc_windows AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, sizes WHERE len(w) >= n)),
 found AS (SELECT doc_id, item, d.n, i FROM doc_windows d JOIN item_windows t ON d.n = t.n AND d.win = t.win),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+items AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
   FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import append_columns, write_out
+from sitegauge.llm.common import append_columns, scratch, write_out
 from sitegauge.llm.labelled import held_out
 from sitegauge.sources.tables import read_table
 
@@ -189,26 +189,27 @@ def fit(
     The landmarks' n-grams and the training rows' kernels with them come to the driver: at most rows x landmarks numbers, and the n-grams of
     ``landmarks`` texts, of at most LANDMARK_CHARS characters each where a language has so many of that length.
     """
-    names, train = training_rows(docs, doc_id, text, lang, rows, landmarks, languages)
-    if not names:
-        return Languages([])
-    train = write_out(train)
-
-    def grams():
-        return lambda column: [[gram_set(t).tolist() for t in column.to_pylist()]]
-
-    few = append_columns(train.where("landmark"), ["text"], "grams array<long>", grams, ["doc_id", "lang", "place"])
-    marks = Landmarks([np.array(r["grams"], dtype=np.int64) for r in sorted(few.collect(), key=lambda r: (r["lang"], r["place"]))])
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-
-    def kernels():
-        return lambda column: [[shared.value.kernel(gram_set(t)).tolist() for t in column.to_pylist()]]
-
-    known = append_columns(train, ["text"], "kernel array<double>", kernels, ["lang", "place"]).collect()
-    shared.unpersist()
-    known.sort(key=lambda r: (r["lang"], r["place"]))
-    labels = np.array([names.index(r["lang"]) for r in known])
-    return Languages(names, marks, np.array([r["kernel"] for r in known]), labels)
+    with scratch(docs.sparkSession):
+        names, train = training_rows(docs, doc_id, text, lang, rows, landmarks, languages)
+        if not names:
+            return Languages([])
+        train = write_out(train)
+
+        def grams():
+            return lambda column: [[gram_set(t).tolist() for t in column.to_pylist()]]
+
+        few = append_columns(train.where("landmark"), ["text"], "grams array<long>", grams, ["doc_id", "lang", "place"])
+        marks = Landmarks([np.array(r["grams"], dtype=np.int64) for r in sorted(few.collect(), key=lambda r: (r["lang"], r["place"]))])
+        shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+        def kernels():
+            return lambda column: [[shared.value.kernel(gram_set(t)).tolist() for t in column.to_pylist()]]
+
+        known = append_columns(train, ["text"], "kernel array<double>", kernels, ["lang", "place"]).collect()
+        shared.unpersist()
+        known.sort(key=lambda r: (r["lang"], r["place"]))
+        labels = np.array([names.index(r["lang"]) for r in known])
+        return Languages(names, marks, np.array([r["kernel"] for r in known]), labels)
 
 
 def with_languages(docs: DataFrame, model: Languages, text: str = "text", pred: str = "lang_pred", score: str = "lang_score", keep: list[str] | None = None) -> DataFrame:

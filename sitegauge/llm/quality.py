@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import append_columns, texts, write_out
+from sitegauge.llm.common import append_columns, scratch, texts, write_out
 from sitegauge.llm.labelled import TRAIN_ROWS, held_out, training_texts
 from sitegauge.sources.tables import read_table
 
@@ -102,9 +102,10 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[list[str], np.ndar
     All words of all documents are counted, by Spark alone.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(JVM_PARTS), F.lit(0))).alias("word"))
-    counts = write_out(words.groupBy("word").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    some = counts.where((F.col("n") >= LEAST_SHARE * total) & (F.char_length("word") <= LONGEST)).collect()
+    with scratch(docs.sparkSession):
+        counts = write_out(words.groupBy("word").agg(F.count("*").alias("n")))
+        total = counts.agg(F.sum("n")).first()[0] or 1
+        some = counts.where((F.col("n") >= LEAST_SHARE * total) & (F.char_length("word") <= LONGEST)).collect()
     known = sorted((r["word"], r["n"]) for r in some)
     return [*SIGNS, *[w for w, _ in known]], np.array([*[0] * len(SIGNS), *[n for _, n in known]]) / total
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import write_out
+from sitegauge.llm.common import unused, write_out
 from sitegauge.sources.tables import read_table
 
 #: Buckets whose counts are summed up by one task of the running sum.
@@ -19,23 +19,23 @@ def record_size(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8)
 
 
-def scatter(df: DataFrame, buckets: int, seed: int) -> DataFrame:
+def scatter(df: DataFrame, buckets: int, seed: int, place: str) -> DataFrame:
     """First pass: every record gets a seeded hash bucket, independent of its content and so without skew.
 
     The hash is of the record's place in the input (its task and row), so that repeated rows and hot keys
     spread like any others. The buckets are written out: the places are drawn once, whatever task is
     run again later.
     """
-    drawn = df.withColumn("__place", F.monotonically_increasing_id())
-    return write_out(drawn.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), "__place"), F.lit(buckets)).cast("int")))
+    drawn = df.withColumn(place, F.monotonically_increasing_id())
+    return write_out(drawn.withColumn(unused(df.columns, "__bucket"), F.pmod(F.xxhash64(F.lit(seed), place), F.lit(buckets)).cast("int")))
 
 
-def bucket_starts(scattered: DataFrame) -> DataFrame:
+def bucket_starts(scattered: DataFrame, bucket: str) -> DataFrame:
     """(bucket, first, all): the number of records in all earlier buckets, and in all.
 
     Counts are summed in runs of RUN buckets, and then over runs, so that no task reads every bucket.
     """
-    counts = scattered.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__run", F.floor(F.col("__bucket") / RUN))
+    counts = scattered.groupBy(F.col(bucket).alias("__bucket")).agg(F.count("*").alias("__n")).withColumn("__run", F.floor(F.col("__bucket") / RUN))
     inside = Window.partitionBy("__run").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     over_runs = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)  # one row for RUN buckets
     runs = counts.groupBy("__run").agg(F.sum("__n").alias("__in_run"))
@@ -44,10 +44,6 @@ def bucket_starts(scattered: DataFrame) -> DataFrame:
     return within.join(before, "__run").select("__bucket", (F.col("__before") + F.col("__inside")).alias("__first"), "__all")
 
 
-def by_place(a: Column, b: Column) -> Column:
-    return F.signum(a["__place"] - b["__place"]).cast("int")
-
-
 def shuffle_into_shards(
     df: DataFrame, shards: int = 24, seed: int = 20_011, bucket_bytes: int | None = None, text: str = "text"
 ) -> DataFrame:
@@ -66,15 +62,21 @@ def shuffle_into_shards(
     df = df.drop("shard", "slot", "law")
     total = df.agg(F.sum(record_size(text)).alias("bytes")).first()["bytes"] or 0
     buckets = int(total // (bucket_bytes or min(MOST_BYTES, max(LEAST_BYTES, total // MANY)))) + 1
-    scattered = scatter(df, buckets, seed)
     names = df.columns
+    place, bucket = unused(names, "__place"), unused(names, "__bucket")
+    scattered = scatter(df, buckets, seed, place)
+
+    def by_place(a: Column, b: Column) -> Column:
+        return F.signum(a[place] - b[place]).cast("int")
+
     drawn = (
-        scattered.repartitionById(buckets, F.col("__bucket"))
-        .groupBy("__bucket")
-        .agg(F.array_sort(F.collect_list(F.struct("__place", *names)), by_place).alias("__records"))
+        scattered.repartitionById(buckets, F.col(bucket))
+        .groupBy(F.col(bucket).alias("__bucket"))
+        .agg(F.array_sort(F.collect_list(F.struct(place, *names)), by_place).alias("__records"))
         .select("__bucket", F.shuffle("__records", seed).alias("__records"))
     )
-    placed = drawn.join(F.broadcast(bucket_starts(scattered)), "__bucket") if buckets <= 1_000_000 else drawn.join(bucket_starts(scattered), "__bucket")
+    starts = bucket_starts(scattered, bucket)
+    placed = drawn.join(F.broadcast(starts) if buckets <= 1_000_000 else starts, "__bucket")
     dealt = placed.select("__first", "__all", F.posexplode("__records").alias("__at", "__record"))
     position, most = F.col("__first") + F.col("__at"), F.expr(f"__all div {shards}")
     larger = F.expr(f"__all % {shards}")  # shards that have one record more, the first ones

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.llm.bpe import default_vocabulary
 from sitegauge.llm.bpe_merge import Encoder
-from sitegauge.llm.common import append_columns, texts
+from sitegauge.llm.common import append_columns, texts, unused
 from sitegauge.sources.tables import read_table
 
 #: A section is a line with the newline that ends it.
@@ -51,7 +51,7 @@ def count_section_tokens(
     The whole text is encoded once; its tokens are then attributed to sections, the matches of the
     pattern ``sections``, which must cover the text without overlap. The counts of a document's
     sections add up to the document's tokens. A null, empty or sectionless text gives one row: section 0,
-    0 to 0, no tokens. Columns of ``keep`` (all by default) are repeated for each section.
+    0 to 0, no tokens. Columns of ``keep`` (all by default) are repeated for each section; those named like a new column are replaced.
     """
     pattern = re.compile(sections)
 
@@ -80,11 +80,11 @@ def count_section_tokens(
 
         return work
 
-    kind = "__sections array<struct<start:long,end:long,n_tokens:long,n_crossing:long>>"
     new = ["section", "start", "end", "n_tokens", "n_crossing"]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    found = append_columns(df, [text], kind, start, kept)
-    return found.select(*kept, F.posexplode("__sections").alias("section", "__s")).select(*kept, "section", "__s.*")
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
+    sections_name, one_name = unused(kept, "__sections"), unused(kept, "__section")
+    found = append_columns(df, [text], f"{sections_name} array<struct<start:long,end:long,n_tokens:long,n_crossing:long>>", start, kept)
+    return found.select(*kept, F.posexplode(sections_name).alias("section", one_name)).select(*kept, "section", f"{one_name}.*")
 
 
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

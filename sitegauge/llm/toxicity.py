@@ -8,14 +8,14 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm.common import append_columns, texts, write_out
+from sitegauge.llm.common import append_columns, scratch, texts, write_out
 from sitegauge.llm.labelled import TRAIN_ROWS, held_out, training_texts
 from sitegauge.sources.tables import read_table
 
@@ -168,7 +168,7 @@ def learn_lexicons(train: DataFrame, size: int = LEXICON) -> list[dict[str, floa
                     seen[w] = terms(w)
                 found.setdefault((fold, label > 0), Counter()).update({x for w in words for x in seen[w]})
             for (fold, toxic), counts in found.items():
-                columns = [pa.array(list(counts)), pa.array([fold] * len(counts), pa.int32()), *[pa.array([n * (toxic == kind) for n in counts.values()], pa.int64()) for kind in (True, False)]]
+                columns = [pa.array(list(counts), pa.string()), pa.array([fold] * len(counts), pa.int32()), *[pa.array([n * (toxic == kind) for n in counts.values()], pa.int64()) for kind in (True, False)]]
                 yield pa.RecordBatch.from_arrays(columns, names=["term", "fold", "toxic", "clean"])
 
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in train.groupBy("fold", (F.col("label") > 0).alias("toxic")).count().collect()}
@@ -223,30 +223,38 @@ def score_toxicity(
     of the lexicon). Repeated rows get equal scores. The columns of ``keep`` (all by default) keep their values.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "toxic_score"]
+    own = unused_prefix(keep)  # features have names that no column of the caller has
+    with scratch(docs.sparkSession):
+        lexicon, trees, steps = fit(docs, labels, text, rows, own)
+    featured = with_features(docs, lexicon, text, keep, own)
+    if trees is None:
+        return featured.select(*keep, (1 - F.exp(1 - F.exp(f"{own}hits"))).alias("toxic_score"))
+    scored = steps.transform(trees.transform(feature_vectors(own).transform(featured)).withColumn(f"{own}raw", vector_to_array(f"{own}p")[1]))
+    return scored.select(*keep, (0.999 * F.col(f"{own}steps") + 0.001 * F.col(f"{own}raw")).alias("toxic_score"))
+
+
+def feature_vectors(own: str) -> VectorAssembler:
+    return VectorAssembler(inputCols=[own + f for f in FEATURES], outputCol=f"{own}vector")
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str, rows: int, own: str) -> tuple[dict[str, float], GBTClassificationModel | None, IsotonicRegressionModel | None]:
+    """Lexicon, trees and calibration; no trees where the labels of a part are of one kind only."""
     train = training_texts(docs.select("doc_id", F.col(text).alias("text")), labels, "toxic", rows)
     train = write_out(train.withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int")))
     *lexicons, lexicon = learn_lexicons(train)
     steps_part = F.col("fold") == FOLDS - 1
     kinds = {(r["part"], r["toxic"]) for r in train.select(steps_part.alias("part"), (F.col("label") > 0).alias("toxic")).distinct().collect()}
-    # Features have names that no column of the caller has.
-    own = unused_prefix(keep)
-    featured = with_features(docs, lexicon, text, keep, own)
     if len(kinds) < 4:
-        return featured.select(*keep, (1 - F.exp(1 - F.exp(f"{own}hits"))).alias("toxic_score"))
-    names = {k: own + k for k in ("vector", "p", "r", "c", "raw", "steps")}
-    vectors = VectorAssembler(inputCols=[own + f for f in FEATURES], outputCol=names["vector"])
-    known = write_out(with_own_features(train, lexicons, own))
-    known = vectors.transform(known).select("fold", F.col("label").cast("double").alias("label"), names["vector"]).coalesce(1)
+        return lexicon, None, None
+    known = feature_vectors(own).transform(write_out(with_own_features(train, lexicons, own)))
+    known = known.select("fold", F.col("label").cast("double").alias("label"), f"{own}vector").coalesce(1)
     grower = GBTClassifier(
-        featuresCol=names["vector"], labelCol="label", predictionCol=names["c"],
+        featuresCol=f"{own}vector", labelCol="label", predictionCol=f"{own}c",
         maxIter=25, maxDepth=4, stepSize=0.2, minInstancesPerNode=4, seed=17,
     )
-    trees = grower.setProbabilityCol(names["p"]).setRawPredictionCol(names["r"]).fit(known.where(~steps_part))
-    second = vector_to_array(names["p"])[1]
-    calibrate = trees.transform(known.where(steps_part)).select("label", second.alias(names["raw"]))
-    steps = IsotonicRegression(featuresCol=names["raw"], labelCol="label", predictionCol=names["steps"]).fit(calibrate)
-    scored = steps.transform(trees.transform(vectors.transform(featured)).withColumn(names["raw"], second))
-    return scored.select(*keep, (0.999 * F.col(names["steps"]) + 0.001 * F.col(names["raw"])).alias("toxic_score"))
+    trees = grower.setProbabilityCol(f"{own}p").setRawPredictionCol(f"{own}r").fit(known.where(~steps_part))
+    calibrate = trees.transform(known.where(steps_part)).select("label", vector_to_array(f"{own}p")[1].alias(f"{own}raw"))
+    return lexicon, trees, IsotonicRegression(featuresCol=f"{own}raw", labelCol="label", predictionCol=f"{own}steps").fit(calibrate)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

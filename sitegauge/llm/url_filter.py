@@ -152,7 +152,7 @@ def judge_urls(
     rules = default_rules() if rules is None else rules
     if bare := [r.pattern for r in rules if not r.tokens]:
         raise ValueError(f"rules without a literal token: {bare}")
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     address, best = unused(kept, "__address"), unused(kept, "__best")
     found = df.select(*kept, host_of(url).alias("host"), path_of(url).alias("path")).withColumn(address, F.concat("host", "path"))
     counts = token_counts(found, address, {t for r in rules for t in r.tokens})

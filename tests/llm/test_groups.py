@@ -165,13 +165,12 @@ def test_recall_over_a_few_thousand_documents(spark):
     for i, s in enumerate(sets):
         for e in s:
             first.setdefault(e, []).append(i)
-    common = {}
-    for members in first.values():
-        for x, i in enumerate(members):
-            for j in members[:x]:
-                if i - j == 1:  # partners stand side by side; other pairs share only the passage
-                    common[j, i] = common.get((j, i), 0) + 1
-    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    number = {e: k for k, e in enumerate(first)}
+    has = np.zeros((len(sets), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[e] for e in s]] = 1
+    common, size = (has @ has.T).astype(int), np.array([len(s) for s in sets])
+    links = [(a, b) for a, b in np.argwhere(100 * common >= 80 * (size[:, None] + size - common)).tolist() if a < b]
     assert len(links) == 400
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
