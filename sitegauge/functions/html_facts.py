@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
 
 from sitegauge.functions.json_ld import json_ld_facts
+from sitegauge.functions.urls import origin, resolve
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose start ends an open paragraph.
@@ -34,23 +34,6 @@ def collapse(text: str) -> str:
     return " ".join(text.split())
 
 
-def origin(url: str | None) -> str | None:
-    try:
-        parts = urlsplit(url or "")
-        port = {None: None, 80: None if parts.scheme == "http" else 80, 443: None if parts.scheme == "https" else 443}.get(parts.port, parts.port)
-        return f"{parts.scheme}://{parts.hostname}" + (f":{port}" if port else "") if parts.scheme and parts.hostname else None
-    except ValueError:
-        return None
-
-
-def resolve(href: str | None, base: str) -> str | None:
-    try:
-        out = urljoin(base, (href or "").strip())
-        return out if urlsplit(out).scheme else None
-    except ValueError:
-        return None
-
-
 class PageParser(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)

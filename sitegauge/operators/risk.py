@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import collapsed, jaccard, slug, truncated, word_set
+from sitegauge.functions.text import collapsed, jaccard, once, slug, truncated, word_set
+from sitegauge.functions.urls import origins
 
 #: Terms and patterns of text that addresses AI systems, and of link spam.
 AI_TERMS = (
@@ -63,18 +64,31 @@ def addresses_ai(text: Column) -> Column:
 def ai_sentence(text: Column) -> Column:
     """The sentence that addresses an AI system, of 200 characters at most; null without one.
 
-    Of several patterns the first in order of the list decides. A sentence begins after the full stop, exclamation or question
-    mark before the match, and ends with the next one that white space or the end follows.
+    Of several patterns the first in order of the list decides, by its first match. The sentence begins after the full stop, exclamation or
+    question mark before the match, and ends with the next one that white space or the end follows.
     """
-    own = collapsed(text)
-    first = F.coalesce(*[F.nullif(F.regexp_extract(own, sentence_of(p), 1), F.lit("")) for p in AI_ADDRESSES])
-    return F.when((F.char_length(own) >= 8) & first.isNotNull(), truncated(first, 200))
+
+    def found(own: Column) -> Column:
+        first = F.when(F.char_length(own) < 8, F.lit(None).cast("string"))
+        for p in AI_ADDRESSES:
+            first = first.when(own.rlike(p), truncated(sentence_around(own, p), 200))
+        return first
+
+    return once(collapsed(text), found)
 
 
-def sentence_of(pattern: str) -> str:
-    """The pattern within its sentence; a mark that the pattern itself begins with ends the sentence before."""
-    inner = pattern.removeprefix("(?i)").replace(r"(?:^|[.!?;\n(]\s*)", r"(?:^|(?<=[.!?;\n(])\s*)")
-    return rf"(?i)\s*((?:[^.!?]*?)(?:{inner})(?:.*?[.!?](?=\s|$)|.*$))"
+def sentence_around(own: Column, pattern: str) -> Column:
+    """The sentence of the pattern's first match; a mark with which the match begins ends the sentence before."""
+    match = F.regexp_extract(own, pattern, 0)
+
+    def cut(at: Column) -> Column:
+        lead = F.char_length(F.regexp_extract(match, r"^[.!?;\n(]\s*", 0))
+        before = F.regexp_extract(F.substring(own, F.lit(1), at - 1 + lead), "^(?:.*[.!?])?(.*)$", 1)
+        rest = F.substring(own, at + F.char_length(match), F.char_length(own))
+        end = F.when(rest.rlike(r"[.!?](?:\s|$)"), F.regexp_extract(rest, r"^(.*?[.!?])(?:\s|$)", 1)).otherwise(rest)
+        return F.concat(before, F.substring(match, lead + 1, F.char_length(match)), end)
+
+    return once(F.regexp_instr(own, F.lit(pattern)), cut)
 
 
 def steers_ai(text: Column) -> Column:
@@ -131,16 +145,24 @@ def page_flags(facts: DataFrame, rendered_hidden: DataFrame | None = None) -> Da
     """page_id, flag, severity, evidence and rank of the flags that a page's own text gives, the severest first.
 
     Concealed elements are those of the HTML and, where there is a render, those of ``rendered_hidden`` (page_id,
-    hidden). Links to a page's own host or its subdomains are not foreign, and links to social networks are no scheme.
+    hidden, and where the render ended, final_url). Links to a page's own host or its subdomains are not foreign, and links to social networks are no scheme.
     """
-    if rendered_hidden is not None:
-        more = rendered_hidden.groupBy("page_id").agg(F.flatten(F.collect_list("hidden")).alias("__more"))
-        facts = facts.join(more, "page_id", "left").withColumn("hidden", F.concat("hidden", F.coalesce("__more", F.array_except("hidden", "hidden"))))
+    named = lambda hidden, source: F.transform(hidden, lambda h: F.struct(F.lit(source).alias("source"), h["reason"].alias("reason"), h["tag"].alias("tag"), h["text"].alias("text"), h["links"].alias("links")))
+    if rendered_hidden is None:
+        facts = facts.withColumn("hidden", named("hidden", "raw HTML"))
+    else:
+        last = F.max("final_url") if "final_url" in rendered_hidden.columns else F.lit(None).cast("string")
+        more = rendered_hidden.groupBy("page_id").agg(F.flatten(F.collect_list("hidden")).alias("__more"), last.alias("__end"))
+        joined = facts.withColumn("hidden", named("hidden", "raw HTML")).join(more, "page_id", "left")
+        away = (origins(F.col("__end")) != origins(F.col("url")))
+        end = F.when(away, F.array(F.struct(F.lit("after JavaScript ran, the browser ended up at").alias("where"), F.col("__end").alias("target"))))
+        joined = joined.withColumn("redirects", F.concat("redirects", F.coalesce(end, F.array_except("redirects", "redirects"))))
+        facts = joined.withColumn("hidden", F.concat("hidden", F.coalesce(named("__more", "rendered page"), F.array_except("hidden", "hidden"))))
     here = host_of(F.col("url"))
     foreign = lambda u: (host_of(u) != "") & (host_of(u) != here) & ~F.endswith(host_of(u), F.concat(F.lit("."), here))
     spammy = lambda x: F.concat_ws(" ", x["text"], x["href"]).rlike(SPAM_TERMS)
     shown = lambda where, x: F.struct(where.alias("where"), F.concat(F.coalesce(F.nullif(x["text"], F.lit("")), F.lit("(no text)")), F.lit(" → "), x["href"]).alias("text"))
-    concealed = lambda h: F.concat(F.lit("<"), h["tag"], F.lit("> hidden by "), h["reason"])
+    concealed = lambda h: F.concat(h["source"], F.lit(": <"), h["tag"], F.lit("> hidden by "), h["reason"])
     pairs = F.flatten(F.transform("hidden", lambda h: F.transform(F.filter(h["links"], lambda x: foreign(x["href"])), lambda x: F.struct(concealed(h).alias("where"), x["href"].alias("href"), x["text"].alias("text")))))
     staged = facts.withColumn("__pairs", pairs).select(
         "page_id", "title", "redirects",
@@ -157,7 +179,8 @@ def page_flags(facts: DataFrame, rendered_hidden: DataFrame | None = None) -> Da
             lambda x: F.struct(F.lit("link").alias("where"), F.concat(F.coalesce(F.nullif(x["text"], F.lit("")), F.lit("(no text)")), F.lit(" → "), x["resolved"]).alias("text")),
         ).alias("spam"),
     )
-    hosts = F.array_distinct(F.transform("schemes", lambda x: host_of(x["href"])))
+    every_host = F.transform("schemes", lambda x: host_of(x["href"]))
+    hosts, first_of_hosts = F.array_distinct(every_host), F.filter("schemes", lambda x, i: F.array_position(every_host, host_of(x["href"])) == i + 1)
     machine = F.concat("noted", "marked")
     title_words = F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda w: (F.char_length(w) >= 4) & ~w.isin(*STOP_WORDS))
     repeated = F.filter(F.array_distinct(title_words), lambda w: F.size(F.filter(title_words, lambda x: x == w)) >= 3)
@@ -165,7 +188,7 @@ def page_flags(facts: DataFrame, rendered_hidden: DataFrame | None = None) -> Da
     flags = [
         ("risk.hidden_ai_instructions", F.when(any_("told"), "critical"), F.col("told")),
         ("risk.hidden_spam_links", F.when(any_("hidden_spam"), "critical"), F.col("hidden_spam")),
-        ("risk.hidden_external_links", F.when(F.size(hosts) >= SCHEME_HOSTS, "warning"), F.transform("schemes", lambda x: shown(x["where"], x))),
+        ("risk.hidden_external_links", F.when(F.size(hosts) >= SCHEME_HOSTS, "warning"), F.transform(first_of_hosts, lambda x: shown(x["where"], x))),
         ("risk.machine_only_ai_text", F.when(any_("noted"), "critical").when(any_("marked"), "warning"), machine),
         ("risk.spam_links", F.when(any_("spam") & ~any_("hidden_spam"), "warning"), F.col("spam")),
         ("risk.sneaky_redirect", F.when(any_("redirects"), "warning"), F.transform("redirects", lambda r: F.struct(r["where"].alias("where"), r["target"].alias("text")))),
@@ -189,18 +212,31 @@ def risk_status(pages: DataFrame, flags: DataFrame, by: str = "page_id") -> Data
 
 
 def variant_flags(base: DataFrame, variants: DataFrame) -> DataFrame:
-    """page_id, flag, severity, similarity of what other crawlers get.
+    """page_id, flag, severity, similarity, evidence of what other crawlers get.
 
-    ``base`` has page_id, url, status and text; ``variants`` page_id, label, status, text, final_url and flag_blocking. A
-    variant refused (400 and above) where visitors are not is blocked, unless flag_blocking is false; one that ends
-    on another origin, or shares less than 0.6 of the words, is cloaking, critical below 0.3 or on another origin.
+    ``base`` has page_id, url, status, text and title; ``variants`` page_id, label, status, text, title, final_url, flag_blocking and error. A
+    variant that could not be fetched (an error, or no status) proves nothing. One refused (400 and above) where visitors are not is blocked, unless flag_blocking is
+    false; one that ends on another origin, or shares less than 0.6 of the words, is cloaking, critical below 0.3 or on another origin. Its evidence is the share of
+    words, the titles where they differ, and the other address.
     """
-    origin = lambda c: F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    own = base.select("page_id", origin("url").alias("__origin"), F.col("status").alias("__status"), word_set(F.col("text")).alias("__words"))
-    joined = variants.join(own, "page_id").withColumn("similarity", jaccard(word_set(F.coalesce("text", F.lit(""))), F.col("__words")))
-    refused = (F.col("status") >= 400) & (F.col("__status") < 400)
-    away = (F.coalesce(origin("final_url"), F.lit("")) != "") & (origin("final_url") != F.col("__origin"))
-    slug_ = slug(F.col("label"))
+    nothing = F.lit(None).cast("string")
+    name = lambda df, c: F.coalesce(F.trim(c), F.lit("")) if c in df.columns else F.lit("")
+    own = base.select("page_id", origins(F.col("url")).alias("__origin"), F.col("status").alias("__status"), word_set(F.coalesce("text", F.lit(""))).alias("__words"), name(base, "title").alias("__title"))
+    fetched = variants.withColumns({"title": name(variants, "title"), "error": F.col("error") if "error" in variants.columns else nothing}).where("status is not null and error is null")
+    joined = fetched.join(own, "page_id").withColumn("similarity", jaccard(word_set(F.coalesce("text", F.lit(""))), F.col("__words")))
+    joined = joined.withColumns({
+        "refused": (F.col("status") >= 400) & (F.coalesce("__status", F.lit(0)) < 400),
+        "away": (F.coalesce("final_url", F.lit("")) != "") & F.col("__origin").isNotNull() & ~origins(F.col("final_url")).eqNullSafe(F.col("__origin")),
+    })
+    refused, away, retitled = F.col("refused"), F.col("away"), F.col("title") != F.col("__title")
     severity = F.when(refused, F.when(F.coalesce("flag_blocking", F.lit(True)), "warning")).when(away | (F.col("similarity") < 0.3), "critical").when(F.col("similarity") < 0.6, "warning")
-    flag = F.concat(F.when(refused, "risk.blocked.").otherwise("risk.cloaking."), slug_)
-    return joined.select("page_id", flag.alias("flag"), severity.alias("severity"), F.when(~refused, F.col("similarity")).alias("similarity")).where("severity is not null")
+    flag = F.concat(F.when(refused, "risk.blocked.").otherwise("risk.cloaking."), slug(F.col("label")))
+    piece = lambda where, text: F.struct(where.alias("where"), text.alias("text"))
+    shared = F.concat(F.floor(F.col("similarity") * 100 + 0.5).cast("string"), F.lit("% of words shared with what visitors get"))
+    pieces = F.array(
+        piece(F.lit("content similarity"), shared), F.when(retitled, piece(F.concat(F.lit("title for "), "label"), truncated(F.col("title"), 120))),
+        F.when(retitled, piece(F.lit("title for visitors"), truncated(F.col("__title"), 120))), F.when(away, piece(F.concat("label", F.lit(" ends up at")), F.col("final_url"))),
+    )
+    evidence = F.when(refused, F.array().cast("array<struct<where:string,text:string>>")).otherwise(F.array_compact(pieces))
+    found = joined.select("page_id", flag.alias("flag"), severity.alias("severity"), F.when(~refused, F.col("similarity")).alias("similarity"), evidence.alias("evidence"))
+    return found.where("severity is not null")

@@ -60,24 +60,51 @@ def path_pattern(path: str) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(open_, r"\\\$$", r"\$"))
 
 
+def applying_rules(rules: DataFrame, token: str = "*") -> DataFrame:
+    """site, type, path, literal, wild, pattern of the rules of the token's groups, else of those of ``*``; empty ones are left out.
+
+    ``literal`` is what a path begins with that the rule matches: all of the rule up to its first wildcard.
+    """
+    named = rules.where(F.col("agent") == token.lower()).select("site").distinct().withColumn("named", F.lit(True))
+    chosen = rules.join(named, "site", "left").where(F.col("agent") == F.when(F.col("named"), F.lit(token.lower())).otherwise("*")).where("path <> ''")
+    literal = F.regexp_replace("path", r"\*.*$|\$$", "")
+    return chosen.select("site", "type", "path", literal.alias("literal"), (literal != F.col("path")).alias("wild"), path_pattern("path").alias("pattern")).distinct()
+
+
+def rule_pairs(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """The pairs of a path and a rule of its site that begins like it: those that are looked at at all.
+
+    A site's rules have few different lengths of their literal beginnings. Each path is cut at those lengths only, and its beginnings meet the
+    rules as equal keys, which spread over tasks however many paths and rules a site has.
+    """
+    lengths = rules.groupBy("site").agg(F.collect_set(F.char_length("literal")).alias("lengths"))
+    cut = paths.join(lengths, "site").withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))))
+    return cut.withColumn("literal", F.substring("path", F.lit(1), F.col("n"))).drop("lengths", "n").join(rules.withColumnRenamed("path", "rule"), ["site", "literal"])
+
+
 def urls_allowed(urls: DataFrame, rules: DataFrame, token: str = "*") -> DataFrame:
     """site, url, path, allowed. The longest matching rule of the token's groups (else those of ``*``) decides.
 
-    An allow wins a tie, empty disallows are ignored, and a path that no rule matches is allowed, a null one not. Rules
-    meet urls by site; matching follows as a filter, and only the best rule of each url is kept by an
-    aggregate that is combined before the shuffle.
+    An allow wins a tie, empty disallows are ignored, and a path that no rule matches is allowed, a null one not. Paths
+    fetch rules by their literal beginnings (``rule_pairs``), and only rules with wildcards then run a pattern. The best rule of each url is kept by
+    an aggregate that is combined before the shuffle.
     """
-    named = rules.where(F.col("agent") == token.lower()).select("site").distinct().withColumn("named", F.lit(True))
-    chosen = rules.join(named, "site", "left").where(F.col("agent") == F.when(F.col("named"), F.lit(token.lower())).otherwise("*"))
-    usable = chosen.where("path <> ''").select("site", "type", "path", path_pattern("path").alias("pattern")).distinct()
-    best = F.max(F.struct(F.char_length("r.path").alias("n"), (F.col("r.type") == "allow").alias("allow")))
-    paths = urls.select("site", "url", "path").distinct()
-    matched = paths.alias("u").join(usable.alias("r"), (F.col("u.site") == F.col("r.site")) & F.regexp_like(F.col("u.path"), F.col("r.pattern")))
-    decided = matched.groupBy("u.site", "u.url").agg(best.alias("best"))
+    pairs = rule_pairs(urls.select("site", "url", "path").distinct(), applying_rules(rules, token))
+    matched = pairs.where(~F.col("wild") | F.regexp_like("path", "pattern"))
+    best = F.max(F.struct(F.char_length("rule").alias("n"), (F.col("type") == "allow").alias("allow")))
+    decided = matched.groupBy("site", "url").agg(best.alias("best"))
     return urls.join(decided, ["site", "url"], "left").select("site", "url", "path", F.coalesce("best.allow", F.col("path").isNotNull()).alias("allowed"))
 
 
+#: A location of a sitemap; what holds white space, a bracket or a tag is none.
+LOCATION = r"(?i)<loc>\s*(?:<!\[CDATA\[)?\s*([^<\]\s]+)\s*(?:\]\]>)?\s*</loc>"
+
+
+def locations(text: Column) -> Column:
+    """The locations in a sitemap's text in order; CDATA is taken off and ``&amp;`` decoded."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LOCATION), 1), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+
+
 def sitemap_locs(files: DataFrame, text: str = "text") -> DataFrame:
-    """site, ord, loc of every location of a sitemap; CDATA is taken off and ``&amp;`` decoded."""
-    locs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"), 1)
-    return files.select("site", F.posexplode(locs).alias("ord", "loc")).select("site", "ord", F.replace("loc", F.lit("&amp;"), F.lit("&")).alias("loc"))
+    """site, ord, loc of every location of a sitemap."""
+    return files.select("site", F.posexplode(locations(F.col(text))).alias("ord", "loc"))

@@ -1,0 +1,100 @@
+"""SQL for the queries of crawls, from the columns of ``pages`` alone."""
+
+from __future__ import annotations
+
+from sitegauge.plans.audit_oracles import ALL_CHECKS, STOP, WEIGHTS
+
+MOST, GATHERED = 10, 40
+ENCODED = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')"
+WORD_SET = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9À-ɏ]+'), lambda x: length(x) >= 3))"
+
+SITES = r"""
+p AS (SELECT page_id, url, html, regexp_extract(url, '://([^/?#]*)', 1) AS site, length(regexp_extract(url, '://([^/?#]*)', 1)) % 4 AS kind FROM pages),
+sites AS (SELECT site, kind, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(last, '://[^/?#]*(/[^/?#]*)', 1) AS folder
+  FROM (SELECT site, kind, arg_min(url, page_id) AS url, arg_max(url, page_id) AS last FROM p GROUP BY ALL))"""
+#: Candidates of each site with the place where they are listed; files that are opened, by kind of site.
+CANDIDATES = (
+    SITES
+    + f""",
+counts AS (SELECT site, count(*) FILTER (page_id % 3 = 0) AS a, count(*) AS n FROM p GROUP BY site),
+listed AS (
+  SELECT site, origin, p.url AS loc, row_number() OVER (PARTITION BY site, page_id % 3 ORDER BY page_id) - 1 + CASE page_id % 3 WHEN 1 THEN a ELSE 0 END AS ord
+  FROM p JOIN sites s USING (site, kind) JOIN counts USING (site) WHERE kind = 0 AND (page_id % 3 = 0 OR (page_id % 3 = 1 AND a < {GATHERED}))
+  UNION ALL SELECT site, origin, p.url, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 FROM p JOIN sites s USING (site, kind) WHERE kind = 1
+  UNION ALL SELECT site, origin, unnest(['https://else.example/x', url || '#again']), n + unnest([0, 1]) FROM sites JOIN counts USING (site) WHERE kind = 1),
+hrefs AS (SELECT site, origin, page_id, unnest(h) AS h, unnest(range(len(h))) AS ord FROM (
+  SELECT s.site, s.origin, page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS h FROM sites s JOIN p ON p.url = s.url AND s.site NOT IN (SELECT site FROM listed))),
+locs AS (SELECT site, loc, ord, 'sitemap' AS source, origin FROM listed UNION ALL SELECT site, origin || replace(h, '&amp;', '&'), ord, 'links', origin FROM hrefs
+  UNION ALL SELECT site, url, -1, 'start', origin FROM sites),
+firsts AS (SELECT site, {ENCODED.format("regexp_replace(loc, '#.*$', '')")} AS u, origin, min(ord) AS ord, arg_min(source, ord) AS source, count(*) AS times FROM locs GROUP BY ALL),
+judged AS (SELECT f.*, CASE WHEN NOT (u = f.origin OR starts_with(u, f.origin || '/')) THEN 'offsite'
+    WHEN kind IN (0, 2) AND NOT starts_with(u, f.origin || folder || '/5') AND (starts_with(u, f.origin || folder) OR contains(u, '?')) THEN 'blocked' ELSE 'found' END AS state
+  FROM firsts f JOIN sites s USING (site)),
+found AS (SELECT site, u AS url, source, row_number() OVER (PARTITION BY site ORDER BY ord, u) AS rank FROM judged WHERE state = 'found' QUALIFY rank <= {MOST})"""
+)
+VARIANTS = f"""
+v AS (SELECT page_id, unnest([
+    {{'l': 'gpt_bot', 's': CASE WHEN page_id % 2 = 0 THEN 403 ELSE 200 END, 't': text[1:length(text) // 2], 'away': FALSE, 'title': title}},
+    {{'l': 'ccbot', 's': 200, 't': text, 'away': page_id % 3 = 0, 'title': title}},
+    {{'l': 'claudebot', 's': 200, 't': title, 'away': FALSE, 'title': title || ' !'}}]) AS x, {WORD_SET.format("text")} AS own, title FROM f),
+alike AS (SELECT page_id, x.l AS label, x.s AS status, x.away AS away, trim(title) AS title, trim(x.title) AS other,
+    list_transform([{WORD_SET.format("x.t")}], lambda w: CASE WHEN len(w) + len(own) = 0 THEN 1 ELSE len(list_intersect(w, own)) / len(list_distinct(list_concat(w, own))) END)[1] AS sim FROM v),
+variant_rows AS (SELECT *, CASE WHEN status = 403 THEN 'warning' WHEN away OR sim < 0.3 THEN 'critical' WHEN sim < 0.6 THEN 'warning' END AS severity FROM alike)"""
+SHORT = "(CASE WHEN length({0}) > 120 THEN {0}[1:119] || '…' ELSE {0} END)"
+#: Scores of the two modules that depend on more than the HTML, of the fetched pages.
+SCORES = f"""
+asked AS (SELECT d.*, x.page_id, s.kind, CASE WHEN x.page_id % 13 = 0 THEN 404 WHEN x.page_id % 17 = 0 THEN 500 WHEN x.page_id IS NULL THEN 0 ELSE 200 END AS status
+  FROM found d JOIN sites s USING (site) LEFT JOIN p x ON regexp_replace(x.url, '#.*$', '') = d.url),
+geo AS (SELECT a.page_id, 'geo_ai_validator' AS module, CASE WHEN rank > 1 THEN 100 ELSE CAST(floor(100.0 * (ok + shaped) / (weight + 1) + 0.5) AS BIGINT) END AS score
+  FROM (SELECT page_id, rank, CASE kind WHEN 0 THEN 11 WHEN 2 THEN 6 ELSE 3 END AS ok, CASE kind WHEN 0 THEN 12 WHEN 2 THEN 10 ELSE 13 END AS weight FROM asked WHERE page_id IS NOT NULL) a
+  JOIN (SELECT page_id, CASE WHEN regexp_matches(text, '(?i)\\b(faq|frequently asked questions|q&a)\\b') AND contains(html, '<ul') THEN 1 ELSE 0 END AS shaped FROM f) USING (page_id)),
+server AS (SELECT page_id, 'server_security' AS module, CAST(floor(100.0 * sum(CASE o WHEN 0 THEN 1 ELSE 0 END) / sum(CASE o WHEN 0 THEN 1 ELSE o END) + 0.5) AS BIGINT) AS score
+  FROM (SELECT page_id, unnest([CASE status WHEN 200 THEN 0 ELSE 6 END, CASE WHEN t < 800 THEN 0 WHEN t < 1800 THEN 3 ELSE 6 END, 0, CASE page_id % 2 WHEN 0 THEN 0 ELSE 1 END, 1,
+      CASE WHEN NOT starts_with(full_url, 'https:') THEN 3 WHEN page_id % 2 = 0 THEN 1 ELSE 0 END, CASE page_id % 3 WHEN 0 THEN 0 ELSE 1 END, 1, 1, CASE WHEN page_id % 4 >= 2 THEN 1 ELSE 0 END]) AS o
+    FROM (SELECT *, page_id * 37 % 2500 AS t, url AS full_url FROM asked WHERE page_id IS NOT NULL)) GROUP BY page_id),
+overall AS (SELECT page_id, CAST(floor(sum(score * mw) / sum(mw) + 0.5) AS BIGINT) AS score FROM (
+    SELECT page_id, module, score FROM every_s UNION ALL FROM geo UNION ALL FROM server UNION ALL SELECT page_id, 'js_render_diff', 100 FROM asked WHERE page_id IS NOT NULL)
+  JOIN {WEIGHTS} USING (module) GROUP BY page_id),
+stuffed AS (SELECT DISTINCT page_id FROM (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ({STOP}))) AS w FROM f) GROUP BY page_id, w HAVING count(*) >= 3),
+flagged AS (SELECT page_id, 'notice' AS severity FROM stuffed UNION ALL SELECT page_id, v.severity FROM variant_rows v JOIN asked a USING (page_id) WHERE rank = 1 AND v.severity IS NOT NULL AND (v.status < 400 OR a.status < 400)
+  UNION ALL SELECT page_id, CASE WHEN away OR sim < 0.3 THEN 'critical' WHEN sim < 0.6 THEN 'warning' END FROM variant_rows v JOIN asked a USING (page_id)
+    WHERE rank = 1 AND v.status = 403 AND a.status >= 400 AND (away OR sim < 0.6)
+  UNION ALL SELECT page_id, CASE WHEN len(own) > 0 THEN 'critical' END FROM asked a JOIN (SELECT page_id, own FROM v GROUP BY ALL) USING (page_id) WHERE rank = 1 AND a.status >= 400 AND len(own) > 0),
+flags AS (SELECT page_id, count(*) AS n, bool_or(severity = 'critical') AS c, bool_or(severity = 'warning') AS w FROM flagged GROUP BY page_id),
+crawled AS (SELECT a.site, a.rank, a.url, a.status, o.score, CASE WHEN a.page_id IS NULL THEN NULL WHEN g.c THEN 'high' WHEN g.w THEN 'review' ELSE 'clean' END AS risk,
+    CASE WHEN a.page_id IS NOT NULL THEN coalesce(g.n, 0) END AS flags, f.words, f.title, f.h1
+  FROM asked a LEFT JOIN overall o USING (page_id) LEFT JOIN flags g USING (page_id) LEFT JOIN f ON f.page_id = a.page_id)"""
+CRAWL = f"WITH {ALL_CHECKS}, {CANDIDATES}, {VARIANTS}, {SCORES}"
+
+ORACLES: dict[str, str] = {
+    "variant_flags": f"""WITH {ALL_CHECKS}, {VARIANTS},
+      x AS (SELECT *, ['gpt_bot', 'GPT Bot', 'ccbot', 'CCBot', 'claudebot', 'ClaudeBot'] AS names FROM variant_rows WHERE severity IS NOT NULL)
+      SELECT page_id, CASE status WHEN 403 THEN 'risk.blocked.' ELSE 'risk.cloaking.' END || label AS flag, severity, CASE WHEN status <> 403 THEN round(sim, 6) END AS similarity,
+        CASE status WHEN 403 THEN 0 ELSE 1 + CASE WHEN title <> other THEN 2 ELSE 0 END + CAST(away AS INT) END AS pieces,
+        CASE WHEN status = 403 THEN NULL WHEN away THEN names[list_position(names, label) + 1] || ' ends up at' WHEN title <> other THEN 'title for visitors' ELSE 'content similarity' END AS last_where,
+        CASE WHEN status = 403 THEN NULL WHEN away THEN 'https://else.example/in' WHEN title <> other THEN {SHORT.format("regexp_replace(title, '\\s+', ' ', 'g')")}
+          ELSE CAST(CAST(floor(sim * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% of words shared with what visitors get' END AS last_text FROM x""",
+    "crawled_pages": f"{CRAWL} SELECT site, rank, url, status, score, risk, flags, words FROM crawled",
+    "crawl_issue_lists": f"""{CRAWL}, good AS (FROM crawled WHERE status > 0 AND status < 400),
+      twins AS (SELECT site, lower(trim(title)) AS t FROM good GROUP BY ALL HAVING t <> '' AND count(*) > 1)
+      SELECT site, 'error' AS issue, url, CAST(status AS VARCHAR) AS value FROM crawled WHERE status = 0 OR status >= 400
+      UNION ALL SELECT site, 'duplicate_title', url, t FROM good g JOIN twins USING (site) WHERE lower(trim(title)) = t
+      UNION ALL SELECT site, 'missing_title', url, NULL FROM good WHERE title = '' UNION ALL SELECT site, 'missing_description', url, NULL FROM good
+      UNION ALL SELECT site, 'h1', url, CAST(h1 AS VARCHAR) FROM good WHERE h1 <> 1 UNION ALL SELECT site, 'thin', url, CAST(words AS VARCHAR) FROM good WHERE words < 150
+      UNION ALL SELECT site, 'risky', url, risk FROM good WHERE risk <> 'clean'
+      UNION ALL SELECT site, 'weakest', url, CAST(score AS VARCHAR) FROM (FROM good QUALIFY row_number() OVER (PARTITION BY site ORDER BY score, url) <= 5)""",
+    "crawl_summaries": f"""{CRAWL} SELECT site, CASE WHEN bool_or(source = 'sitemap') THEN 'sitemap' ELSE 'links' END AS source, count(*) FILTER (state = 'found') AS found, count(*) FILTER (state = 'blocked') AS blocked,
+        CAST(coalesce(sum(times) FILTER (state = 'offsite'), 0) AS BIGINT) AS offsite, coalesce(any_value(n), 0) AS crawled, coalesce(any_value(average), 0) AS average
+      FROM judged LEFT JOIN (SELECT site, count(*) AS n, CAST(floor(avg(score) FILTER (status > 0 AND status < 400) + 0.5) AS BIGINT) AS average FROM crawled GROUP BY site) USING (site) GROUP BY site""",
+    "opened_sitemaps": f"""WITH {CANDIDATES}, files(kind, file, name) AS (VALUES (0, 0, '/map.xml'), (0, 1, '/a.xml'), (0, 2, '/b.xml.gz'), (0, 3, '/none.xml'), (0, 4, '/c.xml'), (1, 0, '/sitemap.xml'), (2, 0, '/map.xml'), (3, 0, '/sitemap.xml'))
+      SELECT site, CAST(file AS BIGINT) AS file, origin || name AS url, CASE WHEN kind = 0 AND file > 1 THEN a ELSE 0 END AS before FROM sites JOIN files USING (kind) JOIN counts USING (site)
+      WHERE NOT (kind = 0 AND file > 1 AND a >= {GATHERED})""",
+    "sitemap_tests": f"""WITH {CANDIDATES}, files(kind, name, ok) AS (VALUES (0, '/map.xml', TRUE), (0, '/a.xml', TRUE), (0, '/b.xml.gz', TRUE), (0, '/c.xml', TRUE), (1, '/sitemap.xml', TRUE), (2, '/map.xml', FALSE), (3, '/sitemap.xml', FALSE)),
+      thirds AS (SELECT site, count(*) FILTER (page_id % 3 = 1) AS c FROM p GROUP BY site)
+      SELECT origin || name AS url, ok, CASE WHEN NOT ok THEN 0 WHEN name = '/map.xml' THEN 5 WHEN name = '/a.xml' THEN a WHEN name = '/c.xml' THEN c WHEN kind = 0 THEN n ELSE n + 3 END AS locs
+      FROM sites JOIN files USING (kind) JOIN counts USING (site) JOIN thirds USING (site)""",
+    "discovered": f"WITH {CANDIDATES} SELECT site, rank, url, source FROM found",
+    "site_rules": rf"""WITH {SITES}, u AS (SELECT DISTINCT site, p.url, kind, folder, regexp_extract(p.url, '://[^/?#]*([^#]*)', 1) AS path FROM p JOIN sites USING (site, kind)),
+      j AS (SELECT *, kind NOT IN (0, 2) OR starts_with(path, folder || '/5') OR NOT (starts_with(path, folder) OR contains(path, '?')) AS allowed FROM u)
+      SELECT site, url, allowed, CASE kind WHEN 2 THEN FALSE ELSE allowed END AS gptbot FROM j""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions import text as tx
-from sitegauge.operators import advice, business, comparisons, crawlers, discovery, page_checks, risk, scoring, site_checks, site_issues
+from sitegauge.operators import advice, business, comparisons, crawlers, page_checks, risk, scoring, site_checks, site_issues
 from sitegauge.operators.extraction import extract_pages, word_count
 from sitegauge.plans import fixtures as fx
 from sitegauge.plans.site_oracles import ORACLES  # noqa: F401
@@ -45,16 +45,6 @@ def risk_statuses(spark, sf_dir):
     return risk.risk_status(own, risk.page_flags(own))
 
 
-def variant_flags(spark, sf_dir):
-    """Each page as three crawlers get it: the same words, refused, or half of the words at another address."""
-    own = pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://a.example/"), F.col("page_id").cast("string")).alias("url"), F.lit(200).alias("status"), F.lit("alpha beta gamma delta epsilon").alias("text"))
-    labels = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "status", "text", "final_url", "flag_blocking"), row)]) for row in (
-        ("Googlebot", 200, "alpha beta gamma delta epsilon", "https://a.example/", True), ("GPT Bot", 403, "", None, True), ("Quiet", 403, "", None, False),
-        ("ClaudeBot", 200, "alpha beta", "https://a.example/", True), ("CCBot", 200, "alpha beta gamma delta epsilon", "https://b.example/", True), ("Other", 200, "nothing", None, True))])
-    variants = own.select("page_id", F.explode(labels).alias("v")).select("page_id", "v.*")
-    return risk.variant_flags(own, variants).select("page_id", "flag", "severity", F.round("similarity", 4).alias("similarity"))
-
-
 def business_facts(spark, sf_dir):
     joined = lambda c: F.array_join(c, "|").alias(c)
     rows = business.page_business(facts(spark, sf_dir))
@@ -284,36 +274,11 @@ def submitted(spark, sf_dir):
     return comparisons.submitted_sitemaps(rows)
 
 
-def sitemap_files(spark) -> DataFrame:
-    index = "<?xml version='1.0'?><sitemapindex>{}</sitemapindex>"
-    urls = "<urlset>{}</urlset>"
-    loc = lambda *u: "".join(f"<url><loc> {x} </loc></url>" for x in u)
-    rows = [
-        ("https://a.example/map.xml", 200, index.format(loc("https://a.example/one.xml", "https://a.example/old.xml.gz", "https://a.example/map.xml", "https://a.example/two.xml"))),
-        ("https://a.example/one.xml", 200, urls.format(loc("https://a.example/p?a=1&amp;b=2", "https://a.example/q#x", "https://b.example/off"))),
-        ("https://a.example/two.xml", 200, urls.format(loc("https://a.example/q", "<![CDATA[https://a.example/private/r]]>", "https://a.example/s"))),
-        ("https://a.example/old.xml.gz", 200, urls.format(loc("https://a.example/zipped"))), ("https://c.example/sitemap.xml", 404, "<urlset>"), ("https://d.example/sitemap.xml", 200, "<html>no</html>"),
-    ]
-    return spark.createDataFrame(rows, "url string, status int, text string")
-
-
-def sitemap_tests(spark, sf_dir):
-    return discovery.sitemap_tests(sitemap_files(spark))
-
-
-def discovered(spark, sf_dir):
-    starts = spark.createDataFrame([("a", "https://a.example/", "https://a.example/map.xml"), ("c", "https://c.example/", "https://c.example/sitemap.xml")], "site string, url string, map string")
-    locs = discovery.expand_sitemaps(starts.select("site", F.lit(0).alias("ord"), F.col("map").alias("url")), sitemap_files(spark), 25)
-    links = spark.createDataFrame([("c", 0, "https://c.example/x#top"), ("c", 1, "https://c.example/"), ("c", 2, "https://else.example/"), ("a", 0, "https://a.example/link")], "site string, ord long, loc string")
-    rules = spark.createDataFrame([("a", 0, "*", 1, "disallow", "/private")], "site string, group_no int, agent string, rule_no int, type string, path string")
-    return discovery.discover(starts, locs, links, rules, 4).withColumn("rank", F.col("rank").cast("long"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        structured_data_checks, risk_flags, risk_statuses, variant_flags, business_facts, business_findings, drafted_files, robots_reports, robots_findings, access_table, access_findings,
+        structured_data_checks, risk_flags, risk_statuses, business_facts, business_findings, drafted_files, robots_reports, robots_findings, access_table, access_findings,
         server_checks, geo_checks, render_checks, asked_checks, full_scores, full_findings, advice_summaries, fix_texts, address_texts, quoted_turns, listings, score_matrix,
-        site_averages, crawl_issues, map_changes, index_answers, submitted, sitemap_tests, discovered,
+        site_averages, crawl_issues, map_changes, index_answers, submitted,
     )
 }
