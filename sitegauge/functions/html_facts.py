@@ -27,6 +27,8 @@ SCRIPT_TARGET = re.compile(r"(?:window\.|document\.|top\.)?location(?:\.href)?\s
 REFRESH_TARGET = re.compile(r"url\s*=\s*['\"]?([^'\";\s]+)", re.I)
 #: Links that are kept of a concealed element.
 HIDDEN_LINKS = 25
+#: Elements that may stand before the body, which any other one and any text begin where no tag does.
+BEFORE_BODY = {"html", "head", "body", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 DROPPED = {"script", "style", "noscript", "template", "svg"}
 
 
@@ -67,6 +69,10 @@ class PageParser(HTMLParser):
         a = {}
         for k, v in attrs:
             a.setdefault(k, v or "")
+        if tag not in BEFORE_BODY:
+            self.enter_body()
+        elif tag == "body" and "body" in self.stack:
+            return
         if tag in ENDS_P and "p" in self.stack:
             self.close("p")
         if tag in ENDS_SAME and self.stack and self.stack[-1] == tag:
@@ -83,6 +89,12 @@ class PageParser(HTMLParser):
         if tag not in VOID:
             self.stack.append(tag)
 
+    def enter_body(self) -> None:
+        if "body" not in self.stack:
+            if "head" in self.stack:
+                self.close("head")
+            self.stack.append("body")
+
     def redirect(self, where: str, target: str | None) -> None:
         if target and origin(target) and origin(target) != origin(self.base):
             self.redirects.append({"where": where, "target": target})
@@ -192,13 +204,15 @@ class PageParser(HTMLParser):
     def handle_data(self, data):
         for _, _, parts, _ in self.open:
             parts.append(data)
+        if data.strip() and not {"title", *DROPPED}.intersection(self.stack):
+            self.enter_body()
         if "body" in self.stack:
             self.body.append(data)
             if not DROPPED.intersection(self.stack):
                 self.visible.append(data)
 
     def facts(self, html: str) -> dict:
-        self.feed(html)
+        self.feed(re.sub(r"</?[A-Za-z][^>]*\Z", "", html))  # a tag that the page ends in is none
         super().close()
         while self.stack:
             self.close(self.stack[-1])

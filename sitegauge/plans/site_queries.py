@@ -10,6 +10,7 @@ from sitegauge.operators import advice, business, comparisons, crawlers, page_ch
 from sitegauge.operators.extraction import extract_pages, word_count
 from sitegauge.plans import fixtures as fx
 from sitegauge.plans.site_oracles import ORACLES  # noqa: F401
+from sitegauge.sources.staging import staged
 from sitegauge.sources.tables import read_table
 
 
@@ -107,8 +108,8 @@ def server_checks(spark, sf_dir):
     return site_checks.server_checks(fetches(spark, sf_dir)).select("page_id", "check_id", "status", "severity")
 
 
-def geo_rows(spark, sf_dir) -> DataFrame:
-    own = facts(spark, sf_dir).withColumn("site", F.col("page_id").cast("string"))
+def geo_rows(spark, sf_dir, own: DataFrame | None = None) -> DataFrame:
+    own = (facts(spark, sf_dir) if own is None else own).withColumn("site", F.col("page_id").cast("string"))
     access = crawlers.access_table(report(spark, sf_dir)).select("site", "bot", "blocked")
     counts = site_checks.crawler_counts(access)
     files = fx.files(pages(spark, sf_dir), fx.LLMS).select("site", F.struct("status", "content_type", "text").alias("llms"))
@@ -146,12 +147,11 @@ def asked_checks(spark, sf_dir):
     return both.select("page_id", "check_id", "status", "severity", "value")
 
 
-def whole_checks(spark, sf_dir) -> DataFrame:
+def whole_checks(spark, sf_dir, own: DataFrame, rendered: DataFrame) -> DataFrame:
     """Checks of all nine scored modules."""
     names = ("page_id", "module", "check_id", "status", "severity")
     parts = [
-        page_checks.page_checks(facts(spark, sf_dir)), site_checks.server_checks(fetches(spark, sf_dir)), site_checks.geo_checks(geo_rows(spark, sf_dir)),
-        site_checks.render_checks(facts(spark, sf_dir), renders(spark, sf_dir)),
+        page_checks.page_checks(own), site_checks.server_checks(fetches(spark, sf_dir)), site_checks.geo_checks(geo_rows(spark, sf_dir, own)), site_checks.render_checks(own, rendered),
     ]
     out = parts[0].select(*names)
     for more in parts[1:]:
@@ -159,19 +159,12 @@ def whole_checks(spark, sf_dir) -> DataFrame:
     return out
 
 
-def full_scores(spark, sf_dir):
-    """Overall scores of whole audits with their scoring checks."""
-    checks = whole_checks(spark, sf_dir)
-    overall = scoring.overall_scores(scoring.module_scores(checks))
-    told = scoring.scoring_checks(overall, scoring.severity_counts(checks)).groupBy("page_id").pivot("check_id", ["scoring.overall", "scoring.critical_count"]).agg(F.first("severity"))
-    return overall.join(told, "page_id").select("page_id", "overall", "grade", F.col("`scoring.overall`").alias("overall_severity"), F.col("`scoring.critical_count`").alias("critical_severity"))
-
-
 def full_findings(spark, sf_dir):
     """Findings of whole audits: failed checks, robots, business facts, and what a page's inputs tell."""
-    checks, own = whole_checks(spark, sf_dir), facts(spark, sf_dir)
-    words = own.select("page_id", word_count("text").alias("raw_words")).join(renders(spark, sf_dir).select("page_id", word_count("text").alias("rendered_words")), "page_id", "left")
-    inputs = words.join(fetches(spark, sf_dir).select("page_id", "status"), "page_id").join(risk_statuses(spark, sf_dir).withColumnRenamed("status", "risk"), "page_id")
+    own, rendered = staged(facts(spark, sf_dir)), staged(renders(spark, sf_dir))  # every page is parsed once
+    checks = staged(whole_checks(spark, sf_dir, own, rendered))
+    words = own.select("page_id", word_count("text").alias("raw_words")).join(rendered.select("page_id", word_count("text").alias("rendered_words")), "page_id", "left")
+    inputs = words.join(fetches(spark, sf_dir).select("page_id", "status"), "page_id").join(risk.risk_status(own, risk.page_flags(own)).withColumnRenamed("status", "risk"), "page_id")
     inputs = inputs.withColumn("sitemap_ok", F.when(F.col("page_id") % 2 == 0, F.col("page_id") % 4 == 0))
     names = ("page_id", "finding", "impact", "effort", "area")
     robots = crawlers.robots_findings(report(spark, sf_dir)).select(F.col("site").cast("long").alias("page_id"), *names[1:])
@@ -278,7 +271,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         structured_data_checks, risk_flags, risk_statuses, business_facts, business_findings, drafted_files, robots_reports, robots_findings, access_table, access_findings,
-        server_checks, geo_checks, render_checks, asked_checks, full_scores, full_findings, advice_summaries, fix_texts, address_texts, quoted_turns, listings, score_matrix,
+        server_checks, geo_checks, render_checks, asked_checks, full_findings, advice_summaries, fix_texts, address_texts, quoted_turns, listings, score_matrix,
         site_averages, crawl_issues, map_changes, index_answers, submitted,
     )
 }
