@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,23 +108,27 @@ def steers_ai(text: Column) -> Column:
 def top_terms(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key, words, term, times of the most frequent content word of each text; of equals the first to occur.
 
-    A text's words never leave its row: they are sorted within it, and one fold over the sorted words counts
-    them. Texts without content words give no row; rows of one key are texts of their own.
+    A text's words never leave its row: one Arrow map counts them, without a shuffle. Texts without content words give no row;
+    rows of one key are texts of their own.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: (F.char_length(w) >= 4) & ~w.isin(*STOP_WORDS))
-    placed = F.array_sort(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    zero = F.lit(0)
-    start = F.struct(F.lit("").alias("w"), zero.alias("n"), zero.alias("i"), F.lit("").alias("term"), zero.alias("times"), zero.alias("at"))
-
-    def step(state: Column, x: Column) -> Column:
-        same = state["w"] == x["w"]
-        n, first = F.when(same, state["n"] + 1).otherwise(1), F.when(same, state["i"]).otherwise(x["i"])
-        better = (n > state["times"]) | ((n == state["times"]) & (first < state["at"]))
-        pick = lambda new, old: F.when(better, new).otherwise(state[old])
-        return F.struct(x["w"].alias("w"), n.alias("n"), first.alias("i"), pick(x["w"], "term").alias("term"), pick(n, "times").alias("times"), pick(first, "at").alias("at"))
-
-    counted = pages.select(key, words.alias("w")).where("size(w) > 0").select(key, F.size("w").cast("long").alias("words"), F.aggregate(placed, start, step).alias("b"))
-    return counted.select(key, "words", F.col("b.term").alias("term"), F.col("b.times").cast("long").alias("times"))
+    names = pages.select(key).schema.add("words", "long").add("term", "string").add("times", "long")
+    word, stop = re.compile(WORD_BREAK.replace("[^", "[")), frozenset(STOP_WORDS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words, terms, times = [], [], [], []
+            for row, own in enumerate(batch.column(1).to_pylist()):
+                counts = Counter(w for w in word.findall((own or "").lower()) if len(w) >= 4 and w not in stop)  # in order of first occurrence
+                if counts:
+                    term = max(counts, key=counts.__getitem__)
+                    rows.append(row)
+                    words.append(counts.total())
+                    terms.append(term)
+                    times.append(counts[term])
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.int64()), pa.array(terms, pa.string()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names.names)
+
+    return pages.select(key, text).mapInArrow(count, names)
 
 
 def keyword_stuffing(terms: DataFrame) -> DataFrame:
