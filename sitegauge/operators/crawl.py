@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,7 +67,7 @@ def crawl_sites(starts: DataFrame, site_files: DataFrame, sitemap_files: DataFra
     found = discovery.capped(every, most)
     asked = staged(found.join(pages, "url", "left"))
     facts = staged(extract_pages(asked.where("page_id is not null")))
-    checks = audited(asked, facts, site_files, files)
+    checks = audited(asked, facts, files)
     own = page_rows(asked, facts, checks, variants)
     listed = locs.select("site", resolved(F.col("loc"), fragment=False).alias("loc"))
     counts = own.groupBy("site").agg(F.count("*").alias("crawled"), scoring.half_up(F.avg(F.when((F.col("status") > 0) & (F.col("status") < 400), F.col("score")))).alias("average"))
@@ -74,22 +75,26 @@ def crawl_sites(starts: DataFrame, site_files: DataFrame, sitemap_files: DataFra
     return Crawl(found, own, issues(own, listed), sites.withColumns({"crawled": F.coalesce("crawled", F.lit(0)), "average": F.coalesce("average", F.lit(0))}))
 
 
-def audited(asked: DataFrame, facts: DataFrame, site_files: DataFrame, files) -> DataFrame:
-    """page_id, module, check_id, status, severity of the pages' nine modules."""
-    names = ("page_id", "module", "check_id", "status", "severity")
+def geo_rows(asked: DataFrame, facts: DataFrame, files: Callable[[str], DataFrame]) -> DataFrame:
+    """Pages with their sites' files as ``site_checks.geo_checks`` reads them, enabled for the first page of a site."""
     ranks = asked.select("page_id", "site", "rank", "headers")
     report = crawlers.robots_report(files("robots"))
     counts = site_checks.crawler_counts(crawlers.access_table(report).select("site", "bot", "blocked"))
     sites = report.select("site", F.col("valid").alias("robots_ok"), F.size("groups").alias("robots_groups"), F.size("sitemaps").alias("sitemaps")).join(counts, "site")
     as_struct = lambda kind: files(kind).groupBy("site").agg(F.first(F.struct(F.col("status").cast("int").alias("status"), "content_type", "text")).alias(kind))
     rows = facts.join(ranks, "page_id").join(sites, "site", "left").join(as_struct("llms"), "site", "left").join(as_struct("llms_full"), "site", "left")
-    rows = rows.withColumns({
+    return rows.withColumns({
         "robots_ok": F.coalesce("robots_ok", F.lit(False)), "robots_groups": F.coalesce("robots_groups", F.lit(0)), "sitemaps": F.coalesce("sitemaps", F.lit(0)),
         "blocked_search": F.coalesce("blocked_search", F.lit(0)), "blocked_training": F.coalesce("blocked_training", F.lit(0)), "probe_status": F.lit(None).cast("int"), "geo_enabled": F.col("rank") == 1,
     })
+
+
+def audited(asked: DataFrame, facts: DataFrame, files: Callable[[str], DataFrame]) -> DataFrame:
+    """page_id, module, check_id, status, severity of the pages' nine modules."""
+    names = ("page_id", "module", "check_id", "status", "severity")
     unrendered = facts.limit(0).withColumns({"console_errors": F.array().cast("array<string>"), "redirects": F.array().cast("array<string>")})
     parts = [
-        page_checks.page_checks(facts), site_checks.geo_checks(rows), site_checks.render_checks(facts, unrendered),
+        page_checks.page_checks(facts), site_checks.geo_checks(geo_rows(asked, facts, files)), site_checks.render_checks(facts, unrendered),
         site_checks.server_checks(asked.where("page_id is not null").select("page_id", "status", "ttfb_ms", "headers", "redirect_hops")),
     ]
     out = parts[0].select(*names)

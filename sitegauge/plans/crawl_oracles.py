@@ -40,6 +40,8 @@ v AS (SELECT page_id, unnest([
 alike AS (SELECT page_id, x.l AS label, x.s AS status, x.away AS away, trim(title) AS title, trim(x.title) AS other,
     list_transform([{WORD_SET.format("x.t")}], lambda w: CASE WHEN len(w) + len(own) = 0 THEN 1 ELSE len(list_intersect(w, own)) / len(list_distinct(list_concat(w, own))) END)[1] AS sim FROM v),
 variant_rows AS (SELECT *, CASE WHEN status = 403 THEN 'warning' WHEN away OR sim < 0.3 THEN 'critical' WHEN sim < 0.6 THEN 'warning' END AS severity FROM alike)"""
+OUTCOME = "CASE WHEN r.o IN ('critical', 'warning', 'notice') THEN 'fail' ELSE r.o END AS status, CASE WHEN r.o IN ('critical', 'warning', 'notice') THEN r.o ELSE 'info' END AS severity"
+SIXTY = r"list_transform([trim(regexp_replace(title, '\s+', ' ', 'g'))], lambda x: CASE WHEN length(x) > 60 THEN x[1:59] || '…' ELSE x END)[1]"
 SHORT = "(CASE WHEN length({0}) > 120 THEN {0}[1:119] || '…' ELSE {0} END)"
 #: Scores of the two modules that depend on more than the HTML, of the fetched pages.
 SCORES = f"""
@@ -113,6 +115,44 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT page_id, 'risk.sneaky_redirect', 'warning', 5, 1, 'meta refresh', 'https://else.example/' || page_id FROM f WHERE page_id % 7 = 0
         UNION ALL SELECT page_id, 'risk.title_stuffing', 'notice', 6, least(n, 5), 'title', w FROM stuffed)
       SELECT page_id, flag, severity, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS rank, pieces, "where", text FROM found""",
+    "robots_reports": f"""WITH {SITES} SELECT site, kind IN (0, 2) AS valid, kind = 1 AS missing, FALSE AS blocks_all, '' AS blocked_search, CASE kind WHEN 2 THEN 'GPTBot' ELSE '' END AS blocked_training,
+      CASE WHEN kind IN (0, 2) THEN folder || ',/*?' ELSE '' END AS star_disallows, '' AS gaps, CASE WHEN kind IN (0, 2) THEN origin || '/map.xml' ELSE '' END AS sitemaps FROM sites""",
+    "robots_findings": f"""WITH {SITES} SELECT site, CASE kind WHEN 1 THEN 'robots.missing' ELSE 'robots.blocks_ai_training' END AS finding, 'low' AS impact, 'small' AS effort, 'access' AS area FROM sites WHERE kind IN (1, 2)""",
+    "access_table": f"""WITH {SITES}, bots(bot, operator, purpose) AS (VALUES ('OAI-SearchBot', 'OpenAI', 'search'), ('ChatGPT-User', 'OpenAI', 'search'), ('Claude-SearchBot', 'Anthropic', 'search'),
+      ('Claude-User', 'Anthropic', 'search'), ('PerplexityBot', 'Perplexity', 'search'), ('Bingbot', 'Microsoft (Bing, Copilot)', 'search'), ('Googlebot', 'Google', 'search'), ('GPTBot', 'OpenAI', 'training'),
+      ('ClaudeBot', 'Anthropic', 'training'), ('Google-Extended', 'Google (Gemini)', 'training'), ('Applebot-Extended', 'Apple', 'training'), ('CCBot', 'Common Crawl', 'training'))
+      SELECT site, bot, operator, purpose, kind = 2 AND bot = 'GPTBot' AS blocked FROM sites, bots""",
+    "server_checks": f"""WITH {SITES}, s AS (SELECT page_id, unnest([
+        {{'k': 'status', 'o': CASE WHEN page_id % 13 = 0 OR page_id % 17 = 0 THEN 'critical' ELSE 'pass' END}}, {{'k': 'ttfb', 'o': CASE WHEN page_id * 37 % 2500 < 800 THEN 'pass' WHEN page_id * 37 % 2500 < 1800 THEN 'warning' ELSE 'critical' END}},
+        {{'k': 'x_robots_tag', 'o': 'pass'}}, {{'k': 'link_canonical', 'o': 'skip'}}, {{'k': 'protocol', 'o': 'skip'}}, {{'k': 'compression', 'o': CASE page_id % 2 WHEN 0 THEN 'pass' ELSE 'notice' END}}, {{'k': 'csp', 'o': 'notice'}},
+        {{'k': 'hsts', 'o': CASE WHEN NOT starts_with(url, 'https:') THEN 'warning' WHEN page_id % 2 = 0 THEN 'notice' ELSE 'pass' END}}, {{'k': 'xcto', 'o': CASE page_id % 3 WHEN 0 THEN 'pass' ELSE 'notice' END}},
+        {{'k': 'referrer_policy', 'o': 'notice'}}, {{'k': 'permissions_policy', 'o': 'notice'}}, {{'k': 'redirect_hops', 'o': CASE WHEN page_id % 4 >= 2 THEN 'notice' ELSE 'pass' END}}]) AS r FROM p)
+      SELECT page_id, 'server.' || r.k AS check_id, {OUTCOME} FROM s""",
+    "geo_checks": f"""WITH {FACTS}, {SITES}, g AS (SELECT page_id, unnest([
+        {{'k': 'llms_txt.present', 'o': CASE kind WHEN 0 THEN 'pass' ELSE 'warning' END}}, {{'k': 'llms_txt.h1', 'o': CASE kind WHEN 0 THEN 'pass' ELSE 'skip' END}}, {{'k': 'llms_txt.summary', 'o': CASE kind WHEN 0 THEN 'pass' ELSE 'skip' END}},
+        {{'k': 'llms_txt.links', 'o': CASE kind WHEN 0 THEN 'pass' ELSE 'skip' END}}, {{'k': 'llms_txt.markdown', 'o': CASE kind WHEN 0 THEN 'pass' ELSE 'skip' END}}, {{'k': 'llms_full.present', 'o': 'notice'}},
+        {{'k': 'robots.ai_search_bots', 'o': CASE WHEN kind IN (1, 3) THEN 'critical' ELSE 'pass' END}}, {{'k': 'robots.ai_training_bots', 'o': CASE WHEN kind IN (1, 3) THEN 'skip' ELSE 'pass' END}},
+        {{'k': 'robots.sitemap', 'o': CASE WHEN kind IN (1, 3) THEN 'skip' ELSE 'pass' END}}, {{'k': 'geo.bot_wall', 'o': 'pass'}}, {{'k': 'geo.noai', 'o': 'pass'}}, {{'k': 'geo.x_robots_tag_ai', 'o': 'pass'}},
+        {{'k': 'geo.ai_probe', 'o': CASE WHEN page_id % 2 = 1 THEN 'skip' WHEN page_id % 7 = 2 THEN 'pass' WHEN page_id % 7 = 0 THEN 'critical' ELSE 'warning' END}},
+        {{'k': 'geo.chunkability', 'o': CASE WHEN regexp_matches(text, '(?i)\\b(faq|frequently asked questions|q&a)\\b') THEN 'pass' ELSE 'notice' END}}]) AS r FROM f JOIN (SELECT page_id, kind FROM p) USING (page_id) WHERE page_id % 5 <> 4)
+      SELECT page_id, r.k AS check_id, {OUTCOME} FROM g UNION ALL SELECT page_id, 'geo.enabled', 'skip', 'info' FROM p WHERE page_id % 5 = 4""",
+    "fix_texts": f"""WITH {FACTS}, t AS (SELECT page_id, url, regexp_replace(url, '/$', '') AS base, title, CASE WHEN title = '' THEN 'Page Title' ELSE {SIXTY} END AS named, CASE WHEN title = '' THEN 'Your Site Name' ELSE {SIXTY} END AS site_name, chr(10) AS nl FROM f),
+      x AS (SELECT page_id, unnest([
+        {{'s': 'title', 'w': '<head>', 't': '<title>Primary Keyword — Brand Name</title>'}},
+        {{'s': 'description', 'w': '<head>', 't': '<meta name="description" content="A summary of the page in 140 to 160 characters that says what it offers.">'}},
+        {{'s': 'canonical', 'w': '<head>', 't': '<link rel="canonical" href="' || url || '">'}},
+        {{'s': 'open_graph', 'w': '<head>', 't': '<meta property="og:title" content="' || named || '">' || nl || '<meta property="og:description" content="Description">' || nl || '<meta property="og:image" content="' || base || '/og-image-1200x630.jpg">' || nl
+          || '<meta property="og:image:width" content="1200">' || nl || '<meta property="og:image:height" content="630">' || nl || '<meta property="og:url" content="' || url || '">' || nl || '<meta property="og:type" content="website">'}},
+        {{'s': 'twitter', 'w': '<head>', 't': '<meta name="twitter:card" content="summary_large_image">' || nl || '<meta name="twitter:title" content="' || named || '">' || nl || '<meta name="twitter:description" content="Description">'}},
+        {{'s': 'llms', 'w': '/llms.txt', 't': '# ' || site_name || nl || nl || '> What the site offers, in one or two sentences.' || nl || nl || '## Key Pages' || nl || '- [Home](' || url || '): Landing page' || nl || '- [About](/about): About the organisation'}},
+        {{'s': 'favicon', 'w': '<head>', 't': '<link rel="icon" href="/favicon.ico" sizes="any">' || nl || '<link rel="apple-touch-icon" href="/apple-touch-icon.png">'}},
+        {{'s': 'schema', 'w': '<head> or <body>', 't': '<script type="application/ld+json">' || nl || '{{"@context":"https://schema.org","@type":"WebPage","name":' || to_json(CASE WHEN title = '' THEN 'Page Title' ELSE title END) || ',"url":' || to_json(url) || ',"description":"Page description."}}' || nl || '</script>'}},
+        {{'s': 'lcp', 'w': '<head> and hero <img>', 't': '<link rel="preload" as="image" href="/hero.webp" fetchpriority="high">' || nl || '<img src="/hero.webp" width="1200" height="630" alt="Hero" fetchpriority="high" decoding="async">'}},
+        {{'s': 'scripts', 'w': '<head>', 't': '<script src="/app.js" defer></script>'}},
+        {{'s': 'iframes', 'w': '<iframe>', 't': '<iframe src="/embed" width="560" height="315" loading="lazy" title="Embedded content"></iframe>'}},
+        {{'s': 'trust', 'w': 'footer', 't': '<footer>' || nl || '  <nav aria-label="Legal">' || nl || '    <a href="/about">About</a>' || nl || '    <a href="/contact">Contact</a>' || nl || '    <a href="/privacy-policy">Privacy Policy</a>' || nl
+          || '    <a href="/terms">Terms</a>' || nl || '  </nav>' || nl || '</footer>'}}]) AS x FROM t)
+      SELECT page_id, x.s AS snippet, x.w AS target, x.t AS text FROM x""",
     "site_rules": rf"""WITH {SITES}, u AS (SELECT DISTINCT site, p.url, kind, folder, regexp_extract(p.url, '://[^/?#]*([^#]*)', 1) AS path FROM p JOIN sites USING (site, kind)),
       j AS (SELECT *, kind NOT IN (0, 2) OR starts_with(path, folder || '/5') OR NOT (starts_with(path, folder) OR contains(path, '?')) AS allowed FROM u)
       SELECT site, url, allowed, CASE kind WHEN 2 THEN FALSE ELSE allowed END AS gptbot FROM j""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.operators import crawl, discovery, risk, robots, scoring
+from sitegauge.operators import advice, crawl, crawlers, discovery, risk, robots, scoring, site_checks
 from sitegauge.operators.extraction import extract_pages
 from sitegauge.plans.crawl_oracles import ORACLES  # noqa: F401
 from sitegauge.sources.staging import staged
@@ -146,14 +146,48 @@ def site_rules(spark, sf_dir):
 def full_scores(spark, sf_dir):
     """Whole audits of all pages, each with the checks of its site: overall scores with their scoring checks."""
     asked = rows(spark, sf_dir).select("page_id", "site").join(fetched(spark, sf_dir), "page_id").withColumn("rank", F.lit(1))
-    files = site_files(spark, sf_dir)
-    of_kind = lambda kind: files.where(F.col("kind") == kind).select("site", "status", "content_type", "text")
-    checks = staged(crawl.audited(asked, staged(extract_pages(asked)), files, of_kind))
+    checks = staged(crawl.audited(asked, staged(extract_pages(asked)), lambda kind: of_kind(spark, sf_dir, kind)))
     overall = scoring.overall_scores(scoring.module_scores(checks))
     told = scoring.scoring_checks(overall, scoring.severity_counts(checks)).groupBy("page_id").pivot("check_id", ["scoring.overall", "scoring.critical_count"]).agg(F.first("severity"))
     return overall.join(told, "page_id").select("page_id", "overall", "grade", F.col("`scoring.overall`").alias("overall_severity"), F.col("`scoring.critical_count`").alias("critical_severity"))
 
 
+def of_kind(spark, sf_dir, kind: str) -> DataFrame:
+    return site_files(spark, sf_dir).where(F.col("kind") == kind).select("site", "status", "content_type", "text")
+
+
+def robots_reports(spark, sf_dir):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    gaps = F.array_join(F.transform("gaps", lambda g: F.concat(F.array_join(g["agents"], "+"), F.lit(":"), F.array_join(g["missing"], "+"))), ",").alias("gaps")
+    report = crawlers.robots_report(of_kind(spark, sf_dir, "robots"))
+    return report.select("site", "valid", "missing", "blocks_all", joined("blocked_search"), joined("blocked_training"), joined("star_disallows"), gaps, joined("sitemaps"))
+
+
+def robots_findings(spark, sf_dir):
+    return crawlers.robots_findings(crawlers.robots_report(of_kind(spark, sf_dir, "robots"))).select("site", "finding", "impact", "effort", "area")
+
+
+def access_table(spark, sf_dir):
+    return crawlers.access_table(crawlers.robots_report(of_kind(spark, sf_dir, "robots")))
+
+
+def server_checks(spark, sf_dir):
+    return site_checks.server_checks(fetched(spark, sf_dir)).select("page_id", "check_id", "status", "severity")
+
+
+def geo_checks(spark, sf_dir):
+    """What AI crawlers find on every page, where its site's files are what they are."""
+    asked = rows(spark, sf_dir).select("page_id", "site").join(fetched(spark, sf_dir), "page_id").withColumn("rank", F.col("page_id") % 5 + 1)
+    seen = crawl.geo_rows(asked, extract_pages(asked), lambda kind: of_kind(spark, sf_dir, kind)).withColumns({"probe_status": F.when(F.col("page_id") % 2 == 0, F.col("page_id") % 7 * 100).cast("int"), "geo_enabled": F.col("rank") < 5})
+    return site_checks.geo_checks(seen).select("page_id", "check_id", "status", "severity")
+
+
+def fix_texts(spark, sf_dir):
+    """All snippets of all pages, with the pages' own addresses and titles."""
+    own = staged(extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "title", F.element_at("metas", "description").alias("description")))
+    return advice.fix_texts(own.select("page_id", F.explode(F.array(*map(F.lit, advice.SNIPPETS))).alias("snippet")), own)
+
+
 def with_tricks(spark, sf_dir) -> DataFrame:
     """The pages with hidden text, links, comments and redirects behind them, made of their own hosts and ids."""
     k, site = F.col("page_id") % 5, F.col("site")
@@ -173,4 +207,4 @@ def page_risks(spark, sf_dir):
     return found.select("page_id", "flag", "severity", F.col("rank").cast("long").alias("rank"), F.size("evidence").cast("long").alias("pieces"), first["where"].alias("where"), first["text"].alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (variant_flags, crawled_pages, crawl_issue_lists, crawl_summaries, opened_sitemaps, sitemap_tests, discovered, site_rules, full_scores, page_risks)}
+QUERIES = {f.__name__: f for f in (variant_flags, crawled_pages, crawl_issue_lists, crawl_summaries, opened_sitemaps, sitemap_tests, discovered, site_rules, full_scores, page_risks, robots_reports, robots_findings, access_table, server_checks, geo_checks, fix_texts)}

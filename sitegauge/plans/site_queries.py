@@ -73,20 +73,6 @@ def drafted_files(spark, sf_dir):
     )
 
 
-def robots_reports(spark, sf_dir):
-    joined = lambda c: F.array_join(c, ",").alias(c)
-    gaps = F.array_join(F.transform("gaps", lambda g: F.concat(F.array_join(g["agents"], "+"), F.lit(":"), F.array_join(g["missing"], "+"))), ",").alias("gaps")
-    return report(spark, sf_dir).select("site", "valid", "missing", "blocks_all", joined("blocked_search"), joined("blocked_training"), joined("star_disallows"), gaps, joined("sitemaps"))
-
-
-def robots_findings(spark, sf_dir):
-    return crawlers.robots_findings(report(spark, sf_dir)).select("site", "finding", "impact", "effort", "area")
-
-
-def access_table(spark, sf_dir):
-    return crawlers.access_table(report(spark, sf_dir))
-
-
 def access_findings(spark, sf_dir):
     own = facts(spark, sf_dir).withColumns({"site": F.col("page_id").cast("string"), "status": F.when(F.col("page_id") % 7 == 0, 503).otherwise(200)})
     return crawlers.access_findings(own, report(spark, sf_dir), fx.files(pages(spark, sf_dir), fx.LLMS)).withColumn("rank", F.col("rank").cast("long"))
@@ -104,10 +90,6 @@ def fetches(spark, sf_dir) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", at(200, 301, 500).alias("status"), at(120, 1000, 2500).alias("ttfb_ms"), headers.alias("headers"), at(0, 2, 0).alias("redirect_hops"))
 
 
-def server_checks(spark, sf_dir):
-    return site_checks.server_checks(fetches(spark, sf_dir)).select("page_id", "check_id", "status", "severity")
-
-
 def geo_rows(spark, sf_dir, own: DataFrame | None = None) -> DataFrame:
     own = (facts(spark, sf_dir) if own is None else own).withColumn("site", F.col("page_id").cast("string"))
     access = crawlers.access_table(report(spark, sf_dir)).select("site", "bot", "blocked")
@@ -119,10 +101,6 @@ def geo_rows(spark, sf_dir, own: DataFrame | None = None) -> DataFrame:
     return rows.withColumns({"llms_full": F.col("llms"), "probe_status": probe, "geo_enabled": F.pmod("page_id", F.lit(5)) != 4})
 
 
-def geo_checks(spark, sf_dir):
-    return site_checks.geo_checks(geo_rows(spark, sf_dir)).select("page_id", "check_id", "status", "severity")
-
-
 def renders(spark, sf_dir) -> DataFrame:
     """Renders of every page but those of variant 2: the shell gets a text, the others stay as they are."""
     html = F.when(F.col("variant") == 4, F.lit(fx.page("<title>App</title>", f"<h1>App</h1><p>{fx.WORDS} {fx.WORDS} {fx.WORDS}</p>"))).otherwise(F.col("html"))
@@ -181,12 +159,6 @@ def advice_summaries(spark, sf_dir):
     return advice.summaries(pages(spark, sf_dir), found, strong)
 
 
-def fix_texts(spark, sf_dir):
-    own = facts(spark, sf_dir)
-    snippets = advice.fix_snippets(page_checks.page_checks(own).where("check_id in ('canonical.present', 'twitter.card', 'schema.present')"))
-    return advice.fix_texts(snippets, own.select("page_id", "url", "title", F.element_at("metas", "description").alias("description")))
-
-
 def address_texts(spark, sf_dir):
     """Text functions on the urls of pages."""
     url = F.col("url")
@@ -270,8 +242,8 @@ def submitted(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        structured_data_checks, risk_flags, risk_statuses, business_facts, business_findings, drafted_files, robots_reports, robots_findings, access_table, access_findings,
-        server_checks, geo_checks, render_checks, asked_checks, full_findings, advice_summaries, fix_texts, address_texts, quoted_turns, listings, score_matrix,
+        structured_data_checks, risk_flags, risk_statuses, business_facts, business_findings, drafted_files, access_findings,
+        render_checks, asked_checks, full_findings, advice_summaries, address_texts, quoted_turns, listings, score_matrix,
         site_averages, crawl_issues, map_changes, index_answers, submitted,
     )
 }
