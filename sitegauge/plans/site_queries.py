@@ -31,11 +31,6 @@ def report(spark, sf_dir) -> DataFrame:
     return crawlers.robots_report(fx.files(pages(spark, sf_dir), fx.ROBOTS))
 
 
-def structured_data_checks(spark, sf_dir):
-    rows = page_checks.page_checks(facts(spark, sf_dir)).where("module = 'schema_rich'")
-    return rows.select("page_id", "check_id", "status", "severity", F.coalesce("value", F.lit("")).alias("value"))
-
-
 def risk_flags(spark, sf_dir):
     found = risk.page_flags(facts(spark, sf_dir))
     return found.select("page_id", "flag", "severity", F.col("rank").cast("long").alias("rank"), F.size("evidence").cast("long").alias("pieces"), F.element_at("evidence", 1)["text"].alias("first"))
@@ -46,13 +41,6 @@ def risk_statuses(spark, sf_dir):
     return risk.risk_status(own, risk.page_flags(own))
 
 
-def business_facts(spark, sf_dir):
-    joined = lambda c: F.array_join(c, "|").alias(c)
-    rows = business.page_business(facts(spark, sf_dir))
-    labels = F.array_join(F.transform("pages", lambda p: F.concat(p["label"], F.lit("="), p["url"])), "|").alias("pages")
-    return rows.select("page_id", "name", "description", joined("phones"), joined("emails"), "address", joined("hours"), joined("same_as"), joined("areas"), F.col("organisations").cast("long").alias("organisations"), labels)
-
-
 def business_findings(spark, sf_dir):
     return business.business_findings(facts(spark, sf_dir), llms_texts(spark, sf_dir)).select("page_id", "finding", "impact", "area", "detail")
 
@@ -242,7 +230,7 @@ def submitted(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        structured_data_checks, risk_flags, risk_statuses, business_facts, business_findings, drafted_files, access_findings,
+        risk_flags, risk_statuses, business_findings, drafted_files, access_findings,
         render_checks, asked_checks, full_findings, advice_summaries, address_texts, quoted_turns, listings, score_matrix,
         site_averages, crawl_issues, map_changes, index_answers, submitted,
     )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.operators import structured
+from sitegauge.operators import business, page_checks, structured
+from sitegauge.operators.extraction import extract_pages
+from sitegauge.plans.audit_oracles import FACTS
 from sitegauge.sources.tables import read_table
 
 
@@ -43,7 +45,38 @@ def block_strings(spark, sf_dir):
     return found.unionByName(walked.broken.select("block", zero.alias("strings"), zero.alias("chars"), F.lit(True).alias("broken"))).withColumnRenamed("block", "c_custkey")
 
 
-QUERIES = {f.__name__: f for f in (typed_nodes, lacking_fields, block_strings)}
+def marked_up(spark, sf_dir) -> DataFrame:
+    """The pages with blocks in their heads, made of their own hosts, addresses and titles: none, an organisation with a question, a product with a trail, and a broken one."""
+    pages, i = read_table(spark, sf_dir, "pages"), F.col("page_id")
+    site, title = F.regexp_extract("url", "://([^/?#]*)", 1), F.trim(F.replace(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit("&amp;"), F.lit("&")))
+    kind = lambda t: F.lit(t).alias("@type")
+    question = F.struct(kind("FAQPage"), F.array(F.struct(kind("Question"), title.alias("name"))).alias("mainEntity"))
+    address = F.struct(F.concat(i.cast("string"), F.lit(" Main St")).alias("streetAddress"), F.lit("Berlin").alias("addressLocality"))
+    organisation = F.struct(
+        kind("Organization"), site.alias("name"), F.col("url"), F.concat(F.lit("+49 30 "), (i + 1_000_000).cast("string")).alias("telephone"), F.concat(F.lit("mailto:Info@"), site).alias("email"), address.alias("address"),
+        F.array(F.concat(F.lit("https://social.example/"), site)).alias("sameAs"), F.array(F.lit("DE"), F.lit("France")).alias("areaServed"), F.array(question).alias("department"),
+    )
+    product = F.struct(kind("Product"), F.when(i % 3 == 0, "Nowhere to be seen").otherwise(title).alias("name"))
+    trail = F.concat(F.lit("["), F.to_json(product), F.lit(', {"@type": "BreadcrumbList"}]'))
+    block = lambda text: F.concat(F.lit('<script type="application/ld+json">'), text, F.lit("</script>"))
+    more = F.when(i % 8 == 3, block(F.lit('{"@type": "Person", "name": ""}'))).otherwise("")
+    blocks = F.when(i % 4 == 1, block(F.to_json(organisation))).when(i % 4 == 2, block(trail)).when(i % 4 == 3, F.concat(block(F.lit('{"@type": "Product"')), more)).otherwise("")
+    return extract_pages(pages.select("page_id", "url", F.replace("html", F.lit("</head>"), F.concat(blocks, F.lit("</head>"))).alias("html")))
+
+
+def structured_data_checks(spark, sf_dir):
+    found = page_checks.page_checks(marked_up(spark, sf_dir)).where("module = 'schema_rich'")
+    return found.select("page_id", "check_id", "status", "severity", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def business_facts(spark, sf_dir):
+    """What the pages' blocks say of the businesses behind them."""
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    known = business.page_business(marked_up(spark, sf_dir))
+    return known.select("page_id", "name", joined("phones"), joined("emails"), "address", joined("same_as"), joined("areas"), F.col("organisations").cast("long").alias("organisations"))
+
+
+QUERIES = {f.__name__: f for f in (typed_nodes, lacking_fields, block_strings, structured_data_checks, business_facts)}
 
 WHOLE = """c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE '' END AS name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 3),
 o AS (SELECT o_custkey AS c_custkey, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS undated, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + length(o_orderpriority)) AS BIGINT) AS chars FROM orders GROUP BY 1)"""
@@ -52,6 +85,23 @@ ORACLES = {
       UNION ALL SELECT c_custkey, 2, 'Order,Event', n FROM c JOIN o USING (c_custkey) UNION ALL SELECT c_custkey, 3, 'Organization', n FROM c JOIN o USING (c_custkey)""",
     "lacking_fields": f"""WITH {WHOLE} SELECT c_custkey, 'Person' AS type, 'name' AS field, 1::BIGINT AS nodes FROM c WHERE name = '' UNION ALL SELECT c_custkey, 'Event', 'location', n FROM c JOIN o USING (c_custkey)
       UNION ALL SELECT c_custkey, 'Event', 'startDate', undated FROM c JOIN o USING (c_custkey) WHERE undated > 0 UNION ALL SELECT c_custkey, 'Organization', 'url', n FROM c JOIN o USING (c_custkey)""",
+    "structured_data_checks": f"""WITH {FACTS},
+      own AS (SELECT page_id, page_id % 4 AS k, page_id % 4 = 1 OR page_id % 4 = 2 OR page_id % 8 = 3 AS there, regexp_matches(text, '(?i)\\b(faq|frequently asked questions|q&a)\\b') AS asks,
+        title <> '' AND NOT contains(lower(text), lower(title)[1:20]) AS untold, page_id % 3 = 0 AND NOT contains(lower(text), 'nowhere to be seen') AS unseen FROM f),
+      s AS (SELECT page_id, unnest([
+        {{'k': 'syntax', 'o': CASE k WHEN 0 THEN 'skip' WHEN 3 THEN 'critical' ELSE 'pass' END, 'v': CASE k WHEN 3 THEN '1' ELSE '0' END}}, {{'k': 'present', 'o': CASE WHEN there THEN 'pass' ELSE 'warning' END, 'v': ''}},
+        {{'k': 'types', 'o': CASE WHEN there THEN 'pass' END, 'v': CASE k WHEN 1 THEN 'FAQPage,Organization,Question' WHEN 2 THEN 'BreadcrumbList,Product' ELSE 'Person' END}},
+        {{'k': 'primary_entity', 'o': CASE WHEN NOT there THEN NULL WHEN k = 3 THEN 'warning' ELSE 'pass' END, 'v': ''}},
+        {{'k': 'required_fields', 'o': CASE WHEN NOT there THEN NULL WHEN k = 1 THEN 'pass' ELSE 'warning' END, 'v': CASE k WHEN 1 THEN '' WHEN 2 THEN CASE WHEN nameless THEN 'Product.name,' ELSE '' END || 'Product.offers,BreadcrumbList.itemListElement' ELSE 'Person.name' END}},
+        {{'k': 'entity_match', 'o': CASE WHEN NOT there THEN NULL WHEN k = 1 AND untold OR k = 2 AND (unseen OR page_id % 3 > 0 AND untold) THEN 'warning' ELSE 'pass' END,
+          'v': CASE WHEN k = 1 AND untold THEN 'questions' WHEN k = 2 AND (unseen OR page_id % 3 > 0 AND untold) THEN 'name' ELSE '' END}},
+        {{'k': 'breadcrumb', 'o': CASE WHEN NOT there THEN NULL WHEN k = 2 THEN 'pass' ELSE 'notice' END, 'v': ''}}, {{'k': 'faq', 'o': CASE WHEN NOT there THEN NULL WHEN k = 1 THEN 'pass' WHEN asks THEN 'notice' ELSE 'skip' END, 'v': ''}}]) AS r
+        FROM own JOIN (SELECT page_id, page_id % 3 > 0 AND title = '' AS nameless FROM f) USING (page_id))
+      SELECT page_id, 'schema.' || r.k AS check_id, CASE WHEN r.o IN ('critical', 'warning', 'notice') THEN 'fail' ELSE r.o END AS status, CASE WHEN r.o IN ('critical', 'warning', 'notice') THEN r.o ELSE 'info' END AS severity, r.v AS value FROM s WHERE r.o IS NOT NULL""",
+    "business_facts": f"""WITH {FACTS}, n AS (SELECT page_id, site, page_id % 4 = 1 AS own, list_filter(list_transform(string_split_regex(title, '\\s[|–—-]\\s|\\s·\\s'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM f)
+      SELECT page_id, CASE WHEN own THEN site WHEN len(parts) > 1 THEN parts[-1] ELSE regexp_replace(site, '^www\\.', '') END AS name, CASE WHEN own THEN '+49 30 ' || (page_id + 1000000) ELSE '' END AS phones,
+        CASE WHEN own THEN 'info@' || site ELSE '' END AS emails, CASE WHEN own THEN page_id || ' Main St, Berlin' END AS address, CASE WHEN own THEN 'https://social.example/' || site ELSE '' END AS same_as,
+        CASE WHEN own THEN 'DE|France' ELSE '' END AS areas, CAST(own AS BIGINT) AS organisations FROM n""",
     "block_strings": f"""WITH {WHOLE} SELECT c_custkey, 5 + coalesce(7 * n - undated, 0) AS strings,
         length('https://schema.org') + length('Person') + length(name) + length('https://schema.org/Country') + length(n_name)
           + coalesce(n * (length('Order') + length('http://schema.org/Event') + length('Organization')) + chars + 10 * (n - undated), 0) AS chars, FALSE AS broken

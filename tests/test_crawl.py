@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.json_ld import json_ld_facts
 from sitegauge.functions.text import REDACTED
-from sitegauge.operators import crawl, discovery, redaction, risk, robots, structured
+from sitegauge.operators import business, crawl, crawlers, discovery, redaction, risk, robots, structured
 from sitegauge.operators.extraction import extract_pages
 from sitegauge.operators.page_checks import SCHEMA_REQUIRED
+from sitegauge.plans import fixtures
 
 FILES = "site string, kind string, status int, content_type string, text string"
 
@@ -239,3 +240,31 @@ def test_structured_data_by_levels(spark):
         assert sorted(told.get(i, [])) == sorted(facts["json_strings"]) and (i in broken) == bool(facts["json_ld_broken"]), t
         want = [(x, f) for n in facts["nodes"] for x in n["types"] for f in SCHEMA_REQUIRED.get(x, ()) if f not in n["filled"]]
         assert sorted(lacking.get(i, [])) == sorted(want)
+
+
+def test_what_robots_files_do(spark):
+    """A gap, a closed site, no file, a page in disguise, closed search crawlers, and a closed training crawler."""
+    files = spark.createDataFrame([(str(i), *r) for i, r in enumerate(fixtures.ROBOTS)], "site string, status int, content_type string, text string")
+    report = crawlers.robots_report(files)
+    got = {r.site: r for r in report.collect()}
+    assert [got[str(i)].valid for i in range(6)] == [True, True, False, False, True, True] and got["2"].missing and not got["3"].missing
+    assert got["1"].blocks_all and len(got["1"].blocked_search) == 6 and len(got["1"].blocked_training) == 8
+    assert got["4"].blocked_search == ["OAI-SearchBot"] and got["4"].blocked_training == ["GPTBot", "CCBot", "Bytespider"] and got["5"].blocked_training == ["CCBot"]
+    assert got["0"].star_disallows == ["/private", "/tmp"] and [(g.agents, g.missing) for g in got["0"].gaps] == [(["gptbot"], ["/tmp"]), (["googlebot"], ["/private", "/tmp"])]
+    found = {(r.site, r.finding, r.impact) for r in crawlers.robots_findings(report).collect()}
+    assert found == {
+        ("0", "robots.named_group_gap", "medium"), ("1", "robots.blocks_all", "high"), ("2", "robots.missing", "low"), ("4", "robots.blocks_ai_search", "high"), ("5", "robots.blocks_ai_training", "low"),
+    }
+    table = {(r.site, r.bot) for r in crawlers.access_table(report).where("blocked").collect()}
+    assert {b for s, b in table if s == "4"} == {"OAI-SearchBot", "GPTBot", "CCBot"} and len([s for s, _ in table if s == "1"]) == 12 and {b for s, b in table if s == "5"} == {"CCBot"}
+
+
+def test_businesses_of_odd_blocks(spark):
+    """Facts of an organisation with hours and areas of several forms, and of pages without one."""
+    pages = fixtures.variants(spark.range(6).withColumnRenamed("id", "page_id"))
+    got = {r.page_id: r for r in business.page_business(extract_pages(pages)).collect()}
+    one = got[0]
+    assert (one.name, one.description, one.address) == ("Smile House", "Teeth and care in Berlin.", "Main St 1, Berlin") and one.phones == ["+49 30 1234567"] and one.emails == ["hello@smile.example", "info@smile.example"]
+    assert one.hours == ["Monday, Tuesday: 09:00–17:00"] and one.areas == ["DE", "France"] and one.organisations == 1
+    assert [(p.label, p.url) for p in one.pages] == [("About us", "https://www.site0.example/about"), ("Prices", "https://www.site0.example/prices")]
+    assert [got[i].name for i in range(1, 6)] == [f"site{i}.example" for i in range(1, 6)] and got[1].organisations == 0
