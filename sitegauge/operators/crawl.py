@@ -68,7 +68,7 @@ def crawl_sites(starts: DataFrame, site_files: DataFrame, sitemap_files: DataFra
     asked = staged(found.join(pages, "url", "left"))
     facts = staged(extract_pages(asked.where("page_id is not null")))
     checks = audited(asked, facts, files)
-    own = page_rows(asked, facts, checks, variants)
+    own = staged(page_rows(asked, facts, checks, variants))
     listed = locs.select("site", resolved(F.col("loc"), fragment=False).alias("loc"))
     counts = own.groupBy("site").agg(F.count("*").alias("crawled"), scoring.half_up(F.avg(F.when((F.col("status") > 0) & (F.col("status") < 400), F.col("score")))).alias("average"))
     sites = discovery.discovery_reports(every).join(counts, "site", "left")
@@ -108,6 +108,7 @@ def page_rows(asked: DataFrame, facts: DataFrame, checks: DataFrame, variants: D
     if variants is not None:
         first = facts.join(asked.where("rank = 1").select("page_id", "status"), "page_id").select("page_id", "url", "status", F.col("visible_text").alias("text"), "title")
         flags = flags.unionByName(risk.variant_flags(first, variants).select("page_id", "flag", "severity"))
+    flags = staged(flags)
     counts = flags.groupBy("page_id").agg(F.count("*").alias("flags"))
     status = risk.risk_status(facts, flags).withColumnRenamed("status", "risk")
     scores = scoring.overall_scores(scoring.module_scores(checks)).select("page_id", F.col("overall").alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.urls import origins, resolved
 from sitegauge.operators.robots import locations, urls_allowed
+from sitegauge.sources.staging import staged
 
 #: Sitemap files that are opened for a site; urls that are gathered, as a multiple of the pages wanted.
 MOST_FILES, GATHERED = 10, 4
@@ -63,7 +64,7 @@ def opened_sitemaps(starts: DataFrame, files: DataFrame, pages: int) -> DataFram
     queue = F.transform(F.array_sort(F.collect_list(F.struct("n", "url"))), lambda x: x["url"])
     none = F.array().cast("array<struct<url:string,before:bigint>>")
     state = first.groupBy("site").agg(queue.alias("queue")).select("site", "queue", none.alias("opened"), F.lit(0).cast("long").alias("gathered"))
-    facts = sitemap_facts(files).withColumnRenamed("url", "next_url")
+    facts = staged(sitemap_facts(files)).withColumnRenamed("url", "next_url")  # texts are read once, not in every round
     for _ in range(MOST_FILES):
         asked = state.withColumn("next_url", F.when(F.col("gathered") < GATHERED * pages, F.get("queue", F.lit(0))))
         read = asked.join(facts, "next_url", "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
