@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.streaming.query import StreamingQuery
 
 #: The state store that keeps variables of more than one kind.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "accepted"
 
@@ -74,9 +75,13 @@ def limited_stream(hits: DataFrame, key: str, time: str, most: int, window: int
 
 def run_limited(spark: SparkSession, hits: DataFrame, key: str, time: str, folder: str, most: int, window: int = 3600, late: str = "0 seconds") -> StreamingQuery:
     """Take all hits that are there, in as many micro-batches as the source makes, and end; started again on the same ``folder`` it goes on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    made = limited_stream(hits, key, time, most, window, late)
-    return made.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, STORE)
+    try:  # a query keeps the settings with which it was started
+        made = limited_stream(hits, key, time, most, window, late)
+        return made.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
 def live_keys(spark: SparkSession, folder: str) -> DataFrame:
