@@ -36,15 +36,6 @@ def risk_flags(spark, sf_dir):
     return found.select("page_id", "flag", "severity", F.col("rank").cast("long").alias("rank"), F.size("evidence").cast("long").alias("pieces"), F.element_at("evidence", 1)["text"].alias("first"))
 
 
-def risk_statuses(spark, sf_dir):
-    own = facts(spark, sf_dir)
-    return risk.risk_status(own, risk.page_flags(own))
-
-
-def business_findings(spark, sf_dir):
-    return business.business_findings(facts(spark, sf_dir), llms_texts(spark, sf_dir)).select("page_id", "finding", "impact", "area", "detail")
-
-
 def drafted_files(spark, sf_dir):
     """page_id, file, content of every file that can be drafted for a page."""
     own = facts(spark, sf_dir)
@@ -61,11 +52,6 @@ def drafted_files(spark, sf_dir):
     )
 
 
-def access_findings(spark, sf_dir):
-    own = facts(spark, sf_dir).withColumns({"site": F.col("page_id").cast("string"), "status": F.when(F.col("page_id") % 7 == 0, 503).otherwise(200)})
-    return crawlers.access_findings(own, report(spark, sf_dir), fx.files(pages(spark, sf_dir), fx.LLMS)).withColumn("rank", F.col("rank").cast("long"))
-
-
 def fetches(spark, sf_dir) -> DataFrame:
     """Responses of three kinds: a careful server, a bare one, and a failing one."""
     number = F.pmod("page_id", F.lit(3)).cast("int")
@@ -98,21 +84,6 @@ def renders(spark, sf_dir) -> DataFrame:
     return own.withColumns({"console_errors": errors, "redirects": hops})
 
 
-def render_checks(spark, sf_dir):
-    return site_checks.render_checks(facts(spark, sf_dir), renders(spark, sf_dir)).select("page_id", "check_id", "status", "severity")
-
-
-def asked_checks(spark, sf_dir):
-    """Checks of links and images by HEAD requests, and of what renders loaded."""
-    own = facts(spark, sf_dir).withColumn("social_image", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://i.example/"), F.pmod("page_id", F.lit(4)).cast("string"))))
-    heads = spark.createDataFrame([("https://i.example/0", 200), ("https://i.example/2", 404), ("https://other.example/x", 404), ("https://win.example/poker", 200)], "url string, status int")
-    loaded = [("https://cdn.example/a.js", "script", 1000)] * 6 + [("https://www.site0.example/b.js", "script", 500_000)]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(b).alias("bytes")) for n, k, b in loaded])).alias("r")
-    resources = own.where("page_id % 6 < 2").select("page_id", each).select("page_id", "r.*").where("page_id % 6 = 0 or bytes < 2000")
-    both = page_checks.head_checks(own, heads).unionByName(page_checks.resource_checks(own, resources))
-    return both.select("page_id", "check_id", "status", "severity", "value")
-
-
 def whole_checks(spark, sf_dir, own: DataFrame, rendered: DataFrame) -> DataFrame:
     """Checks of all nine scored modules."""
     names = ("page_id", "module", "check_id", "status", "severity")
@@ -230,8 +201,7 @@ def submitted(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        risk_flags, risk_statuses, business_findings, drafted_files, access_findings,
-        render_checks, asked_checks, full_findings, advice_summaries, address_texts, quoted_turns, listings, score_matrix,
+        risk_flags, drafted_files, full_findings, advice_summaries, address_texts, quoted_turns, listings, score_matrix,
         site_averages, crawl_issues, map_changes, index_answers, submitted,
     )
 }

@@ -45,7 +45,7 @@ def block_strings(spark, sf_dir):
     return found.unionByName(walked.broken.select("block", zero.alias("strings"), zero.alias("chars"), F.lit(True).alias("broken"))).withColumnRenamed("block", "c_custkey")
 
 
-def marked_up(spark, sf_dir) -> DataFrame:
+def marked_html(spark, sf_dir) -> DataFrame:
     """The pages with blocks in their heads, made of their own hosts, addresses and titles: none, an organisation with a question, a product with a trail, and a broken one."""
     pages, i = read_table(spark, sf_dir, "pages"), F.col("page_id")
     site, title = F.regexp_extract("url", "://([^/?#]*)", 1), F.trim(F.replace(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit("&amp;"), F.lit("&")))
@@ -61,7 +61,11 @@ def marked_up(spark, sf_dir) -> DataFrame:
     block = lambda text: F.concat(F.lit('<script type="application/ld+json">'), text, F.lit("</script>"))
     more = F.when(i % 8 == 3, block(F.lit('{"@type": "Person", "name": ""}'))).otherwise("")
     blocks = F.when(i % 4 == 1, block(F.to_json(organisation))).when(i % 4 == 2, block(trail)).when(i % 4 == 3, F.concat(block(F.lit('{"@type": "Product"')), more)).otherwise("")
-    return extract_pages(pages.select("page_id", "url", F.replace("html", F.lit("</head>"), F.concat(blocks, F.lit("</head>"))).alias("html")))
+    return pages.select("page_id", "url", F.replace("html", F.lit("</head>"), F.concat(blocks, F.lit("</head>"))).alias("html"))
+
+
+def marked_up(spark, sf_dir) -> DataFrame:
+    return extract_pages(marked_html(spark, sf_dir))
 
 
 def structured_data_checks(spark, sf_dir):

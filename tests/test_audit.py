@@ -12,11 +12,11 @@ from sitegauge.functions import text as tx
 from sitegauge.functions.html_facts import page_facts
 from sitegauge.operators import advice, business, comparisons, crawlers, discovery, limits, page_checks, risk, robots, scoring, site_checks, site_issues
 from sitegauge.operators.extraction import extract_pages
-from sitegauge.plans import audit_queries, crawl_queries, guard_queries, redaction_queries, site_queries, structured_queries
+from sitegauge.plans import audit_queries, crawl_queries, guard_queries, redaction_queries, scenario_queries, site_queries, structured_queries
 from sitegauge.streaming.snapshots import watch
 
 DATA = "/root/testdata/sf0.001"
-PLANS = (audit_queries, site_queries, crawl_queries, guard_queries, redaction_queries, structured_queries)
+PLANS = (audit_queries, site_queries, crawl_queries, guard_queries, redaction_queries, structured_queries, scenario_queries)
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
