@@ -72,6 +72,19 @@ every AS (SELECT page_id, module, check_id, status, severity FROM checks UNION A
 every_w AS (SELECT *, CASE severity WHEN 'critical' THEN 6 WHEN 'warning' THEN 3 ELSE 1 END AS w FROM every),
 every_s AS (SELECT page_id, module, coalesce(CAST(floor(100.0 * sum(CASE WHEN status = 'pass' THEN w ELSE 0 END) / sum(w) FILTER (status <> 'skip') + 0.5) AS BIGINT), 100) AS score FROM every_w GROUP BY ALL)"""
 )
+#: What failed checks are told as (an open list), and the order of findings.
+RULES = """rules(check_id, finding, impact, effort, area, n) AS (VALUES ('schema.present', 'schema.missing', 'high', 'small', 'schema', 4), ('title.present', 'meta.title_missing', 'high', 'small', 'meta', 8),
+  ('title.length', 'meta.title_length', 'low', 'small', 'meta', 9), ('meta_description.present', 'meta.description_missing', 'medium', 'small', 'meta', 10),
+  ('h1.present', 'meta.h1', 'low', 'small', 'meta', 12), ('headings.h1', 'meta.h1', 'low', 'small', 'meta', 12), ('canonical.present', 'meta.canonical', 'low', 'small', 'meta', 13),
+  ('eeat.thin_content', 'content.thin', 'medium', 'large', 'content', 15), ('viewport.present', 'engine.viewport.present', 'high', 'small', 'meta', 16),
+  ('og.complete', 'engine.og.complete', 'low', 'small', 'meta', 16), ('eeat.https', 'engine.eeat.https', 'high', 'small', 'access', 16),
+  ('links.internal', 'engine.links.internal', 'low', 'medium', 'content', 16), ('headings.hierarchy', 'engine.headings.hierarchy', 'low', 'small', 'meta', 16),
+  ('eeat.trust_links', 'engine.eeat.trust_links', NULL, 'medium', 'other', 16), ('eeat.author', 'engine.eeat.author', NULL, 'medium', 'other', 16),
+  ('links.anchor_text', 'engine.links.anchor_text', NULL, 'medium', 'other', 16), ('dom.landmarks', 'engine.dom.landmarks', NULL, 'medium', 'other', 16), ('dom.main', 'engine.dom.main', NULL, 'medium', 'other', 16),
+  ('dom.text_html_ratio', 'engine.dom.text_html_ratio', NULL, 'medium', 'other', 16), ('dom.word_count', 'engine.dom.word_count', NULL, 'medium', 'other', 16)"""
+RANKED = """SELECT page_id, finding, impact, effort, area, row_number() OVER (PARTITION BY page_id ORDER BY
+  CASE impact WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, list_position(['access', 'render', 'facts', 'schema', 'llms', 'meta', 'content', 'other'], area), n, finding) AS rank
+FROM found"""
 GRADE = "CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 50 THEN 'Needs Attention' ELSE 'Critical' END AS grade"
 WEIGHTS = """(VALUES ('meta_and_social', 12), ('geo_ai_validator', 12), ('js_render_diff', 14), ('dom_headings', 8), ('link_navigation', 10), ('schema_rich', 10), ('eeat_trust', 10),
   ('server_security', 10), ('performance_cwv', 12)) v(module, mw)"""
@@ -128,20 +141,10 @@ ORACLES: dict[str, str] = {
     "recommendations": f"""WITH {ALL_CHECKS} SELECT page_id, module, check_id, severity, w AS impact, row_number() OVER (PARTITION BY page_id ORDER BY w DESC, check_id, module) AS rank
       FROM every_w WHERE status = 'fail' QUALIFY rank <= 5""",
     "findings": f"""WITH {ALL_CHECKS},
-      rules(check_id, finding, impact, effort, area, n) AS (VALUES ('schema.present', 'schema.missing', 'high', 'small', 'schema', 4), ('title.present', 'meta.title_missing', 'high', 'small', 'meta', 8),
-        ('title.length', 'meta.title_length', 'low', 'small', 'meta', 9), ('meta_description.present', 'meta.description_missing', 'medium', 'small', 'meta', 10),
-        ('h1.present', 'meta.h1', 'low', 'small', 'meta', 12), ('headings.h1', 'meta.h1', 'low', 'small', 'meta', 12), ('canonical.present', 'meta.canonical', 'low', 'small', 'meta', 13),
-        ('eeat.thin_content', 'content.thin', 'medium', 'large', 'content', 15), ('viewport.present', 'engine.viewport.present', 'high', 'small', 'meta', 16),
-        ('og.complete', 'engine.og.complete', 'low', 'small', 'meta', 16), ('eeat.https', 'engine.eeat.https', 'high', 'small', 'access', 16),
-        ('links.internal', 'engine.links.internal', 'low', 'medium', 'content', 16), ('headings.hierarchy', 'engine.headings.hierarchy', 'low', 'small', 'meta', 16),
-        ('eeat.trust_links', 'engine.eeat.trust_links', NULL, 'medium', 'other', 16), ('eeat.author', 'engine.eeat.author', NULL, 'medium', 'other', 16),
-        ('links.anchor_text', 'engine.links.anchor_text', NULL, 'medium', 'other', 16), ('dom.landmarks', 'engine.dom.landmarks', NULL, 'medium', 'other', 16), ('dom.main', 'engine.dom.main', NULL, 'medium', 'other', 16),
-        ('dom.text_html_ratio', 'engine.dom.text_html_ratio', NULL, 'medium', 'other', 16), ('dom.word_count', 'engine.dom.word_count', NULL, 'medium', 'other', 16)),
+      {RULES}),
       found AS (SELECT DISTINCT page_id, finding, coalesce(impact, CASE severity WHEN 'critical' THEN 'medium' ELSE 'low' END) AS impact, effort, area, n FROM every JOIN rules USING (check_id)
         WHERE status = 'fail' AND (n < 16 OR severity IN ('critical', 'warning')))
-      SELECT page_id, finding, impact, effort, area, row_number() OVER (PARTITION BY page_id ORDER BY
-        CASE impact WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, list_position(['access', 'render', 'facts', 'schema', 'llms', 'meta', 'content', 'other'], area), n, finding) AS rank
-      FROM found""",
+      {RANKED}""",
     "page_flags": f"""WITH {FACTS},
       w AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ({STOP}))) AS w FROM f)
       SELECT DISTINCT page_id, 'risk.title_stuffing' AS flag, 'notice' AS severity, 1::BIGINT AS rank FROM w GROUP BY page_id, w HAVING count(*) >= 3""",

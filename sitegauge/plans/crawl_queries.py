@@ -71,9 +71,9 @@ def fetched(spark, sf_dir) -> DataFrame:
     return rows(spark, sf_dir).select("page_id", "url", "html", status.alias("status"), (i * 37 % 2500).cast("int").alias("ttfb_ms"), headers.alias("headers"), (i % 4).cast("int").alias("redirect_hops"))
 
 
-def as_others_see(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def as_others_see(spark, sf_dir, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The pages as visitors and as six crawlers get them: unchanged, refused or halved, moved, refused as no proof, not fetched, and their titles only."""
-    facts = extract_pages(read_table(spark, sf_dir, "pages"))
+    facts = extract_pages(read_table(spark, sf_dir, "pages")) if facts is None else facts
     base = facts.select("page_id", "url", F.lit(200).alias("status"), F.col("visible_text").alias("text"), "title")
     i, text, url, title = F.col("page_id"), F.col("text"), F.col("url"), F.col("title")
     half = F.substring("text", F.lit(1), F.floor(F.char_length("text") / 2).cast("int"))
@@ -175,11 +175,16 @@ def server_checks(spark, sf_dir):
     return site_checks.server_checks(fetched(spark, sf_dir)).select("page_id", "check_id", "status", "severity")
 
 
-def geo_checks(spark, sf_dir):
-    """What AI crawlers find on every page, where its site's files are what they are."""
+def seen_by_crawlers(spark, sf_dir, facts: DataFrame) -> DataFrame:
+    """What AI crawlers find on every page, where its site's files are what they are; every fifth page isn't asked for."""
     asked = rows(spark, sf_dir).select("page_id", "site").join(fetched(spark, sf_dir), "page_id").withColumn("rank", F.col("page_id") % 5 + 1)
-    seen = crawl.geo_rows(asked, extract_pages(asked), lambda kind: of_kind(spark, sf_dir, kind)).withColumns({"probe_status": F.when(F.col("page_id") % 2 == 0, F.col("page_id") % 7 * 100).cast("int"), "geo_enabled": F.col("rank") < 5})
-    return site_checks.geo_checks(seen).select("page_id", "check_id", "status", "severity")
+    seen = crawl.geo_rows(asked, facts, lambda kind: of_kind(spark, sf_dir, kind))
+    return seen.withColumns({"probe_status": F.when(F.col("page_id") % 2 == 0, F.col("page_id") % 7 * 100).cast("int"), "geo_enabled": F.col("rank") < 5})
+
+
+def geo_checks(spark, sf_dir):
+    facts = extract_pages(rows(spark, sf_dir))
+    return site_checks.geo_checks(seen_by_crawlers(spark, sf_dir, facts)).select("page_id", "check_id", "status", "severity")
 
 
 def fix_texts(spark, sf_dir):

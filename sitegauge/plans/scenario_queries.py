@@ -6,14 +6,16 @@ the SQL computes from these.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.operators import business, crawlers, page_checks, risk, site_checks
-from sitegauge.operators.extraction import extract_pages
+from sitegauge.operators import advice, business, crawlers, page_checks, risk, site_checks
+from sitegauge.operators.extraction import extract_pages, word_count
 from sitegauge.plans import crawl_queries as cq
-from sitegauge.plans.audit_oracles import FACTS
-from sitegauge.plans.crawl_oracles import OUTCOME, RISKS, SITES
+from sitegauge.plans.audit_oracles import ALL_CHECKS, FACTS, RANKED, RULES
+from sitegauge.plans.crawl_oracles import ORACLES as CRAWLS, OUTCOME, RISKS, SITES, VARIANTS
 from sitegauge.plans.structured_queries import marked_html, marked_up
 from sitegauge.sources.staging import staged
 
@@ -59,6 +61,13 @@ def business_findings(spark, sf_dir):
     return business.business_findings(extract_pages(pages), llms).select("page_id", "finding", "impact", "area", "detail")
 
 
+def with_events(rendered: DataFrame) -> DataFrame:
+    """Up to six errors of scripts, and up to five addresses, each met twice in a row."""
+    errors = F.slice(F.array_repeat(F.lit("TypeError"), 6), F.lit(1), (F.col("page_id") % 7).cast("int"))
+    hops = F.flatten(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 5).cast("int")), lambda n: F.array_repeat(say("/", n), 2)))
+    return rendered.withColumns({"console_errors": errors, "redirects": hops})
+
+
 def before_and_after(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Pages as served and as rendered: by their ids a shell, a page that gets links, a page without a render, and one that gets its first headings."""
     k, own = F.col("page_id") % 4, cq.rows(spark, sf_dir).select("page_id", "url", "html")
@@ -69,9 +78,7 @@ def before_and_after(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(22)), lambda n: say(' <a href="/new/', n, '">new</a>')), "")
     served = own.withColumn("html", F.when(k == 0, shell).when(k == 3, bare).otherwise(F.col("html")))
     rendered = extract_pages(own.where(k != 2).withColumn("html", F.when(k == 1, say(F.col("html"), links)).otherwise(F.col("html"))))
-    errors = F.slice(F.array_repeat(F.lit("TypeError"), 6), F.lit(1), (F.col("page_id") % 7).cast("int"))
-    hops = F.flatten(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 5).cast("int")), lambda n: F.array_repeat(say("/", n), 2)))
-    return extract_pages(served), rendered.withColumns({"console_errors": errors, "redirects": hops})
+    return extract_pages(served), with_events(rendered)
 
 
 def render_checks(spark, sf_dir):
@@ -99,10 +106,52 @@ def asked_checks(spark, sf_dir):
     return both.select("page_id", "check_id", "status", "severity", "value")
 
 
-QUERIES = {f.__name__: f for f in (risk_statuses, access_findings, business_findings, render_checks, asked_checks)}
+def full_findings(spark, sf_dir):
+    """Findings of whole audits: failed checks of pages, responses, crawlers and renders, robots files, contradictions, and what a page's inputs tell.
+
+    Renders add 300 words or 22 links to some pages, change nothing on others, and lack for the rest.
+    """
+    pages, k = cq.rows(spark, sf_dir), F.col("page_id") % 4
+    own = staged(extract_pages(pages.select("page_id", "url", "html")))  # every page is parsed once, and once more as rendered
+    words, links = F.repeat(F.lit(" word"), F.lit(300)), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(22)), lambda n: say(' <a href="/new/', n, '">new</a>')), "")
+    more = F.when(k == 0, say("<p>", words, "</p>")).when(k == 1, links).otherwise("")
+    rendered = staged(with_events(extract_pages(pages.where(k != 2).select("page_id", "url", say(F.col("html"), more).alias("html")))))
+    checks = [page_checks.page_checks(own), site_checks.server_checks(cq.fetched(spark, sf_dir)), site_checks.geo_checks(cq.seen_by_crawlers(spark, sf_dir, own)), site_checks.render_checks(own, rendered)]
+    checks = staged(reduce(DataFrame.unionByName, [c.select("page_id", "check_id", "status", "severity") for c in checks]))
+
+    # What each page's inputs tell: its status, its words before and after rendering, its site's sitemap, and its risks.
+    flags = risk.page_flags(own).select("page_id", "severity").unionByName(risk.variant_flags(*cq.as_others_see(spark, sf_dir, own)).select("page_id", "severity"))
+    of_page = pages.select("page_id", "site", (F.col("kind") < 2).alias("sitemap_ok"))
+    inputs = cq.fetched(spark, sf_dir).select("page_id", "status").join(of_page, "page_id").join(own.select("page_id", word_count("text").alias("raw_words")), "page_id")
+    inputs = inputs.join(rendered.select("page_id", word_count("text").alias("rendered_words")), "page_id", "left").join(risk.risk_status(own, flags).withColumnRenamed("status", "risk"), "page_id")
+    names = ("page_id", "finding", "impact", "effort", "area")
+    robots = crawlers.robots_findings(crawlers.robots_report(cq.of_kind(spark, sf_dir, "robots"))).join(of_page, "site").select(*names)
+    llms = of_page.join(cq.of_kind(spark, sf_dir, "llms").where(site_checks.is_text_file(F.col("status"), F.col("content_type"), F.col("text"))), "site").select("page_id", "text")
+    told = advice.page_findings(inputs, checks).select(*names).unionByName(robots).unionByName(business.business_findings(own, llms).select(*names))
+    return advice.findings(checks, more=told).withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (full_findings, risk_statuses, access_findings, business_findings, render_checks, asked_checks)}
 
 DAYS = r"(?i)(^|[^\p{L}\p{N}_])(mon|monday|tue|tuesday|wed|wednesday|thu|thursday|fri|friday|sat|saturday|sun|sunday|hours|open)([^\p{L}\p{N}_]|$)"
+TOLD = f"""rendered AS (SELECT page_id, unnest([
+    {{'k': 'diff.links', 'o': CASE WHEN k = 1 AND links < 3 THEN 'critical' WHEN k = 1 THEN 'warning' END}}, {{'k': 'diff.js_errors', 'o': CASE page_id % 7 WHEN 6 THEN 'critical' WHEN 0 THEN NULL ELSE 'warning' END}},
+    {{'k': 'diff.redirect_chain', 'o': CASE WHEN page_id % 5 >= 3 THEN 'warning' END}}]) AS r FROM (SELECT *, page_id % 4 AS k FROM f) WHERE k <> 2),
+  audited AS (SELECT page_id, check_id, status, severity FROM every UNION ALL SELECT page_id, check_id, status, severity FROM ({CRAWLS["server_checks"]})
+    UNION ALL SELECT page_id, check_id, status, severity FROM ({CRAWLS["geo_checks"]}) UNION ALL SELECT page_id, r.k, 'fail', r.o FROM rendered WHERE r.o IS NOT NULL),
+  risks AS (SELECT page_id, bool_or(severity = 'critical') AS high FROM variant_rows WHERE severity IS NOT NULL GROUP BY page_id),
+  told AS (SELECT page_id, 'http.error' AS finding, 'high' AS impact, 'small' AS effort, 'access' AS area FROM f WHERE page_id % 13 = 0 OR page_id % 17 = 0
+    UNION ALL SELECT page_id, 'render.js_only', CASE WHEN words < 150 THEN 'high' ELSE 'medium' END, 'large', 'render' FROM f WHERE page_id % 4 = 0
+    UNION ALL SELECT page_id, 'sitemap.missing', 'medium', 'small', 'meta' FROM p WHERE kind > 1 UNION ALL SELECT page_id, 'risk.flags', CASE WHEN high THEN 'high' ELSE 'medium' END, 'small', 'other' FROM risks
+    UNION ALL SELECT page_id, CASE kind WHEN 1 THEN 'robots.missing' ELSE 'robots.blocks_ai_training' END, 'low', 'small', 'access' FROM p WHERE kind IN (1, 2))"""
 ORACLES = {
+    "full_findings": f"""WITH {ALL_CHECKS}, {SITES}, {VARIANTS}, {TOLD},
+      {RULES}, ('diff.links', 'render.links', 'medium', 'medium', 'render', 2), ('llms_txt.present', 'llms.missing', 'medium', 'small', 'llms', 6), ('server.ttfb', 'engine.server.ttfb', NULL, 'medium', 'other', 16),
+        ('server.hsts', 'engine.server.hsts', NULL, 'medium', 'other', 16), ('geo.ai_probe', 'engine.geo.ai_probe', NULL, 'medium', 'other', 16), ('diff.js_errors', 'engine.diff.js_errors', NULL, 'medium', 'render', 16),
+        ('diff.redirect_chain', 'engine.diff.redirect_chain', NULL, 'small', 'other', 16)),
+      found AS (SELECT DISTINCT page_id, finding, coalesce(impact, CASE severity WHEN 'critical' THEN 'medium' ELSE 'low' END) AS impact, effort, area, n FROM audited JOIN rules USING (check_id)
+        WHERE status = 'fail' AND (n < 16 OR severity IN ('critical', 'warning')) UNION ALL SELECT page_id, finding, impact, effort, area, 0 FROM told)
+      {RANKED}""",
     "risk_statuses": f"""WITH {RISKS} SELECT page_id, CASE WHEN bool_or(severity = 'critical') THEN 'high' WHEN bool_or(severity = 'warning') THEN 'review' ELSE 'clean' END AS status
       FROM f LEFT JOIN found USING (page_id) GROUP BY page_id""",
     "access_findings": f"""WITH {FACTS}, {SITES},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitegauge.plans.audit_oracles import ALL_CHECKS, GRADE, WEIGHTS
+from sitegauge.plans.audit_oracles import ALL_CHECKS, WEIGHTS
 
 LINE = "¶"  # stands for a line break in the values below
 CONFIRM = "TO CONFIRM: one or two sentences on what you do, for whom, and where."

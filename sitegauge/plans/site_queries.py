@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import text as tx
 from sitegauge.operators import advice, business, comparisons, crawlers, page_checks, risk, scoring, site_checks, site_issues
-from sitegauge.operators.extraction import extract_pages, word_count
+from sitegauge.operators.extraction import extract_pages
 from sitegauge.plans import fixtures as fx
 from sitegauge.plans.site_oracles import ORACLES  # noqa: F401
-from sitegauge.sources.staging import staged
 from sitegauge.sources.tables import read_table
 
 
@@ -52,63 +51,6 @@ def drafted_files(spark, sf_dir):
     )
 
 
-def fetches(spark, sf_dir) -> DataFrame:
-    """Responses of three kinds: a careful server, a bare one, and a failing one."""
-    number = F.pmod("page_id", F.lit(3)).cast("int")
-    head = lambda *pairs: F.create_map(*[F.lit(x) for p in pairs for x in p])
-    careful = head(("content-encoding", "br"), ("content-security-policy", "default-src 'self'"), ("strict-transport-security", "max-age=63072000"), ("x-content-type-options", "nosniff"),
-                   ("referrer-policy", "no-referrer"), ("permissions-policy", "camera=()"), ("link", '<https://a.example/>; rel="canonical"'), ("alt-svc", 'h3=":443"'))
-    bare, failing = head(("server", "x")), head(("x-robots-tag", "noindex, noai"), ("strict-transport-security", "max-age=60"))
-    headers = F.when(number == 0, careful).when(number == 1, bare).otherwise(failing)
-    at = lambda *values: fx.pick(values, number)
-    return pages(spark, sf_dir).select("page_id", at(200, 301, 500).alias("status"), at(120, 1000, 2500).alias("ttfb_ms"), headers.alias("headers"), at(0, 2, 0).alias("redirect_hops"))
-
-
-def geo_rows(spark, sf_dir, own: DataFrame | None = None) -> DataFrame:
-    own = (facts(spark, sf_dir) if own is None else own).withColumn("site", F.col("page_id").cast("string"))
-    access = crawlers.access_table(report(spark, sf_dir)).select("site", "bot", "blocked")
-    counts = site_checks.crawler_counts(access)
-    files = fx.files(pages(spark, sf_dir), fx.LLMS).select("site", F.struct("status", "content_type", "text").alias("llms"))
-    sites = report(spark, sf_dir).select("site", F.col("valid").alias("robots_ok"), F.size("groups").alias("robots_groups"), F.size("sitemaps").alias("sitemaps"))
-    rows = own.join(sites, "site").join(counts, "site").join(files, "site").join(fetches(spark, sf_dir).select("page_id", "headers"), "page_id")
-    probe = fx.pick((200, 403, None, 0, 500, 200), F.pmod("page_id", F.lit(fx.VARIANTS)).cast("int"))
-    return rows.withColumns({"llms_full": F.col("llms"), "probe_status": probe, "geo_enabled": F.pmod("page_id", F.lit(5)) != 4})
-
-
-def renders(spark, sf_dir) -> DataFrame:
-    """Renders of every page but those of variant 2: the shell gets a text, the others stay as they are."""
-    html = F.when(F.col("variant") == 4, F.lit(fx.page("<title>App</title>", f"<h1>App</h1><p>{fx.WORDS} {fx.WORDS} {fx.WORDS}</p>"))).otherwise(F.col("html"))
-    own = extract_pages(fx.variants(pages(spark, sf_dir)).where("variant <> 2").withColumn("html", html))
-    errors = F.when(F.pmod("page_id", F.lit(fx.VARIANTS)) == 1, F.array(F.lit("TypeError"))).otherwise(F.array().cast("array<string>"))
-    hops = F.when(F.pmod("page_id", F.lit(fx.VARIANTS)) == 3, F.array(*[F.lit(x) for x in "aabbccd"])).otherwise(F.array(F.lit("a")))
-    return own.withColumns({"console_errors": errors, "redirects": hops})
-
-
-def whole_checks(spark, sf_dir, own: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Checks of all nine scored modules."""
-    names = ("page_id", "module", "check_id", "status", "severity")
-    parts = [
-        page_checks.page_checks(own), site_checks.server_checks(fetches(spark, sf_dir)), site_checks.geo_checks(geo_rows(spark, sf_dir, own)), site_checks.render_checks(own, rendered),
-    ]
-    out = parts[0].select(*names)
-    for more in parts[1:]:
-        out = out.unionByName(more.select(*names))
-    return out
-
-
-def full_findings(spark, sf_dir):
-    """Findings of whole audits: failed checks, robots, business facts, and what a page's inputs tell."""
-    own, rendered = staged(facts(spark, sf_dir)), staged(renders(spark, sf_dir))  # every page is parsed once
-    checks = staged(whole_checks(spark, sf_dir, own, rendered))
-    words = own.select("page_id", word_count("text").alias("raw_words")).join(rendered.select("page_id", word_count("text").alias("rendered_words")), "page_id", "left")
-    inputs = words.join(fetches(spark, sf_dir).select("page_id", "status"), "page_id").join(risk.risk_status(own, risk.page_flags(own)).withColumnRenamed("status", "risk"), "page_id")
-    inputs = inputs.withColumn("sitemap_ok", F.when(F.col("page_id") % 2 == 0, F.col("page_id") % 4 == 0))
-    names = ("page_id", "finding", "impact", "effort", "area")
-    robots = crawlers.robots_findings(report(spark, sf_dir)).select(F.col("site").cast("long").alias("page_id"), *names[1:])
-    more = advice.page_findings(inputs, checks).select(*names).unionByName(robots).unionByName(business.business_findings(own, llms_texts(spark, sf_dir)).select(*names))
-    return advice.findings(checks, more=more).withColumn("rank", F.col("rank").cast("long"))
-
-
 def advice_summaries(spark, sf_dir):
     strong = advice.strengths(pages(spark, sf_dir).select(
         "page_id", (F.col("page_id") % 2 == 0).alias("robots_open"), F.lit(True).alias("rendered"), F.lit(False).alias("js_only"), (F.col("page_id") % 100).alias("raw_words"),
@@ -201,7 +143,7 @@ def submitted(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        risk_flags, drafted_files, full_findings, advice_summaries, address_texts, quoted_turns, listings, score_matrix,
+        risk_flags, drafted_files, advice_summaries, address_texts, quoted_turns, listings, score_matrix,
         site_averages, crawl_issues, map_changes, index_answers, submitted,
     )
 }
