@@ -93,7 +93,8 @@ def asked_checks(spark, sf_dir):
     links = F.array_join(F.transform(F.slice(F.sequence(F.lit(1), F.lit(HOSTS)), F.lit(1), (i % HOSTS).cast("int")), lambda n: say('<a href="', outside(n), '">', n, "</a>")), "")
     image = F.when(i % 2 == 0, say('<meta property="og:image" content="', picture, '">')).otherwise("")
     pages = cq.rows(spark, sf_dir)
-    own = staged(extract_pages(pages.select("page_id", "url", say(in_head(F.col("html"), image), links).alias("html"))))
+    own = extract_pages(pages.select("page_id", "url", say(in_head(F.col("html"), image), links).alias("html")))
+    asked = staged(own.select("page_id", "url", "links", F.element_at("metas", "og:image").alias("social_image")))
     hosts = pages.select("site").distinct().select("site", F.explode(F.sequence(F.lit(1), F.lit(HOSTS))).alias("n")).where("n % 5 > 0")
     heads = hosts.select(outside(F.col("n")).alias("url"), F.when(F.col("n") % 6 == 0, 404).otherwise(200).alias("status"))
     pictures = pages.where("page_id % 4 = 0 or (page_id % 2 = 0 and page_id % 3 > 0)").select(picture.alias("url"), F.when(i % 4 == 0, 200).otherwise(404).alias("status"))
@@ -101,7 +102,6 @@ def asked_checks(spark, sf_dir):
     foreign = F.transform(F.slice(F.sequence(F.lit(1), F.lit(9)), F.lit(1), (i % 9).cast("int")), lambda n: file(say("https://cdn.", site, "/", n, ".js"), F.lit(1000)))
     loaded = F.concat(foreign, F.array(file(say(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), "/app.js"), i % 4 * 100_000)))
     resources = pages.where("page_id % 3 < 2").select("page_id", F.explode(loaded).alias("r")).select("page_id", "r.*")
-    asked = own.select("page_id", "url", "links", F.element_at("metas", "og:image").alias("social_image"))
     both = page_checks.head_checks(asked, heads.unionByName(pictures)).unionByName(page_checks.resource_checks(asked, resources))
     return both.select("page_id", "check_id", "status", "severity", "value")
 
@@ -115,7 +115,8 @@ def full_findings(spark, sf_dir):
     own = staged(extract_pages(pages.select("page_id", "url", "html")))  # every page is parsed once, and once more as rendered
     words, links = F.repeat(F.lit(" word"), F.lit(300)), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(22)), lambda n: say(' <a href="/new/', n, '">new</a>')), "")
     more = F.when(k == 0, say("<p>", words, "</p>")).when(k == 1, links).otherwise("")
-    rendered = staged(with_events(extract_pages(pages.where(k != 2).select("page_id", "url", say(F.col("html"), more).alias("html")))))
+    seen = ("page_id", "title", "canonical", "headings", "links", "metas", "text", "node_count", "html_bytes", "console_errors", "redirects")
+    rendered = staged(with_events(extract_pages(pages.where(k != 2).select("page_id", "url", say(F.col("html"), more).alias("html")))).select(*seen))
     checks = [page_checks.page_checks(own), site_checks.server_checks(cq.fetched(spark, sf_dir)), site_checks.geo_checks(cq.seen_by_crawlers(spark, sf_dir, own)), site_checks.render_checks(own, rendered)]
     checks = staged(reduce(DataFrame.unionByName, [c.select("page_id", "check_id", "status", "severity") for c in checks]))
 
