@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from sitegauge.plans.audit_oracles import ALL_CHECKS, FACTS, GRADE, STOP, WEIGHTS
+from sitegauge.plans.fixtures import ROBOTS
+from sitegauge.plans.site_oracles import quoted, table
 
 MOST, GATHERED = 10, 40
 ENCODED = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')"
@@ -81,6 +83,37 @@ RISKS = f"""{FACTS}, stuffed AS (SELECT page_id, count(*) AS n, arg_min(w, place
     UNION ALL SELECT page_id, 'risk.sneaky_redirect', 'warning', 5, 1, 'meta refresh', 'https://else.example/' || page_id FROM f WHERE page_id % 7 = 0
     UNION ALL SELECT page_id, 'risk.title_stuffing', 'notice', 6, least(n, 5), 'title', w FROM stuffed)"""
 CRAWL = f"WITH {ALL_CHECKS}, {CANDIDATES}, {VARIANTS}, {SCORES}"
+#: The robots files of all sites and of all pages, their lines, groups and rules, and which agents the root is shut to.
+ROBOTS_FILES = rf"""{SITES}, {table("made", "variant, status, content_type, text", [(n, *r) for n, r in enumerate(ROBOTS)])},
+texts AS (
+  SELECT site, CASE WHEN kind <> 1 THEN 200 ELSE 404 END AS status, CASE WHEN kind <> 1 THEN 'text/plain' END AS content_type,
+    CASE kind WHEN 0 THEN own WHEN 2 THEN own || {quoted("User-agent: GPTBot\nDisallow: /\n")} WHEN 3 THEN '<!doctype html><p>no such page' END AS text
+  FROM (SELECT *, concat_ws(chr(10), 'User-agent: *', 'Disallow: ' || folder, 'Disallow: /*?', 'Allow: ' || folder || '/5', 'Sitemap: ' || origin || '/map.xml', '') AS own FROM sites)
+  UNION ALL SELECT coalesce(site, '') || '/' || page_id, status, content_type, replace(replace(text, 'a.example', host), '/private', '/private' || path)
+  FROM (SELECT page_id, site, (page_id % 6 + 6) % 6 AS variant, regexp_extract(coalesce(url, ''), '://([^/?#\x00-\x20]*)', 1) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*(/[^?#\x00-\x20]*)', 1) AS path FROM p) JOIN made USING (variant)),
+files AS (SELECT site, status, text, coalesce(status = 200 AND trim(text, ' ') <> '' AND NOT contains(lower(coalesce(content_type, '')), 'text/html')
+    AND NOT starts_with(lower(ltrim(text, ' ')), '<!doctype') AND NOT starts_with(lower(ltrim(text, ' ')), '<html'), FALSE) AS valid FROM texts),
+lines AS (SELECT site, unnest(range(len(l))) AS n, trim(regexp_replace(unnest(l), '#.*$', ''), ' ') AS b FROM (SELECT site, regexp_split_to_array(text, '\r?\n') AS l FROM files WHERE valid)),
+keyed AS (SELECT site, n, lower(trim(b[:strpos(b, ':') - 1], ' ')) AS key, trim(b[strpos(b, ':') + 1:], ' ') AS value FROM lines WHERE strpos(b, ':') > 1),
+grouped AS (SELECT *, sum(CASE WHEN key = 'user-agent' AND coalesce(before, '') <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY n) AS g
+  FROM (SELECT *, lag(key) OVER (PARTITION BY site ORDER BY n) AS before FROM keyed WHERE key IN ('user-agent', 'allow', 'disallow'))),
+agents AS (SELECT site, g, lower(value) AS agent, min(n) AS n FROM grouped WHERE key = 'user-agent' GROUP BY ALL UNION ALL SELECT DISTINCT site, g, '*', -1 FROM grouped WHERE g = 0),
+rules AS (SELECT site, g, n, key = 'disallow' AS shuts, value AS path, value IN ('/', '/*') AS root FROM grouped WHERE key <> 'user-agent'),
+shut AS (SELECT site, agent, coalesce(bool_or(shuts AND root), FALSE) AND NOT coalesce(bool_or(root AND NOT shuts), FALSE) AS shut FROM agents LEFT JOIN rules USING (site, g) GROUP BY ALL)"""
+BLOCKED = "files f CROSS JOIN bots LEFT JOIN shut own ON own.site = f.site AND own.agent = lower(bot) LEFT JOIN shut star ON star.site = f.site AND star.agent = '*'"
+REPORT = f"""{ROBOTS_FILES},
+bots AS (SELECT unnest(['OAI-SearchBot', 'ChatGPT-User', 'PerplexityBot', 'Perplexity-User', 'Claude-SearchBot', 'Claude-User',
+  'GPTBot', 'ClaudeBot', 'Google-Extended', 'Applebot-Extended', 'CCBot', 'anthropic-ai', 'Bytespider', 'cohere-ai']) AS bot, unnest(range(14)) AS ord),
+blocked AS (SELECT f.site, string_agg(bot, ',' ORDER BY ord) FILTER (ord < 6) AS search, string_agg(bot, ',' ORDER BY ord) FILTER (ord >= 6) AS training FROM {BLOCKED} WHERE coalesce(own.shut, star.shut) GROUP BY f.site),
+stars AS (SELECT site, path, n FROM rules SEMI JOIN (FROM agents WHERE agent = '*') USING (site, g) WHERE shuts AND NOT root AND path <> ''),
+named AS (SELECT site, g, string_agg(agent, '+' ORDER BY agents.n) AS names FROM agents GROUP BY site, g HAVING NOT bool_or(agent = '*')),
+open AS (FROM named ANTI JOIN (SELECT site, g FROM rules GROUP BY ALL HAVING bool_or(shuts AND root) AND NOT bool_or(root AND NOT shuts)) USING (site, g)),
+lacks AS (SELECT site, g, names, path, min(n) AS n FROM open JOIN stars USING (site) ANTI JOIN (FROM rules WHERE shuts) USING (site, g, path) GROUP BY ALL),
+gaps AS (SELECT site, string_agg(names || ':' || missing, ',' ORDER BY g) AS gaps FROM (SELECT site, g, names, string_agg(path, '+' ORDER BY n) AS missing FROM lacks GROUP BY site, g, names) GROUP BY site),
+report AS (SELECT site, valid, coalesce(status IN (404, 410), TRUE) AS missing, coalesce(shut, FALSE) AS blocks_all, coalesce(search, '') AS blocked_search, coalesce(training, '') AS blocked_training,
+    coalesce(paths, '') AS star_disallows, coalesce(gaps, '') AS gaps, coalesce(maps, '') AS sitemaps
+  FROM files LEFT JOIN (FROM shut WHERE agent = '*') USING (site) LEFT JOIN blocked USING (site) LEFT JOIN gaps USING (site)
+  LEFT JOIN (SELECT site, string_agg(path, ',' ORDER BY n) AS paths FROM stars GROUP BY site) USING (site) LEFT JOIN (SELECT site, string_agg(value, ',' ORDER BY n) AS maps FROM keyed WHERE key = 'sitemap' GROUP BY site) USING (site))"""
 
 ORACLES: dict[str, str] = {
     "variant_flags": f"""WITH {ALL_CHECKS}, {VARIANTS},
@@ -117,8 +150,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN page_id IN (SELECT page_id FROM grave) THEN 'critical' ELSE 'info' END AS critical_severity FROM o""",
     "page_risks": f"""WITH {RISKS}
       SELECT page_id, flag, severity, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS rank, pieces, "where", text FROM found""",
-    "robots_reports": f"""WITH {SITES} SELECT site, kind IN (0, 2) AS valid, kind = 1 AS missing, FALSE AS blocks_all, '' AS blocked_search, CASE kind WHEN 2 THEN 'GPTBot' ELSE '' END AS blocked_training,
-      CASE WHEN kind IN (0, 2) THEN folder || ',/*?' ELSE '' END AS star_disallows, '' AS gaps, CASE WHEN kind IN (0, 2) THEN origin || '/map.xml' ELSE '' END AS sitemaps FROM sites""",
+    "robots_reports": f"WITH {REPORT} SELECT site, valid, missing, blocks_all, blocked_search, blocked_training, star_disallows, gaps, sitemaps FROM report",
     "robots_findings": f"""WITH {SITES} SELECT site, CASE kind WHEN 1 THEN 'robots.missing' ELSE 'robots.blocks_ai_training' END AS finding, 'low' AS impact, 'small' AS effort, 'access' AS area FROM sites WHERE kind IN (1, 2)""",
     "access_table": f"""WITH {SITES}, bots(bot, operator, purpose) AS (VALUES ('OAI-SearchBot', 'OpenAI', 'search'), ('ChatGPT-User', 'OpenAI', 'search'), ('Claude-SearchBot', 'Anthropic', 'search'),
       ('Claude-User', 'Anthropic', 'search'), ('PerplexityBot', 'Perplexity', 'search'), ('Bingbot', 'Microsoft (Bing, Copilot)', 'search'), ('Googlebot', 'Google', 'search'), ('GPTBot', 'OpenAI', 'training'),

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from sitegauge.functions.text import REDACTED
 from sitegauge.operators import business, crawl, crawlers, discovery, redaction, risk, robots, structured
 from sitegauge.operators.extraction import extract_pages
 from sitegauge.operators.page_checks import SCHEMA_REQUIRED
-from sitegauge.plans import fixtures
+from sitegauge.plans import crawl_queries, fixtures
 
 FILES = "site string, kind string, status int, content_type string, text string"
 
@@ -259,6 +260,30 @@ def test_what_robots_files_do(spark):
     assert {b for s, b in table if s == "4"} == {"OAI-SearchBot", "GPTBot", "CCBot"} and len([s for s, _ in table if s == "1"]) == 12 and {b for s, b in table if s == "5"} == {"CCBot"}
 
 
+ODD_URLS = (
+    "https://a.example/", "https://a.example/de/5?x", None, "no scheme", "https://b.example", "https://b.example:8080/de fr/x", "http://c.example//", "https://c.example/tmp#x", "https://d.example/*/$",
+    "https://d.example/private/", "https://[::1]/a,b", "https://12/\u00a0", "https://12/x\ny", "HTTPS://E.example/?q=/", "https://e.example/a.example/private", "://", "https://f.example/\u00e9", "",
+)
+
+
+def rows_as_sql(spark, tmp_path, name):
+    """Rows of a query of crawls over pages with odd urls, equal to those of its SQL; each site has a file, and so has each page."""
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(ODD_URLS)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = crawl_queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, con.sql(f"SELECT {', '.join(got.columns)} FROM ({crawl_queries.ORACLES[name]})").fetchall()))
+    return rows
+
+
+def test_robots_reports_of_all_sites_and_pages(spark, tmp_path):
+    rows = {r[0]: r[1:] for r in rows_as_sql(spark, tmp_path, "robots_reports")}
+    assert len(rows) == 12 + len(ODD_URLS) and {int(s.split("/")[1]) for s in rows if "/" in (s or "")} == set(range(len(ODD_URLS)))
+    assert rows["c.example/6"] == (True, False, False, "", "", "/private//,/tmp", "gptbot:/tmp,googlebot:/private//+/tmp", "https://c.example/map.xml")
+    assert rows["a.example/1"][2] and rows["/2"][1] and rows["b.example/4"][3:5] == ("OAI-SearchBot", "GPTBot,CCBot,Bytespider") and rows["b.example:8080/5"][4] == "CCBot"
+
+
 def test_businesses_of_odd_blocks(spark):
     """Facts of an organisation with hours and areas of several forms, and of pages without one."""
     pages = fixtures.variants(spark.range(6).withColumnRenamed("id", "page_id"))
