@@ -151,7 +151,10 @@ ORACLES: dict[str, str] = {
     "page_risks": f"""WITH {RISKS}
       SELECT page_id, flag, severity, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS rank, pieces, "where", text FROM found""",
     "robots_reports": f"WITH {REPORT} SELECT site, valid, missing, blocks_all, blocked_search, blocked_training, star_disallows, gaps, sitemaps FROM report",
-    "robots_findings": f"""WITH {SITES} SELECT site, CASE kind WHEN 1 THEN 'robots.missing' ELSE 'robots.blocks_ai_training' END AS finding, 'low' AS impact, 'small' AS effort, 'access' AS area FROM sites WHERE kind IN (1, 2)""",
+    "robots_findings": f"""WITH {REPORT}, x AS (SELECT site, unnest([
+        {{'f': 'blocks_all', 'i': 'high', 'on': blocks_all}}, {{'f': 'blocks_ai_search', 'i': 'high', 'on': NOT blocks_all AND blocked_search <> ''}}, {{'f': 'named_group_gap', 'i': 'medium', 'on': gaps <> ''}},
+        {{'f': 'missing', 'i': 'low', 'on': missing}}, {{'f': 'blocks_ai_training', 'i': 'low', 'on': blocked_training <> '' AND blocked_search = ''}}]) AS r FROM report)
+      SELECT site, 'robots.' || r.f AS finding, r.i AS impact, 'small' AS effort, 'access' AS area FROM x WHERE r.on""",
     "access_table": f"""WITH {SITES}, bots(bot, operator, purpose) AS (VALUES ('OAI-SearchBot', 'OpenAI', 'search'), ('ChatGPT-User', 'OpenAI', 'search'), ('Claude-SearchBot', 'Anthropic', 'search'),
       ('Claude-User', 'Anthropic', 'search'), ('PerplexityBot', 'Perplexity', 'search'), ('Bingbot', 'Microsoft (Bing, Copilot)', 'search'), ('Googlebot', 'Google', 'search'), ('GPTBot', 'OpenAI', 'training'),
       ('ClaudeBot', 'Anthropic', 'training'), ('Google-Extended', 'Google (Gemini)', 'training'), ('Applebot-Extended', 'Apple', 'training'), ('CCBot', 'Common Crawl', 'training'))

@@ -284,6 +284,16 @@ def test_robots_reports_of_all_sites_and_pages(spark, tmp_path):
     assert rows["a.example/1"][2] and rows["/2"][1] and rows["b.example/4"][3:5] == ("OAI-SearchBot", "GPTBot,CCBot,Bytespider") and rows["b.example:8080/5"][4] == "CCBot"
 
 
+def test_robots_findings_of_all_sites_and_pages(spark, tmp_path):
+    rows = rows_as_sql(spark, tmp_path, "robots_findings")
+    found = {(s, f.removeprefix("robots."), i) for s, f, i, *_ in rows}
+    own = {"named_group_gap": (0, "medium"), "blocks_all": (1, "high"), "missing": (2, "low"), "blocks_ai_search": (4, "high"), "blocks_ai_training": (5, "low")}
+    assert len(found) == len(rows)
+    for f, (k, i) in own.items():
+        assert {int(s.split("/")[1]) for s, g, impact in found if g == f and impact == i and "/" in (s or "")} == set(range(k, len(ODD_URLS), 6))
+    assert {(None, "missing", "low"), ("c.example", "missing", "low"), ("12", "blocks_ai_training", "low")} <= found
+
+
 def test_businesses_of_odd_blocks(spark):
     """Facts of an organisation with hours and areas of several forms, and of pages without one."""
     pages = fixtures.variants(spark.range(6).withColumnRenamed("id", "page_id"))
