@@ -155,10 +155,10 @@ ORACLES: dict[str, str] = {
         {{'f': 'blocks_all', 'i': 'high', 'on': blocks_all}}, {{'f': 'blocks_ai_search', 'i': 'high', 'on': NOT blocks_all AND blocked_search <> ''}}, {{'f': 'named_group_gap', 'i': 'medium', 'on': gaps <> ''}},
         {{'f': 'missing', 'i': 'low', 'on': missing}}, {{'f': 'blocks_ai_training', 'i': 'low', 'on': blocked_training <> '' AND blocked_search = ''}}]) AS r FROM report)
       SELECT site, 'robots.' || r.f AS finding, r.i AS impact, 'small' AS effort, 'access' AS area FROM x WHERE r.on""",
-    "access_table": f"""WITH {SITES}, bots(bot, operator, purpose) AS (VALUES ('OAI-SearchBot', 'OpenAI', 'search'), ('ChatGPT-User', 'OpenAI', 'search'), ('Claude-SearchBot', 'Anthropic', 'search'),
+    "access_table": f"""WITH {ROBOTS_FILES}, bots(bot, operator, purpose) AS (VALUES ('OAI-SearchBot', 'OpenAI', 'search'), ('ChatGPT-User', 'OpenAI', 'search'), ('Claude-SearchBot', 'Anthropic', 'search'),
       ('Claude-User', 'Anthropic', 'search'), ('PerplexityBot', 'Perplexity', 'search'), ('Bingbot', 'Microsoft (Bing, Copilot)', 'search'), ('Googlebot', 'Google', 'search'), ('GPTBot', 'OpenAI', 'training'),
       ('ClaudeBot', 'Anthropic', 'training'), ('Google-Extended', 'Google (Gemini)', 'training'), ('Applebot-Extended', 'Apple', 'training'), ('CCBot', 'Common Crawl', 'training'))
-      SELECT site, bot, operator, purpose, kind = 2 AND bot = 'GPTBot' AS blocked FROM sites, bots""",
+      SELECT f.site, bot, operator, purpose, coalesce(own.shut, star.shut, FALSE) AS blocked FROM {BLOCKED}""",
     "server_checks": f"""WITH {SITES}, s AS (SELECT page_id, unnest([
         {{'k': 'status', 'o': CASE WHEN page_id % 13 = 0 OR page_id % 17 = 0 THEN 'critical' ELSE 'pass' END}}, {{'k': 'ttfb', 'o': CASE WHEN page_id * 37 % 2500 < 800 THEN 'pass' WHEN page_id * 37 % 2500 < 1800 THEN 'warning' ELSE 'critical' END}},
         {{'k': 'x_robots_tag', 'o': 'pass'}}, {{'k': 'link_canonical', 'o': 'skip'}}, {{'k': 'protocol', 'o': 'skip'}}, {{'k': 'compression', 'o': CASE page_id % 2 WHEN 0 THEN 'pass' ELSE 'notice' END}}, {{'k': 'csp', 'o': 'notice'}},

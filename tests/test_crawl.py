@@ -294,6 +294,17 @@ def test_robots_findings_of_all_sites_and_pages(spark, tmp_path):
     assert {(None, "missing", "low"), ("c.example", "missing", "low"), ("12", "blocks_ai_training", "low")} <= found
 
 
+def test_access_table_of_all_sites_and_pages(spark, tmp_path):
+    rows = rows_as_sql(spark, tmp_path, "access_table")
+    assert len(rows) == 12 * (12 + len(ODD_URLS)) == len({r[:2] for r in rows})
+    closed = {}
+    for site, bot, *_ in filter(lambda r: r[-1], rows):
+        closed.setdefault(site, set()).add(bot)
+    by_id = {int(s.split("/")[1]): bots for s, bots in closed.items() if "/" in s}
+    assert set(by_id) == {i for i in range(len(ODD_URLS)) if i % 6 in (1, 4, 5)} and len(by_id[1]) == 12 and by_id[4] == {"OAI-SearchBot", "GPTBot", "CCBot"} and by_id[5] == {"CCBot"}
+    assert closed["12"] == {"GPTBot"}
+
+
 def test_businesses_of_odd_blocks(spark):
     """Facts of an organisation with hours and areas of several forms, and of pages without one."""
     pages = fixtures.variants(spark.range(6).withColumnRenamed("id", "page_id"))
