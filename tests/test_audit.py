@@ -287,3 +287,22 @@ def test_findings(spark):
     assert got == [("engine.eeat.https", "high", "access"), ("meta.title_missing", "high", "meta"), ("meta.h1", "low", "meta"), ("engine.dom.main", "low", "other")]
     assert advice.impact_counts(advice.findings(checks)).first().high == 2
     assert [r.snippet for r in advice.fix_snippets(checks).collect()] == ["title"]
+
+
+def test_what_follows_the_body_stands_in_it():
+    f = page_facts('<html><body><p>one</p></body></html> <a href="/x">two</a>\n</body> three', "https://a.example/")
+    assert f["text"] == f["visible_text"] == "one two three" and f["max_depth"] == 3 and f["links"][0]["text"] == "two"
+    f = page_facts('<html><body>one</body></html>\n<html lang="en"><head><script src="a.js"></script></head><body>two</body></html>', "https://a.example/")
+    assert f["text"] == "one two" and f["lang"] == "en" and f["tags"] == {"html": 1, "body": 1, "script": 1} and not f["scripts"][0]["in_head"]
+    assert page_facts("<html><head></html> <script src=a.js></script>", "https://a.example/")["scripts"][0]["in_head"] is False
+
+
+def test_renders_with_links_after_the_body(spark, tmp_path):
+    """Of 179 words, 22 links after the end of the body make 201, for which a noscript lacks."""
+    html = f"<html><head><title>t</title></head><body><p>{' '.join(['word'] * 179)}</p></body></html>"
+    pd.DataFrame({"page_id": [1, 9], "url": ["https://a.example/1", "https://a.example/9"], "html": [html, html.replace("word ", "", 1)]}).to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    got = QUERIES["render_checks"](spark, str(tmp_path)).collect()
+    assert {r.page_id: r.severity for r in got if r.check_id == "diff.noscript"} == {1: "notice", 9: "info"}
+    assert sorted(map(tuple, got)) == sorted(con.sql(ORACLES["render_checks"]).fetchall())
